@@ -67,7 +67,7 @@ def _emoji(ch: str) -> bool:
 
 
 def _foreign_letter(ch: str) -> bool:
-    return bool(ch) and ch.isalpha() and "Latin" not in script(ch) and ch not in LOOK_ALIKE
+    return bool(ch) and ch.isalpha() and ch not in LOOK_ALIKE and "Latin" not in script(unicodedata.normalize("NFKC", ch)[0])
 
 
 def _drop_invisible(m: re.Match[str]) -> str:

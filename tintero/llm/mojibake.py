@@ -112,8 +112,8 @@ def automaton():  # noqa: ANN201
 
 
 @lru_cache(maxsize=1)
-def one_byte_tables() -> list[tuple[dict[str, str], re.Pattern[str]]]:
-    """For each single-byte pair its garbled characters and the words they stand in."""
+def one_byte_tables() -> list[tuple[dict[str, str], re.Pattern[str], re.Pattern[str] | None]]:
+    """For each single-byte pair its garbled characters, the words they stand in, and opening marks before a capital."""
     tables = []
     for wrote, read in ONE_BYTE:
         table: dict[str, str] = {}
@@ -122,13 +122,15 @@ def one_byte_tables() -> list[tuple[dict[str, str], re.Pattern[str]]]:
                 g = ch.encode(wrote).decode(read)
             except (UnicodeEncodeError, UnicodeDecodeError):
                 continue
-            if g != ch and not g.isascii() and g not in MARKS and not g.isspace() and unicodedata.category(g) != "Cc":
+            if g != ch and not g.isascii() and (g == "\u00b7" or g not in MARKS) and not g.isspace() and unicodedata.category(g) not in ("Cc", "Cf"):
                 table[g] = ch
         chars = re.escape("".join(g for g, ch in table.items() if ch in LETTERS))
         if chars:
-            tables.append((table, re.compile(f"[^\\W\\d_]*[{chars}](?:[^\\W\\d_]|[{chars}])*")))
-    tables.append(({"Ã": "Í"}, re.compile("[^\\W\\d_]*Ã[^\\W\\d_]*")))  # its second byte was dropped
-    tables.append(({"Ã": "Á"}, re.compile("[^\\W\\d_]*Ã[^\\W\\d_]*")))
+            opening = "".join(g for g, ch in table.items() if ch in "¿¡—«" and g not in ORDINARY + OTHERS + "½°") + "".join(g for g, ch in table.items() if ch in "¿¡—" and g in "íóù")
+            mark = re.compile(f"(?<![^\\W\\d_])[{re.escape(opening)}]+(?=[A-ZÁÉÍÓÚÑ][a-záéíóúñ])") if opening else None
+            tables.append((table, re.compile(f"[^\\W\\d_]*[{chars}](?:[^\\W\\d_]|[{chars}])*"), mark))
+    dropped = re.compile("[^\\W\\d_]*Ã[^\\W\\d_]*")
+    tables += [({"Ã": "Í"}, dropped, None), ({"Ã": "Á"}, dropped, None)]  # the second byte was dropped
     return tables
 
 
@@ -172,10 +174,13 @@ def _one_byte(text: str) -> tuple[dict[str, str], dict[str, str]] | None:
     """The pair that explains the text best: its table and the words to restore; None if none does."""
     words, near = accented_words(), contexts()
     best, most, present = None, 0, set(text)
-    for table, pattern in one_byte_tables():
+    for table, pattern, mark in one_byte_tables():
         if present.isdisjoint(table):
             continue
         strong, odd, sure, todo = 0, 0, 0, {}
+        for m in mark.finditer(text) if mark else ():
+            sure += 1
+            todo[m.group()] = "".join(table[c] for c in m.group())
         for m in pattern.finditer(text):
             word = m.group()
             new = "".join(table.get(c, c) for c in word)
@@ -205,7 +210,7 @@ def _one_byte(text: str) -> tuple[dict[str, str], dict[str, str]] | None:
                 odd += 1
                 sure += any("Ѐ" <= word[i] <= "ӿ" for i in hits)
                 todo[word] = new
-        score = 3 * strong + odd
+        score = 3 * strong + odd + sure
         if (strong or odd > 1 or sure) and todo and score > most:
             best, most = (table, todo), score
     return best
@@ -222,17 +227,21 @@ def _lost(text: str) -> dict[str, str]:
         core = re.sub("[?\ufffd]+", "?", word)
         if core in ("?", "") or re.match(r"\w*[=&/]", text[m.end() :][:24]):
             continue
-        low, inner = core.lower(), re.search(r"[^\W\d_]\?[^\W\d_]", core)
-        meant = index.get(low)
-        if meant is None and low.startswith("?"):
-            meant = index.get(low[1:])
+        low = "".join(c if c.isascii() else "?" for c in core.lower())
+        inner = re.search(r"[^\W\d_]\?[^\W\d_]", core)
+        meant, lead = index.get(low), 0
+        while meant is None and low[lead : lead + 1] == "?" and lead < 2:  # a lost dash or mark before the word
+            lead += 1
+            meant = index.get(low[lead:].strip("?") if core.count("?") == lead else low[lead:])
         if core.endswith("?") and not inner and not low.startswith("?"):
             if meant is None or "¿" in text[max(0, m.start() - 200) : m.start()]:
                 continue
         elif meant is None and not (inner and (core[core.index("?") + 1 :][:1].islower() or core.isupper())):
             continue
         if meant:
-            meant = meant.upper() if core.replace("?", "").isupper() and len(core) > 2 else meant.title() if core[0].isupper() else meant
+            letters = [c for c in core if c != "?"]
+            meant = meant.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else meant[0].upper() + meant[1:] if core[lead : lead + 1].isupper() else meant
+            meant = word[: len(word) - len(word.lstrip("?\ufffd"))] + meant if lead else meant
         todo[word] = meant or word
     return todo
 
@@ -280,8 +289,23 @@ def restored(column: pa.Array, title: bool = False) -> list[str | None]:
     return texts
 
 
+_EAST_RUN = re.compile("[^\\x00-\\x7f]*[\\u2e80-\\ufaff][^\\x00-\\x7f]*")
+
+
+def _multibyte(m: re.Match[str]) -> str:
+    """A run garbled by a multi-byte reader, whose bytes may be split across characters of the text."""
+    for read in ("gbk", "big5", "euc_kr", "shift_jis"):
+        try:
+            new = m.group().encode(read).decode()
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        if all(c.isascii() or c in LETTERS + MARKS + OTHERS for c in new):
+            return new
+    return m.group()
+
+
 def _repair(text: str) -> str:
-    new = _references(text)
+    new = _EAST_RUN.sub(_multibyte, _references(text))
     for _ in range(3):
         spans = _matches(new)
         if not spans:
