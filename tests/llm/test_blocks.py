@@ -68,3 +68,10 @@ def test_operator(spark, odd_rows):
     assert blocks.boilerplate_lines(df.limit(0), "chapter_id", "content_html").count() == 0
     assert blocks.main_content(odd_rows, "chapter_id", "content_html").count() == 7
     blocks.boilerplate_lines(odd_rows, "chapter_id", "content_html").collect()
+
+
+def test_long_documents_in_parts(monkeypatch):
+    texts = [PAGE * 40, PAGE, "x", PAGE + "\n" * 700]
+    whole = [a.tolist() for a in blocks.page_lines(texts)]
+    monkeypatch.setattr(blocks, "STEPS", 7)
+    assert [a.tolist() for a in blocks.page_lines(texts)] == whole

@@ -54,3 +54,12 @@ def test_operators(spark):
     assert docs[6] == (None, 0.0) and docs[7] == (None, 0.0) and docs[10] == (None, 0.0) and docs[9][0] == "de" and docs[8][0] is not None
     assert L.mislabelled_segments(df.limit(0), labels, "doc_id", "text", "lang").count() == 0
     assert L.document_segments(df, "doc_id", "text").columns == ["id", "line_no", "lang", "confidence", "lines", "label"]
+
+
+def test_long_texts_are_summed_alike(monkeypatch):
+    text = "\n".join(LINES.values()) * 3
+    whole = L.line_scores([text, LINES["es"]])
+    monkeypatch.setattr(L, "CHUNK", 37)
+    parts = L.line_scores([text, LINES["es"]])
+    for a, b in zip(whole, parts, strict=True):
+        assert abs(a - b).max() < 1e-3

@@ -76,3 +76,8 @@ def test_a_garbled_dash_alone():
     assert is_garbled("<p>íCorred, que viene la marea!</p>")
     assert not is_garbled("Aqu\u00adel r\u00adío y el A\u00adño")
     assert not is_garbled("30 \u00b0C y \u00bd Vía, ó Eso")
+
+
+def test_long_words_take_linear_time():
+    text = "日本語" * 50_000 + "Ý" + "あ" * 50_000 + "?" + "い" * 50_000
+    assert not is_garbled(text) and repair("<" * 200_000 + "é") == "<" * 200_000 + "é"

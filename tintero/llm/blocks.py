@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import confusables, mojibake
 from .common import arrow_map, batch_of
-from .lines import CHUNK, Lines, containers, read
+from .lines import CHUNK, Lines, chunks, containers, read
 from .mojibake import MODELS
 
 MODEL = MODELS / "blocks.npz"
@@ -28,6 +28,7 @@ WORDS, MARKS, TAGS, PATHS = 4096, 256, 512, 256
 WIDTHS = {"word": 16, "mark": 8, "tag": 8, "path": 8}
 COUNTS = 9
 HIDDEN = 24
+STEPS = 256
 
 
 def _bucket(h: np.ndarray, size: int) -> np.ndarray:
@@ -117,12 +118,15 @@ class Network:
     def _run(self, x: np.ndarray, live: np.ndarray, way: str, keep: list | None) -> np.ndarray:
         """Hidden states (T, B, H); ``live`` has the number of texts that reach each step (texts are sorted by length)."""
         steps, width = x.shape[0], x.shape[1]
-        gates = x @ self.p["x" + way] + self.p["b" + way]
+        gates, lo, hi = None, 0, 0  # computed for some steps at a time
         h, c = np.zeros((width, HIDDEN), np.float32), np.zeros((width, HIDDEN), np.float32)
         out = np.zeros((steps, width, HIDDEN), np.float32)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+            if not lo <= t < hi:
+                lo, hi = (t, min(steps, t + STEPS)) if way == "f" else (max(0, t - STEPS + 1), t + 1)
+                gates = x[lo:hi] @ self.p["x" + way] + self.p["b" + way]
             m = live[t]
-            g = gates[t, :m] + h[:m] @ self.p["h" + way]
+            g = gates[t - lo, :m] + h[:m] @ self.p["h" + way]
             s = _sigmoid(g[:, : 3 * HIDDEN])
             f, i, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
             a = np.tanh(g[:, 3 * HIDDEN :])
@@ -252,9 +256,9 @@ def page_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not texts:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
     docs, nos, texts = [], [], _clean(texts)
-    order = sorted(range(len(texts)), key=lambda k: len(texts[k]))  # texts of like length go together
-    for at in range(0, len(order), CHUNK):
-        part = order[at : at + CHUNK]
+    order = sorted(range(len(texts)), key=lambda k: texts[k].count("\n"))  # texts of like length go together
+    for some in chunks([len(texts[k]) + CHUNK * texts[k].count("\n") for k in order]):
+        part = order[some]
         for b, prob in network().probabilities([texts[k] for k in part]):
             hit = np.flatnonzero((prob > 0.5) & b.visible)
             docs.append(np.array(part, dtype=np.int32)[b.lines.doc[hit]])

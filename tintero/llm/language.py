@@ -45,8 +45,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return letter, code
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets (3, characters), line starts, letters per line) of the lines of some texts one after another."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, line starts, letters per line) of the lines of some texts one after another, in lower case."""
     letter, code = _tables()
     point = np.frombuffer(("\n".join(texts) + "\n").lower().encode("utf-32-le", "replace"), dtype=np.uint32)
     point = np.minimum(point, len(code) - 1)
@@ -54,9 +54,15 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.flatnonzero(c == 10)
     start = np.zeros(len(ends), dtype=np.int64)
     start[1:] = ends[:-1] + 1
-    letters = np.add.reduceat(letter[point].view(np.uint8), start, dtype=np.int32)
-    n = len(c)
-    wide = np.concatenate((c, np.full(3, 10, np.uint32)))
+    return c, start, np.add.reduceat(letter[point].view(np.uint8), start, dtype=np.int32)
+
+
+def _grams(c: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Buckets (3, characters) of the n-grams that begin at the characters from ``lo`` to ``hi``; 0 stands for none."""
+    n = hi - lo
+    wide = np.full(n + 3, 10, dtype=np.uint32)
+    wide[: min(len(c), hi + 3) - lo] = c[lo : hi + 3]
+    c = wide[:n]
     breaks = wide == 10
     b1, b2, b3 = breaks[1 : n + 1], breaks[2 : n + 2], breaks[3 : n + 3]
     a = c * np.uint32(0x9E3779B1)
@@ -67,12 +73,25 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     four = (four ^ (four >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     no3 = breaks[:n] | b1 | b2
     blank = (c == 32) & (wide[1 : n + 1] == 32)
-    # bucket 0 is that of no n-gram
     out = np.stack([a >> np.uint32(17), (tri * np.uint32(0x2C1B3C6D)) >> np.uint32(17), four >> np.uint32(17)]).astype(np.int32)
     out[0][(c == 10) | (c == 32)] = 0
     out[1][no3 | blank] = 0
     out[2][no3 | b3 | blank] = 0
-    return out, start, letters
+    return out
+
+
+def _sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, scores by language) of the lines of some texts; a long text is summed in slices."""
+    c, start, letters = _codes(texts)
+    total = np.zeros((len(start), table.shape[1]), dtype=np.float32)
+    for lo in range(0, len(c), CHUNK):
+        hi = min(len(c), lo + CHUNK)
+        first = int(np.searchsorted(start, lo, side="right")) - 1
+        last = int(np.searchsorted(start, hi, side="left"))
+        at = np.maximum(start[first:last] - lo, 0)
+        for row in _grams(c, lo, hi):
+            total[first:last] += np.add.reduceat(table[row], at, axis=0)
+    return letters, total
 
 
 @lru_cache(maxsize=1)
@@ -92,14 +111,11 @@ def line_scores(texts: list[str], table: np.ndarray | None = None) -> tuple[np.n
             size += len(texts[stop]) + 1
             stop += 1
         part = texts[at:stop]
-        grams, start, count = _grams(part)
+        count, total = _sums(part, table)
         per = np.array([t.count("\n") + 1 for t in part])
         docs.append(np.repeat(np.arange(at, stop), per))
-        nos.append(np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per))
+        nos.append(np.arange(len(count)) - np.repeat(np.cumsum(per) - per, per))
         letters.append(count)
-        total = np.zeros((len(start), table.shape[1]), dtype=np.float32)
-        for row in grams:
-            total += np.add.reduceat(table[row], start, axis=0)
         scores.append(total)
         at = stop
     if not docs:
@@ -214,11 +230,10 @@ def train_language(data: str, rounds: int = 3, alpha: float = 0.5) -> None:
         for lang, texts in by.items():
             for at in range(0, len(texts), 50):
                 part = texts[at : at + 50]
-                grams, start, letters = _grams(part)
-                use = letters >= 10
+                c, start, letters = _codes(part)
+                grams, use = _grams(c, 0, len(c)), letters >= 10
                 if table is not None:
-                    score = sum(np.add.reduceat(table[row], start, axis=0) for row in grams)
-                    use &= score.argmax(axis=1) == lang
+                    use &= _sums(part, table)[1].argmax(axis=1) == lang
                 kept, seen = kept + int(use.sum()), seen + int((letters >= 10).sum())
                 mask = np.repeat(use, np.diff(np.append(start, grams.shape[1])))
                 for row in grams:

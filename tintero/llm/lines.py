@@ -30,6 +30,7 @@ _LETTERS = (_LETTERS ^ (_LETTERS >> np.uint64(29))) * MIX
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>")
 VOID = frozenset(["br", "hr", "img", "input", "meta", "link", "wbr", "source"])
 CHUNK = 64  # texts read at once, so that the arrays stay in the processor's cache
+CHUNK_SIZE = 400_000  # and characters, but for a longer text by itself
 
 
 @dataclass
@@ -60,6 +61,19 @@ class Lines:
         return self.buffer[self.start[k] : self.end[k]].decode("utf-8", "replace")
 
 
+def chunks(sizes: list[int], most: int = CHUNK, budget: int = CHUNK_SIZE) -> list[slice]:
+    """Slices of items in order, of at most ``most`` items and the budget in all, but at least one item each."""
+    out, at = [], 0
+    while at < len(sizes):
+        stop, total = at, 0
+        while stop < len(sizes) and stop - at < most and (stop == at or total + sizes[stop] <= budget):
+            total += sizes[stop]
+            stop += 1
+        out.append(slice(at, stop))
+        at = stop
+    return out
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=0, append=0))

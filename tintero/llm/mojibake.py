@@ -21,7 +21,7 @@ from pathlib import Path
 
 import pyarrow as pa
 
-from .common import TAG, lines_with, put_lines
+from .common import lines_with, put_lines, strip_tags
 
 LETTERS = "áéíóúüñÁÉÍÓÚÜÑ"
 MARKS = "¿¡«»—\u2013\u2026\u201c\u201d\u2018\u2019ªº\u00b7"
@@ -113,7 +113,7 @@ def automaton():  # noqa: ANN201
 
 @lru_cache(maxsize=1)
 def one_byte_tables() -> list[tuple[dict[str, str], re.Pattern[str], re.Pattern[str] | None]]:
-    """For each single-byte pair its garbled characters, the words they stand in, and opening marks before a capital."""
+    """For each single-byte pair its garbled characters, those within words, and opening marks before a capital."""
     tables = []
     for wrote, read in ONE_BYTE:
         table: dict[str, str] = {}
@@ -126,11 +126,10 @@ def one_byte_tables() -> list[tuple[dict[str, str], re.Pattern[str], re.Pattern[
                 table[g] = ch
         chars = re.escape("".join(g for g, ch in table.items() if ch in LETTERS))
         if chars:
-            opening = "".join(g for g, ch in table.items() if ch in "¿¡—«" and g not in ORDINARY + OTHERS + "½°") + "".join(g for g, ch in table.items() if ch in "¿¡—" and g in "íóù")
+            opening = "".join(g for g, ch in table.items() if ch in "¿¡—«" and g not in ORDINARY + OTHERS + "\u00bd\u00b0") + "".join(g for g, ch in table.items() if ch in "¿¡—" and g in "íóù")
             mark = re.compile(f"(?<![^\\W\\d_])[{re.escape(opening)}]+(?=[A-ZÁÉÍÓÚÑ][a-záéíóúñ])") if opening else None
-            tables.append((table, re.compile(f"[^\\W\\d_]*[{chars}](?:[^\\W\\d_]|[{chars}])*"), mark))
-    dropped = re.compile("[^\\W\\d_]*Ã[^\\W\\d_]*")
-    tables += [({"Ã": "Í"}, dropped, None), ({"Ã": "Á"}, dropped, None)]  # the second byte was dropped
+            tables.append((table, re.compile(f"[{chars}]"), mark))
+    tables += [({"Ã": "Í"}, re.compile("Ã"), None), ({"Ã": "Á"}, re.compile("Ã"), None)]  # the second byte was dropped
     return tables
 
 
@@ -170,6 +169,22 @@ def _references(text: str) -> str:
     return text
 
 
+def _words_with(text: str, pattern: re.Pattern[str], more: object) -> list[tuple[int, str, int]]:
+    """(start, word, end) of the words of letters and ``more`` around the pattern's matches, each once."""
+    out, end = [], 0
+    for m in pattern.finditer(text):
+        if m.start() < end:
+            continue
+        i, j = m.start(), m.end()
+        while i > end and (text[i - 1].isalpha() or text[i - 1] in more):  # type: ignore[operator]
+            i -= 1
+        while j < len(text) and (text[j].isalpha() or text[j] in more):  # type: ignore[operator]
+            j += 1
+        out.append((i, text[i:j], j))
+        end = j
+    return out
+
+
 def _one_byte(text: str) -> tuple[dict[str, str], dict[str, str]] | None:
     """The pair that explains the text best: its table and the words to restore; None if none does."""
     words, near = accented_words(), contexts()
@@ -181,8 +196,7 @@ def _one_byte(text: str) -> tuple[dict[str, str], dict[str, str]] | None:
         for m in mark.finditer(text) if mark else ():
             sure += 1
             todo[m.group()] = "".join(table[c] for c in m.group())
-        for m in pattern.finditer(text):
-            word = m.group()
+        for _, word, _ in _words_with(text, pattern, table):
             new = "".join(table.get(c, c) for c in word)
             low = new.strip("¿¡—«»").lower()
             cased = new.strip("¿¡—«»")
@@ -216,25 +230,24 @@ def _one_byte(text: str) -> tuple[dict[str, str], dict[str, str]] | None:
     return best
 
 
-_LOST = re.compile("[^\\W\\d_]*[?\ufffd]+(?:[^\\W\\d_]|[?\ufffd])*")
+_LOST = re.compile("[?\ufffd]+")
 
 
 def _lost(text: str) -> dict[str, str]:
     """Words with letters lost to ``?`` and their restored forms (themselves where several or none fit)."""
     index, todo = lost_index(), {}
-    for m in _LOST.finditer(text):
-        word = m.group()
+    for start, word, end in _words_with(text, _LOST, "?\ufffd"):
         core = re.sub("[?\ufffd]+", "?", word)
-        if core in ("?", "") or re.match(r"\w*[=&/]", text[m.end() :][:24]):
+        if core in ("?", "") or re.match(r"\w*[=&/]", text[end : end + 24]):
             continue
         low = "".join(c if c.isascii() else "?" for c in core.lower())
-        inner = re.search(r"[^\W\d_]\?[^\W\d_]", core)
+        inner = re.search("[A-Za-zÀ-ÿ]\\?[A-Za-zÀ-ÿ]", core)
         meant, lead = index.get(low), 0
         while meant is None and low[lead : lead + 1] == "?" and lead < 2:  # a lost dash or mark before the word
             lead += 1
             meant = index.get(low[lead:].strip("?") if core.count("?") == lead else low[lead:])
         if core.endswith("?") and not inner and not low.startswith("?"):
-            if meant is None or "¿" in text[max(0, m.start() - 200) : m.start()]:
+            if meant is None or "¿" in text[max(0, start - 200) : start]:
                 continue
         elif meant is None and not (inner and (core[core.index("?") + 1 :][:1].islower() or core.isupper())):
             continue
@@ -260,7 +273,7 @@ def _dirty(text: str) -> str:
 def _garbled(text: str) -> bool:
     if "\ufffd" in text or _matches(text) or _references(text) is not text:
         return True
-    plain = TAG.sub(" ", text)
+    plain = strip_tags(text, " ")
     return _one_byte(plain) is not None or "?" in plain and bool(_lost(plain))
 
 
@@ -315,7 +328,7 @@ def _repair(text: str) -> str:
             out += [new[at:i], meant]
             at = j
         new = "".join([*out, new[at:]])
-    plain = TAG.sub(" ", new)
+    plain = strip_tags(new, " ")
     if (pair := _one_byte(plain)) is not None:
         table, todo = pair
         # once a pair is certain, its other characters that Spanish text has no use for are restored as well
@@ -324,7 +337,7 @@ def _repair(text: str) -> str:
         new = word.sub(lambda m: todo[m.group()], new)
         if len(rest) > 1:
             new = "".join(rest.get(c, c) for c in new)
-    if ("?" in plain or "\ufffd" in plain) and (lost := {k: v for k, v in _lost(TAG.sub(" ", new)).items() if k != v}):
+    if ("?" in plain or "\ufffd" in plain) and (lost := {k: v for k, v in _lost(strip_tags(new, " ")).items() if k != v}):
         word = re.compile("|".join(re.escape(w) for w in sorted(lost, key=len, reverse=True)))
         new = word.sub(lambda m: lost[m.group()], new)
     return new

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch_of, materialize, visible
-from .lines import CHUNK, MIX, hash_text, minhash, read
+from .lines import MIX, chunks, hash_text, minhash, read
 
 LEAST_LETTERS = 10
 # Site clusters up to this number (8 bytes each) are broadcast; beyond it lines and clusters are joined.
@@ -54,8 +54,9 @@ def _decoded(text: str) -> str:
 def line_bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, line number, bands) of every line with words; a band value of 0 stands for none."""
     docs, nos, values = [], [], []
-    for at in range(0, len(texts), CHUNK):
-        x = read([_decoded(t) for t in texts[at : at + CHUNK]], tags=False)
+    for part in chunks([len(t) for t in texts]):
+        at = part.start
+        x = read([_decoded(t) for t in texts[part]], tags=False)
         n = len(x.doc)
         plain = ~x.word_digit
         lower = np.bincount(x.word_line, ~x.word_cap & ~x.word_first, n) > 0
