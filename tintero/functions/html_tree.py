@@ -42,31 +42,36 @@ class Element:
     def text(self) -> str:
         """Visible text; runs of blanks, no-break spaces included, are one, blocks are set apart, soft hyphens and zero-width spaces go."""
         parts: list[str] = []
-
-        def add(e: Element) -> None:
-            for c in e.children:
-                if isinstance(c, str):
-                    if e.tag not in RAW:
-                        parts.append(c)
-                elif c.tag == "br":
+        todo: list[Element | str] = list(reversed(self.children)) if self.tag not in RAW else []
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.tag == "br":
+                parts.append(" ")
+            elif c.tag not in RAW:
+                if c.tag in BLOCK or c.tag in CLOSED_BY:
                     parts.append(" ")
-                else:
-                    apart = c.tag in BLOCK or c.tag in CLOSED_BY
-                    if apart:
-                        parts.append(" ")
-                    add(c)
-                    if apart:
-                        parts.append(" ")
-
-        add(self)
+                    todo.append(" ")
+                todo += reversed(c.children)
         return _BLANKS.sub(" ", _UNSEEN.sub("", "".join(parts))).strip(" ")
 
     def inner_html(self) -> str:
-        return "".join(c if isinstance(c, str) and self.tag in RAW else escape(c, quote=False).replace("\xa0", "&#160;") if isinstance(c, str) else c.outer_html() for c in self.children)
-
-    def outer_html(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs} />" if self.tag in VOID else f"<{self.tag}{attrs}>{self.inner_html()}</{self.tag}>"
+        out: list[str] = []
+        todo: list[tuple[Element | str, bool]] = [(c, self.tag in RAW) for c in reversed(self.children)]
+        while todo:
+            c, raw = todo.pop()
+            if isinstance(c, str):
+                out.append(c if raw else escape(c, quote=False).replace("\xa0", "&#160;"))
+                continue
+            attrs = "".join(f' {k}="{escape(v)}"' for k, v in c.attrs.items())
+            if c.tag in VOID:
+                out.append(f"<{c.tag}{attrs} />")
+                continue
+            out.append(f"<{c.tag}{attrs}>")
+            todo.append((f"</{c.tag}>", True))
+            todo += [(x, c.tag in RAW) for x in reversed(c.children)]
+        return "".join(out)
 
     def remove(self) -> None:
         if self.parent is not None:
