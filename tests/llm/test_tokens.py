@@ -42,3 +42,8 @@ def test_operator(spark):
     back = {(r.id, r.text) for r in T.decoded(T.token_ids(df, "doc_id", "text", NAME), "id", "ids", NAME).collect()}
     assert back == {(1, "hola mundo"), (2, ""), (3, ""), (None, "x")}
     assert T.token_ids(df.limit(0), "doc_id", "text", NAME).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k", "piece_bpe_32k", "byte_bpe_multi_50k"])
+def test_other_vocabularies(name):
+    assert T.encode("", name) == [] and len(T.encode("Hola, mundo: 日本語", name)) > 3

@@ -11,8 +11,10 @@ special tokens are ordinary text; decoding goes through raw bytes, so tokens tha
 from __future__ import annotations
 
 import base64
+import importlib.util
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -23,7 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-FOLDER = os.environ.get("TINTERO_TOKENIZERS", "/opt/tokenizers")
+def _folder() -> str:
+    """TINTERO_TOKENIZERS, else /opt/tokenizers, else where the package with the files is installed."""
+    named = os.environ.get("TINTERO_TOKENIZERS") or "/opt/tokenizers"
+    if not os.path.isdir(named) and (found := importlib.util.find_spec("public_tokenizers")) and found.origin:
+        return os.path.dirname(found.origin)
+    return named
+
+
+FOLDER = _folder()
 LONG = 20_000
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 
@@ -56,14 +66,31 @@ def pieces(text: str, long: int = LONG) -> list[str]:
     return [*out, text[at:]]
 
 
+@lru_cache(maxsize=4)
+def encoder(name: str, folder: str = FOLDER) -> Callable[[str], list[int]]:
+    """The encoding function of a vocabulary by its file: a rank file, a ``tokenizers`` file or a ``sentencepiece`` model."""
+    if os.path.isfile(f"{folder}/{name}.tiktoken"):
+        return encoding(name, folder).encode_ordinary
+    if os.path.isfile(f"{folder}/{name}.json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(f"{folder}/{name}.json")
+        t.encode_special_tokens = True
+        return lambda text: t.encode(text, add_special_tokens=False).ids
+    from sentencepiece import SentencePieceProcessor
+
+    p = SentencePieceProcessor(model_file=f"{folder}/{name}.model")
+    return lambda text: p.encode(text, num_threads=1)
+
+
 def encode(text: str | None, name: str, folder: str = FOLDER) -> list[int]:
-    """The token ids of a text; those of null and empty texts are none."""
+    """The token ids of a text; those of null and empty texts are none.  Only rank files' texts are cut."""
     if not text:
         return []
-    enc = encoding(name, folder)
-    if len(text) <= LONG:
-        return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    one = encoder(name, folder)
+    if len(text) <= LONG or not os.path.isfile(f"{folder}/{name}.tiktoken"):
+        return one(text)
+    return [i for piece in pieces(text) for i in one(piece)]
 
 
 def decode(ids: list[int], name: str, folder: str = FOLDER) -> str:
