@@ -77,3 +77,13 @@ def test_streams(spark, data, tmp_path):
     q.awaitTermination()
     table = X.extract(spark.read.parquet(f"{data}/pages.parquet"), spark.read.parquet(f"{data}/site_config.parquet"))
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "o")).collect())) == sorted(map(str, table.collect()))
+
+
+def test_resources_and_cover_go_into_the_book(spark):
+    sections = spark.createDataFrame([("b", 1, "a.xhtml", "A", "<html/>")], "book_id string, ord int, name string, title string, xhtml string")
+    meta = spark.createDataFrame([("b", None, None, None, None, None, None)], "book_id string, title string, authors array<string>, language string, subjects array<string>, descriptions array<string>, identifiers array<string>")
+    res = spark.createDataFrame([("b", "Images/c.jpg", bytearray(b"j"), True), ("b", "Styles/s.css", bytearray(b"p"), False), ("b", "Styles/s.css", bytearray(b"p"), False), ("z", "x.css", bytearray(b"p"), None)], "book_id string, href string, data binary, is_cover boolean")
+    built = Z.build_books(sections, meta, ["book_id"], res)
+    assert built.count() == 1
+    read = Z.books(built.select(F.col("book_id").alias("archive"), "content"))
+    assert sorted((r.href, r.is_cover) for r in Z.resources_of(read).collect()) == [("Images/c.jpg", True), ("Styles/s.css", False), ("Text/a.xhtml", False), ("toc.ncx", False)]

@@ -147,15 +147,34 @@ def insert_pages(spine: DataFrame, requests: DataFrame, book: str = "book_id") -
     ``requests`` has (book, req_ord, name, after_chapter); those for unknown chapters are dropped.  Pages after the same
     chapter stand in the order of the requests, and pages are numbered through a book.
     """
-    at = chapter_map(spine, book)
-    target = requests.join(at, (requests[book] == at[book]) & (requests["after_chapter"] == at["chapter_no"])).select(requests[book], "req_ord", "name", "spine_idx")
-    k = F.row_number().over(Window.partitionBy(book).orderBy("spine_idx", "req_ord"))
-    pages = target.select(book, F.col("spine_idx").alias("i"), F.lit(1).alias("kind_ord"), k.alias("k"), F.format_string("info_libro_%d.xhtml", k).alias("href"), F.lit("page").alias("kind"))
+    pages = page_targets(spine, requests, book).select(book, F.col("spine_idx").alias("i"), F.lit(1).alias("kind_ord"), "k", "href", F.lit("page").alias("kind"))
     own = spine.select(book, F.col("spine_idx").alias("i"), F.lit(0).alias("kind_ord"), F.lit(0).alias("k"), "href", F.lit("section").alias("kind"))
     order = Window.partitionBy(book).orderBy("i", "kind_ord", "k")
     return own.unionByName(pages).select(book, (F.row_number().over(order) - 1).alias("new_idx"), "href", "kind")
 
 
+def insert_toc_entries(toc: DataFrame, pages: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, pos, title, href): top-level contents with entries for inserted pages (book, k, spine_idx, href).
+
+    A page's entry follows the place of its section, or the last entry where the contents are shorter.
+    """
+    top = toc.where("parent_id IS NULL").select(book, "pos", "title", "href")
+    order = Window.partitionBy(book).orderBy("pos", "href")
+    own = top.withColumn("i", F.row_number().over(order) - 1)
+    size = own.groupBy(book).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    new = pages.join(size, book).select(book, F.least(F.col("spine_idx"), F.col("size") - 1).alias("i"), F.lit(1).alias("kind"), "k", F.concat(F.lit("Libro "), F.col("k").cast("string")).alias("title"), "href")
+    both = own.select(book, "i", F.lit(0).alias("kind"), F.lit(0).alias("k"), "title", "href").unionByName(new)
+    return both.select(book, (F.row_number().over(Window.partitionBy(book).orderBy("i", "kind", "k")) - 1).alias("pos"), "title", "href")
+
+
+def page_targets(spine: DataFrame, requests: DataFrame, book: str = "book_id") -> DataFrame:
+    """(book, k, spine_idx, name, href): requested start pages in order, those for unknown chapters left out."""
+    at = chapter_map(spine, book)
+    target = requests.join(at, (requests[book] == at[book]) & (requests["after_chapter"] == at["chapter_no"])).select(requests[book], "req_ord", "name", "spine_idx")
+    k = F.row_number().over(Window.partitionBy(book).orderBy("spine_idx", "req_ord"))
+    return target.select(book, k.alias("k"), "spine_idx", "name", F.format_string("info_libro_%d.xhtml", k).alias("href"))
+
+
 def shared_resources(resources: DataFrame, spine: DataFrame, plan: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, part, href): resources outside the reading order and other than the cover, for every part of their book.
 

@@ -19,6 +19,7 @@ from ..operators import select as S
 from ..operators.sites import dispatch
 from ..sources import archive as Z
 from ..streaming import pages as P
+from . import flows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,9 +433,23 @@ _REQUESTS = ((1, "Primera", 10), (2, "Segunda", 10), (3, "Tercera", 25), (4, "Nu
     SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY i, kind_ord, k) - 1 AS INTEGER) AS new_idx, href, kind FROM (SELECT book_id, spine_idx AS i, 0 AS kind_ord, 0 AS k, href, 'section' AS kind FROM spine
     UNION ALL SELECT book_id, i, kind_ord, k, 'info_libro_' || k || '.xhtml', 'page' FROM pages)""")
 def insert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.insert_pages(_spine(spark, sf_dir), _requests(spark, sf_dir))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(o).alias("req_ord"), F.lit(n).alias("name"), F.lit(c).alias("after_chapter")) for o, n, c in _REQUESTS])
-    requests = table(spark, sf_dir, "metadata", "book_id").distinct().select("book_id", F.explode(rows).alias("r")).select("book_id", "r.*")
-    return B.insert_pages(_spine(spark, sf_dir), requests)
+    return table(spark, sf_dir, "metadata", "book_id").distinct().select("book_id", F.explode(rows).alias("r")).select("book_id", "r.*")
+
+
+@query(f"""WITH m AS ({_MAP_SQL}), q AS (SELECT book_id, r.* FROM (SELECT DISTINCT book_id FROM metadata), (VALUES (1, 10), (2, 10), (3, 25), (4, 999999)) r(req_ord, after_chapter)),
+    pages AS (SELECT q.book_id, m.spine_idx, row_number() OVER (PARTITION BY q.book_id ORDER BY m.spine_idx, req_ord) AS k FROM q JOIN m ON q.book_id = m.book_id AND q.after_chapter = m.chapter_no),
+    top AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS i, href FROM spine WHERE spine_idx < 20), sizes AS (SELECT book_id, count(*) AS size FROM top GROUP BY book_id)
+    SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY i, kind, k) - 1 AS INTEGER) AS pos, title, href FROM (SELECT book_id, i, 0 AS kind, 0 AS k, href AS title, href FROM top
+    UNION ALL SELECT book_id, least(spine_idx, size - 1), 1, k, 'Libro ' || k, 'info_libro_' || k || '.xhtml' FROM pages JOIN sizes USING (book_id))""")
+def insert_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = _spine(spark, sf_dir)
+    toc = spine.where("spine_idx < 20").select("book_id", F.lit(None).cast("int").alias("parent_id"), F.col("spine_idx").alias("pos"), F.col("href").alias("title"), "href")
+    return B.insert_toc_entries(toc, B.page_targets(spine, _requests(spark, sf_dir)))
 
 
 def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -561,9 +576,22 @@ def ocf_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.pack_plan(rows.unionByName(mime))
 
 
-@query(
-    """SELECT book_id, count(DISTINCT file_name) AS n_sections FROM chapters WHERE content_html IS NOT NULL GROUP BY book_id"""
-)
+@query("SELECT book_id, count(DISTINCT file_name) + 1 AS n_sections FROM chapters JOIN metadata USING (book_id) WHERE content_html IS NOT NULL GROUP BY book_id")
+def build_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = W.built_books(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "metadata"))
+    return Z.spine_of(Z.books(built.select(F.col("book_id").alias("archive"), "content"))).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_sections"))
+
+
+@query(f"""SELECT p.book_id || '_' || p.part AS book_id, count(*) + 1 AS n_sections FROM ({_PARTS_SQL}) p JOIN (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS pos FROM spine) s
+    ON s.book_id = p.book_id AND s.pos BETWEEN p.start_idx AND p.end_idx GROUP BY p.book_id, p.part""")
+def split_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = _spine(spark, sf_dir)
+    css = table(spark, sf_dir, "metadata", "book_id").distinct().select("book_id", F.lit("Styles/stylesheet.css").alias("href"), F.encode(F.lit("p {}"), "UTF-8").alias("data"), F.lit(False).alias("is_cover"))
+    built = W.split_books(spine, B.split_in_parts(spine, 4), table(spark, sf_dir, "chapters"), table(spark, sf_dir, "metadata"), css)
+    return Z.spine_of(Z.books(built.select(F.concat_ws("_", "book_id", "part").alias("archive"), "content"))).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_sections"))
+
+
+@query("SELECT book_id, count(DISTINCT file_name) AS n_sections FROM chapters WHERE content_html IS NOT NULL GROUP BY book_id")
 def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _book_files(spark, sf_dir).select("book_id", F.col("file_name").alias("ord"), F.col("file_name").alias("name"), "title", "xhtml")
     m = table(spark, sf_dir, "metadata").select("book_id", F.try_element_at("titles", F.lit(1)).alias("title"), "authors", "language", "subjects", "descriptions", "identifiers")

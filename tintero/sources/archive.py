@@ -262,25 +262,36 @@ def _media(path: str) -> str:
     return _TYPES.get(path.rpartition(".")[2].lower(), "application/octet-stream")
 
 
-def build_books(sections: DataFrame, metadata: DataFrame, group: list[str]) -> DataFrame:
+def build_books(sections: DataFrame, metadata: DataFrame, group: list[str], resources: DataFrame | None = None) -> DataFrame:
     """(group columns, content): an EPUB per group of sections (ord, name, title, xhtml), with the group's metadata row.
 
-    One group is one book or part, the unit that is written as one file.
+    ``resources`` has (group columns, href, data, is_cover), paths below OEBPS; of several covers the first by path
+    counts.  One group is one book or part, the unit that is written as one file.
     """
     meta_cols = ["title", "authors", "language", "subjects", "descriptions", "identifiers"]
     joined = sections.select(*group, "ord", "name", F.col("title").alias("section_title"), "xhtml").join(metadata.select(*group, *meta_cols), group, "left")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, extra: pd.DataFrame | None = None) -> pd.DataFrame:
+        if pdf.empty:  # resources of a book without sections
+            return pd.DataFrame({**{g: [] for g in group}, "content": []})
         pdf = pdf.sort_values(["ord", "name"], kind="stable")
         head = pdf.iloc[0]
         meta = {c: (list(head[c]) if head[c] is not None and not isinstance(head[c], str) else head[c]) for c in meta_cols}
         meta["authors"] = [a if isinstance(a, str) else f"{a.get('first') or ''} {a.get('last') or ''}".strip() for a in meta["authors"] or []]
+        files, cover = [], None
+        if extra is not None and len(extra):
+            extra = extra.sort_values("href", kind="stable").drop_duplicates("href")
+            files = [(str(h), bytes(d or b"")) for h, d in zip(extra["href"], extra["data"], strict=True)]
+            cover = next((h for h, c in zip(extra["href"], extra["is_cover"], strict=True) if c is True or c == 1), None)
         name = "_".join(str(head[g]) for g in group)
-        data = zip_bytes(book_files(name, meta, [(n, t or n, x or "") for n, t, x in zip(pdf["name"], pdf["section_title"], pdf["xhtml"], strict=True)]))
+        data = zip_bytes(book_files(name, meta, [(n, t or n, x or "") for n, t, x in zip(pdf["name"], pdf["section_title"], pdf["xhtml"], strict=True)], files, cover))
         return pd.DataFrame({**{g: [head[g]] for g in group}, "content": [data]})
 
     kinds = dict(sections.dtypes)
-    return joined.groupBy(*group).applyInPandas(one, ", ".join([*[f"{g} {kinds[g]}" for g in group], "content binary"]))
+    schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "content binary"])
+    if resources is None:
+        return joined.groupBy(*group).applyInPandas(lambda pdf: one(pdf), schema)
+    return joined.groupBy(*group).cogroup(resources.select(*group, "href", "data", "is_cover").groupBy(*group)).applyInPandas(lambda left, right: one(left, right), schema)
 
 
 def save_files(df: DataFrame, name_col: str, data_col: str, folder: str) -> None:
