@@ -272,8 +272,6 @@ def build_books(sections: DataFrame, metadata: DataFrame, group: list[str], reso
     joined = sections.select(*group, "ord", "name", F.col("title").alias("section_title"), "xhtml").join(metadata.select(*group, *meta_cols), group, "left")
 
     def one(pdf: pd.DataFrame, extra: pd.DataFrame | None = None) -> pd.DataFrame:
-        if pdf.empty:  # resources of a book without sections
-            return pd.DataFrame({**{g: [] for g in group}, "content": []})
         pdf = pdf.sort_values(["ord", "name"], kind="stable")
         head = pdf.iloc[0]
         meta = {c: (list(head[c]) if head[c] is not None and not isinstance(head[c], str) else head[c]) for c in meta_cols}
@@ -291,7 +289,8 @@ def build_books(sections: DataFrame, metadata: DataFrame, group: list[str], reso
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "content binary"])
     if resources is None:
         return joined.groupBy(*group).applyInPandas(lambda pdf: one(pdf), schema)
-    return joined.groupBy(*group).cogroup(resources.select(*group, "href", "data", "is_cover").groupBy(*group)).applyInPandas(lambda left, right: one(left, right), schema)
+    own = resources.select(*group, "href", "data", "is_cover").join(sections.select(*group).distinct(), group, "left_semi")  # no book without sections
+    return joined.groupBy(*group).cogroup(own.groupBy(*group)).applyInPandas(lambda left, right: one(left, right), schema)
 
 
 def save_files(df: DataFrame, name_col: str, data_col: str, folder: str) -> None:
