@@ -173,3 +173,28 @@ def test_metadata_defaults(spark):
     assert rows(B.metadata_fields(m)) == [("a", None, "Desconocido", "No especificados.", "No disponible."), ("b", "T", "N ", "x, y", "d")]
     page = m.select(B.info_page(F.lit("a<b"), F.lit(" "), F.lit(None).cast("string"), F.lit("s"), F.lit(1), F.lit(2), None, "language")).collect()
     assert "<h1>a&lt;b</h1>" in page[0][0] and "Desconocido" in page[0][0] and "Sitio" not in page[0][0] and "<dd>es</dd>" in page[1][0]
+
+
+@pytest.mark.parametrize("width", [3, 100_000])
+def test_places_without_a_whole_group_in_a_task(spark, width):
+    from tintero.operators.position import by_number, by_order
+
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "a", "a", None]), rng.randint(-20, 60) if k else None, f"n{rng.randint(0, 9)}", k) for k in range(120)]
+    df = spark.createDataFrame(data, "g string, n int, name string, k int").repartition(5)
+    got = by_number(df, "g", "n", "pos", width).collect()
+    for g in ("a", None):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(mine)))
+        assert [r.n for r in mine] == sorted((r.n for r in mine), key=lambda n: (n is not None, n))
+    named = by_order(df, "g", ["name", "k"]).collect()
+    for g in ("a", None):
+        mine = sorted((r for r in named if r.g == g), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(mine))) and [(r.name, r.k) for r in mine] == sorted((r.name, r.k) for r in mine)
+    assert by_number(df.limit(0), "g", "n").count() == 0
+
+
+def test_asof_with_ties_and_ends(spark):
+    have = spark.createDataFrame([("b", n) for n in (2, 2, 5, 9)], "book_id string, chapter_no int")
+    ask = spark.createDataFrame([("b", n) for n in (1, 2, 6, 9, 10, 2)] + [("z", 1)], "book_id string, chapter_no int")
+    assert {tuple(r) for r in B.next_existing(ask, have).collect()} == {("b", 1, 2, None), ("b", 2, 2, 2), ("b", 6, 9, 5), ("b", 9, 9, 9), ("b", 10, None, 9), ("z", 1, None, None)}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
+from .position import bucket_of
 
 
 def format_problems(files: DataFrame, h1: str = "h1") -> DataFrame:
@@ -47,15 +48,15 @@ def _spans(numbers: DataFrame, book: str, number: str) -> DataFrame:
 def missing_chapters(numbers: DataFrame, book: str = "book_id", number: str = "chapter_no") -> DataFrame:
     """(book, chapter_no): numbers from 1 to the book's largest that it lacks.
 
-    Gaps are read off neighbouring numbers (one shuffle by book and number range), so no full sequence is built and
-    joined: a book's gap of n numbers costs n rows, which are the result.  A book is one window partition of its
-    distinct numbers only.
+    Gaps are read off neighbouring numbers, so no full sequence is built and joined.  Neighbours are sought within
+    buckets of numbers; a bucket's first number follows the largest of the buckets before it.  So no task holds a whole
+    book, and a gap of n numbers costs n rows, which are the result.
     """
-    from pyspark.sql import Window
-
-    have = numbers.where(F.col(number) > 0).select(book, F.col(number).alias("n")).distinct()
-    before = F.coalesce(F.lag("n").over(Window.partitionBy(book).orderBy("n")), F.lit(0))
-    gaps = have.withColumn("p", before).where(F.col("n") - F.col("p") > 1)
+    have = numbers.where(F.col(number) > 0).select(book, F.col(number).alias("n")).distinct().withColumn("_bucket", bucket_of("n"))
+    near = have.withColumn("p", F.lag("n").over(Window.partitionBy(book, "_bucket").orderBy("n"))).where("p IS NOT NULL")
+    ends = have.groupBy(book, "_bucket").agg(F.min("n").alias("n"), F.max("n").alias("most"))
+    far = ends.withColumn("p", F.coalesce(F.lag("most").over(Window.partitionBy(book).orderBy("_bucket")), F.lit(0)))
+    gaps = near.select(book, "n", "p").unionByName(far.select(book, "n", "p")).where(F.col("n") - F.col("p") > 1)
     return gaps.select(book, F.explode(F.sequence(F.col("p") + 1, F.col("n") - 1)).alias("chapter_no"))
 
 

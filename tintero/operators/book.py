@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
+from .position import by_number, by_order
 
 # The generated pages.
 XHTML_HEAD = (
@@ -31,7 +32,7 @@ NO_TITLE = "Libro sin Título"
 
 def ordered_spine(spine: DataFrame, book: str = "book_id", idx: str = "spine_idx") -> DataFrame:
     """Adds pos: the section's place from 0 within its book, whatever holes its index has."""
-    return spine.withColumn("pos", (F.row_number().over(Window.partitionBy(book).orderBy(idx)) - 1).cast("int"))
+    return by_number(spine, book, idx)
 
 
 def _sizes(spine: DataFrame, book: str) -> DataFrame:
@@ -82,15 +83,15 @@ def chapter_map(spine: DataFrame, book: str = "book_id") -> DataFrame:
 def split_custom(chapters: DataFrame, ends: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, part, first_chapter, last_chapter, start_idx, end_idx): parts that end at requested chapter numbers.
 
-    ``chapters`` is a chapter map and ``ends`` (book, end_no) the ascending requests.  A part holds the existing
-    chapters after the last request's up to its own; empty parts are dropped and the rest numbered on.  Each chapter
-    finds its request by a running minimum over both in descending order, so nothing is range-joined.
+    ``chapters`` is a chapter map and ``ends`` (book, end_no) the ascending requests, which somebody typed and which
+    therefore fit an array.  A part holds the existing chapters after the last request's up to its own; empty parts are
+    dropped and the rest numbered on.  Each chapter looks its request up in its book's array.
     """
-    wanted = ends.select(book, F.col("end_no").alias("n"), F.lit(1).alias("is_end"), F.lit(None).cast("int").alias("spine_idx")).where("n IS NOT NULL").distinct()
-    both = chapters.select(book, F.col("chapter_no").alias("n"), F.lit(0).alias("is_end"), "spine_idx").unionByName(wanted)
-    up = Window.partitionBy(book).orderBy(F.col("n").desc(), F.col("is_end").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("end_no", F.min(F.when(F.col("is_end") == 1, F.col("n"))).over(up)).where("is_end = 0 AND end_no IS NOT NULL")
-    parts = placed.groupBy(book, "end_no").agg(F.min("n").alias("first_chapter"), F.max("n").alias("last_chapter"), F.min_by("spine_idx", "n").alias("start_idx"), F.max_by("spine_idx", "n").alias("end_idx"))
+    wanted = ends.where("end_no IS NOT NULL").groupBy(book).agg(F.sort_array(F.collect_set("end_no")).alias("ends"))
+    placed = chapters.join(wanted, book).withColumn("end_no", F.try_element_at(F.filter("ends", lambda e: e >= F.col("chapter_no")), F.lit(1))).where("end_no IS NOT NULL")
+    parts = placed.groupBy(book, "end_no").agg(
+        F.min("chapter_no").alias("first_chapter"), F.max("chapter_no").alias("last_chapter"), F.min_by("spine_idx", "chapter_no").alias("start_idx"), F.max_by("spine_idx", "chapter_no").alias("end_idx")
+    )
     number = F.row_number().over(Window.partitionBy(book).orderBy("end_no"))
     return parts.select(book, number.alias("part"), "first_chapter", "last_chapter", "start_idx", "end_idx")
 
@@ -98,16 +99,18 @@ def split_custom(chapters: DataFrame, ends: DataFrame, book: str = "book_id") ->
 def next_existing(requests: DataFrame, chapters: DataFrame, book: str = "book_id", at: str = "chapter_no") -> DataFrame:
     """(book, at, next_no, prev_no): for each asked number the first existing one at or after it and the last at or before it.
 
-    An as-of join by one sort of both sides' union per book.
+    Existing numbers are reduced to the least and greatest between neighbouring requests first; only as many rows as
+    there are requests are then ordered.
     """
-    asked = requests.select(book, F.col(at).alias("n"), F.lit(1).alias("asked")).distinct()
-    have = chapters.select(book, F.col("chapter_no").alias("n"), F.lit(0).alias("asked")).distinct()
-    both = asked.unionByName(have)
-    value = F.when(F.col("asked") == 0, F.col("n"))
-    down = Window.partitionBy(book).orderBy(F.col("n").desc(), "asked").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(book).orderBy("n", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("next_no", F.min(value).over(down)).withColumn("prev_no", F.max(value).over(up))
-    return seen.where("asked = 1").select(book, F.col("n").alias(at), "next_no", "prev_no")
+    asked = requests.select(book, F.col(at).alias("n")).where("n IS NOT NULL").distinct()
+    arrays = asked.groupBy(book).agg(F.sort_array(F.collect_list("n")).alias("asks"))
+    have = chapters.select(book, F.col("chapter_no").alias("c")).join(arrays, book)
+    above = have.select(book, F.try_element_at(F.filter("asks", lambda a: a <= F.col("c")), F.lit(-1)).alias("n"), "c").where("n IS NOT NULL").groupBy(book, "n").agg(F.min("c").alias("lo"))
+    below = have.select(book, F.try_element_at(F.filter("asks", lambda a: a >= F.col("c")), F.lit(1)).alias("n"), "c").where("n IS NOT NULL").groupBy(book, "n").agg(F.max("c").alias("hi"))
+    down = Window.partitionBy(book).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(book).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.join(above, [book, "n"], "left").join(below, [book, "n"], "left")
+    return both.select(book, F.col("n").alias(at), F.min("lo").over(down).alias("next_no"), F.max("hi").over(up).alias("prev_no"))
 
 
 def sections_of_parts(spine: DataFrame, plan: DataFrame, book: str = "book_id") -> DataFrame:
@@ -133,9 +136,8 @@ def part_names(plan: DataFrame, base: Column | str) -> DataFrame:
 
 def batches(index: DataFrame, threads: int = 5, order: str = "chapter_no") -> DataFrame:
     """Adds batch: contiguous batches of ceil(total / threads) chapters of each index; a plan, not how Spark works."""
-    by = Window.partitionBy("index_url")
-    size = F.ceil(F.count(F.lit(1)).over(by) / F.lit(threads))
-    return index.withColumn("batch", F.floor((F.row_number().over(by.orderBy(order)) - 1) / size).cast("int"))
+    sizes = index.groupBy("index_url").agg(F.ceil(F.count(F.lit(1)) / F.lit(threads)).alias("_size"))
+    return by_number(index, "index_url", order, "_pos").join(sizes, "index_url").withColumn("batch", F.floor(F.col("_pos") / F.col("_size")).cast("int")).drop("_pos", "_size")
 
 
 # Insertion and resources
@@ -147,10 +149,13 @@ def insert_pages(spine: DataFrame, requests: DataFrame, book: str = "book_id") -
     ``requests`` has (book, req_ord, name, after_chapter); those for unknown chapters are dropped.  Pages after the same
     chapter stand in the order of the requests, and pages are numbered through a book.
     """
-    pages = page_targets(spine, requests, book).select(book, F.col("spine_idx").alias("i"), F.lit(1).alias("kind_ord"), "k", "href", F.lit("page").alias("kind"))
-    own = spine.select(book, F.col("spine_idx").alias("i"), F.lit(0).alias("kind_ord"), F.lit(0).alias("k"), "href", F.lit("section").alias("kind"))
-    order = Window.partitionBy(book).orderBy("i", "kind_ord", "k")
-    return own.unionByName(pages).select(book, (F.row_number().over(order) - 1).alias("new_idx"), "href", "kind")
+    pages = page_targets(spine, requests, book)
+    targets = pages.groupBy(book).agg(F.sort_array(F.collect_list("spine_idx")).alias("targets"))
+    placed = ordered_spine(spine, book).join(targets, book, "left")
+    before = F.coalesce(F.size(F.filter("targets", lambda t: t < F.col("spine_idx"))), F.lit(0))
+    own = placed.select(book, (F.col("pos") + F.when(F.col("targets").isNull(), 0).otherwise(before)).alias("new_idx"), "href", F.lit("section").alias("kind"))
+    at = placed.select(book, "spine_idx", "pos").join(pages.select(book, "spine_idx", "k", F.col("href").alias("page")), [book, "spine_idx"])
+    return own.unionByName(at.select(book, (F.col("pos") + F.col("k")).alias("new_idx"), F.col("page").alias("href"), F.lit("page").alias("kind")))
 
 
 def insert_toc_entries(toc: DataFrame, pages: DataFrame, book: str = "book_id") -> DataFrame:
@@ -226,8 +231,7 @@ def toc_rows(files: DataFrame, book: str, name_col: str, h1_col: str) -> DataFra
     """(book, ord, href, label): entries of a generated table of contents, which doesn't list itself."""
     own = files.where(F.lower(name_col) != "toc.xhtml")
     label = R.html_escape(F.coalesce(F.col(h1_col), F.replace(F.col(name_col), F.lit(".xhtml"), F.lit(""))))
-    order = Window.partitionBy(book).orderBy(name_col, h1_col)
-    return own.select(book, F.row_number().over(order).alias("ord"), R.url_quote(name_col).alias("href"), label.alias("label"))
+    return by_order(own.select(book, name_col, h1_col), book, [name_col, h1_col]).select(book, (F.col("pos") + 1).alias("ord"), R.url_quote(name_col).alias("href"), label.alias("label"))
 
 
 def toc_pages(rows: DataFrame, book: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text_rules as R
 from ..functions.arrow import map_rows
 from ..functions.html_tree import Element, parse
+from .position import by_order
 
 # Fixed value: where a file's title is sought, the first selector with any element decides.
 TITLE_PLACES = ("h1", "h2", "h3", "h4", "p > strong", "p", "b")
@@ -119,5 +120,4 @@ def link_css(files: DataFrame, content_col: str, href: str = "../Styles/styleshe
 
 def rename_plan(files: DataFrame, book_col: str, name_col: str, tie_col: str) -> DataFrame:
     """Adds new_name: ``CapituloNNNN.xhtml`` by place in the order of names within a book; ``tie_col`` settles equal names."""
-    order = Window.partitionBy(book_col).orderBy(name_col, tie_col)
-    return files.withColumn("new_name", R.chapter_file(F.row_number().over(order)))
+    return by_order(files, book_col, [name_col, tie_col], "_pos").withColumn("new_name", R.chapter_file(F.col("_pos") + 1)).drop("_pos")

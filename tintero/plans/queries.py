@@ -16,6 +16,7 @@ from ..operators import book as B
 from ..operators import extract as X
 from ..operators import normalize as N
 from ..operators import select as S
+from ..operators.position import by_number
 from ..operators.sites import dispatch
 from ..sources import archive as Z
 from ..streaming import pages as P
@@ -171,11 +172,10 @@ def distinct_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges AS (SELECT url, min(next_url) AS next_url FROM chain WHERE next_url IS NOT NULL AND url <> next_url GROUP BY url), starts AS (SELECT DISTINCT url FROM chain WHERE chapter_no = 1),
     walk AS (SELECT url AS start, url FROM starts UNION SELECT w.start, e.next_url FROM walk w JOIN edges e ON w.url = e.url) SELECT start, url FROM walk""")
 def next_page_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    nxt = F.lead("url").over(Window.partitionBy("index_url").orderBy("chapter_no"))
-    chain = _index(spark, sf_dir).withColumn("next_url", nxt)
-    return X.closure(spark, chain.where("chapter_no = 1").select("url"), chain.select("url", "next_url"), depth=1 << 24).select("start", "url")
+    chain = by_number(_index(spark, sf_dir), "index_url", "chapter_no")
+    after = chain.select("index_url", (F.col("pos") - 1).alias("pos"), F.col("url").alias("next_url"))
+    links = chain.select("index_url", "pos", "url").join(after, ["index_url", "pos"]).select("url", "next_url")
+    return X.closure(spark, chain.where("chapter_no = 1").select("url"), links, depth=1 << 24).select("start", "url")
 
 
 # Selection
