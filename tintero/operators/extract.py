@@ -152,14 +152,15 @@ def closure(spark: SparkSession, starts: DataFrame, links: DataFrame, depth: int
     from ..sources.store import checkpointed
 
     edges = links.where("url IS NOT NULL AND next_url IS NOT NULL AND url <> next_url").groupBy("url").agg(F.min("next_url").alias("next_url"))
-    reached = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")).where("url IS NOT NULL").distinct()
-    jump, step = edges.select(F.col("url").alias("a"), F.col("next_url").alias("b")), 1
+    jump, step = checkpointed(edges.select(F.col("url").alias("a"), F.col("next_url").alias("b"))), 1
+    reached = checkpointed(starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")).where("url IS NOT NULL").distinct())
+    size = reached.count()
     while step <= depth:
         new = reached.join(jump, F.col("url") == F.col("a")).select("start", F.col("b").alias("url"), (F.col("depth") + step).alias("depth"))
-        more = checkpointed(reached.unionByName(new).where(F.col("depth") <= depth).groupBy("start", "url").agg(F.min("depth").alias("depth")))
-        if more.count() == reached.count():
-            return more
-        reached, left = more, jump.alias("l")
+        reached = checkpointed(reached.unionByName(new).where(F.col("depth") <= depth).groupBy("start", "url").agg(F.min("depth").alias("depth")))
+        if (now := reached.count()) == size:
+            break
+        size, left = now, jump.alias("l")
         jump = checkpointed(left.join(jump.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a"), F.col("r.b")))
         step *= 2
     return reached
