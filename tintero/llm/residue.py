@@ -34,10 +34,10 @@ FILLER_WORD = re.compile(
 )
 FILLER_SURE = frozenset("lorem ipsum amet adipis consec sedo elit nostru veniam fugiat aliqua adipiscing consectetur eiusmod incididunt nostrud ullamco".split())
 FILLER = re.compile(
-    r"(?:(?:prueba|test|asdf|qwerty|x{3,}|bla|blah|texto)(?: (?:prueba|test|asdf|qwerty|x{3,}|bla|blah|texto))*(?: de (?:prueba|ejemplo|relleno|muestra))?|x{4,}"
+    r"(?:(?:prueba|test|asdf|qwerty|x{3,}|bla|blah)(?: (?:prueba|test|asdf|qwerty|x{3,}|bla|blah|texto))*(?: de (?:prueba|ejemplo|relleno|muestra))?|x{4,}"
     r"|(?:este es )?(?:un|el|una|la)? ?(?:bloque|texto|párrafo|parrafo|capítulo|línea|contenido|entrada) de (?:muestra|ejemplo|prueba|relleno)(?: para esta? \w+| para el \w+)?"
     r"|escrib[ae] aquí (?:tu|su|el) \w+(?: \w+){0,3}|aquí va el (?:contenido|texto|título)(?: del? \w+){0,2}|(?:contenido|texto|traducción|título|capítulo) (?:pendiente|por (?:añadir|traducir|definir))|borrador automático"
-    r"|añadir (?:el )?(?:capítulo|texto|contenido) (?:más tarde|después|luego)|(?:insert|your|sample|placeholder|dummy|filler) (?:text|content|title)(?: here| goes here)?|content goes here|coming soon|tbd|todo|título de (?:ejemplo|prueba)|hello world|hola mundo|sin contenido)",
+    r"|añadir (?:el )?(?:capítulo|texto|contenido) (?:más tarde|después|luego)|(?:insert|your|sample|placeholder|dummy|filler) (?:text|content|title)(?: here| goes here)?|content goes here|coming soon|tbd|título de (?:ejemplo|prueba)|hello world|hola mundo|sin contenido)",
     re.I,
 )
 PROGRAM_VALUE = re.compile(r"(?:undefined|null|nil|none|nan|\(null\)|\[object object\]|<null>|n/a|#n/a|#ref!|#value!|true|false|\[\]|\{\}|\[object \w+\]|object reference not set(?: to an instance of an object)?)", re.I)
@@ -59,7 +59,7 @@ SCRIPT = re.compile(
     r"(?:activa|activar|habilita|habilitar|enable|turn on|active|permite|necesitas?|requiere|requires?|needs?) (?:el |los |las )?(?:java ?script|scripts|cookies)\b.{0,80}|java ?script (?:está |is |esta )?(?:deshabilitado|desactivado|disabled|required|necesario|not enabled|apagado)"
     r"|(?:navegador|browser) (?:bloquea|no (?:admite|soporta|tiene)|does not support|blocks|con)(?: los| el)? ?(?:java ?script|scripts)|sin java ?script no|requires? java ?script|needs? java ?script"
     r"|^(?:loading|cargando)(?: (?:capítulo|página|contenido|chapter|page|content))?[ .\u2026]*$|^just a moment[ .\u2026]*$|^un momento(?:, por favor)?[.\u2026]+$|^(?:comprobando|verificando|checking) (?:tu|su|your|el) (?:navegador|browser|conexión)|^completa (?:la verificación|el captcha)|^(?:verifica|demuestra|confirma) que eres human[oa]"
-    r"|verify (?:that )?you are (?:a )?human|^(?:please wait|espere|espera)[, ]*(?:por favor)?[ .\u2026]*(?:redirig\w*|redirect\w*)?[ .\u2026]*$|ddos protection by|checking if the site connection is secure",
+    r"|verify (?:that )?you are (?:a )?human|^(?:please wait|espere[, ]+por favor|espere un momento)[ .\u2026]*(?:redirig\w*|redirect\w*)?[ .\u2026]*$|ddos protection by|checking if the site connection is secure",
     re.I,
 )
 # What a line of narration has and a notice of these kinds hasn't.
