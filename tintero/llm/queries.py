@@ -118,7 +118,8 @@ def _visible_sql(column: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    key = f"trim(regexp_replace(regexp_replace(lower({_visible_sql('line')}), '[0-9]+', '', 'g'), '[\\s\\x{{a0}}\\x{{2002}}\\x{{2007}}\\x{{2009}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+    blanks = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+    key = f"trim(regexp_replace(regexp_replace(lower({_visible_sql('line')}), '\\p{{Nd}}+', '', 'g'), '{blanks}', ' ', 'g'))"
     return {
         "p5_found": f"""
             WITH rows AS (SELECT chapter_id, site, string_split(content_html, chr(10)) AS parts FROM chapters WHERE content_html IS NOT NULL),
