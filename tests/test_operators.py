@@ -198,3 +198,21 @@ def test_asof_with_ties_and_ends(spark):
     have = spark.createDataFrame([("b", n) for n in (2, 2, 5, 9)], "book_id string, chapter_no int")
     ask = spark.createDataFrame([("b", n) for n in (1, 2, 6, 9, 10, 2)] + [("z", 1)], "book_id string, chapter_no int")
     assert {tuple(r) for r in B.next_existing(ask, have).collect()} == {("b", 1, 2, None), ("b", 2, 2, 2), ("b", 6, 9, 5), ("b", 9, 9, 9), ("b", 10, None, 9), ("z", 1, None, None)}
+
+
+def test_split_modes(spark):
+    s = spine(spark, 7)
+    ends = spark.createDataFrame([("b", 3), ("b", 9)], "book_id string, end_no int")
+    assert B.split_plan(s, "parts", parts=2).count() == 2 and B.split_plan(s, "chunks", chunk=3).count() == 3 and B.split_plan(s, "range", first=1, last=7).count() == 1
+    assert rows(B.split_plan(s, "custom", ends=ends), "part", "first_chapter", "last_chapter") == [(1, 1, 3), (2, 4, 7)]
+    with pytest.raises(ValueError):
+        B.split_plan(s, "none")
+
+
+def test_pages_to_chapters(spark):
+    from tintero.plans.flows import pages_to_chapters
+
+    pages = spark.createDataFrame([(1, "https://novela.x/capitulo-3", "<article><h1>Capítulo 3: A</h1><p>x</p></article>"), (2, "https://novela.x/y", "nada"), (3, "https://novela.x/z", "<article><h1>Prólogo</h1><p>x</p></article>")], "page_id long, url string, html string")
+    chapters, rejects = pages_to_chapters(pages, config(spark))
+    assert rows(chapters, "page_id", "title", "file_name")[0] == (1, "Capítulo 3: A", "Capitulo0003.xhtml") and chapters.count() == 2 and chapters.where("page_id = 3").first().file_name is None
+    assert rows(rejects, "page_id", "reason") == [(2, "no content")]

@@ -113,6 +113,19 @@ def next_existing(requests: DataFrame, chapters: DataFrame, book: str = "book_id
     return both.select(book, F.col("n").alias(at), F.min("lo").over(down).alias("next_no"), F.max("hi").over(up).alias("prev_no"))
 
 
+def split_plan(spine: DataFrame, mode: str, book: str = "book_id", **options: object) -> DataFrame:
+    """The four ways of splitting a book: range (first, last), parts (parts), chunks (chunk), custom (ends)."""
+    if mode == "range":
+        return split_range(spine, int(options["first"]), int(options["last"]), book)  # type: ignore[call-overload]
+    if mode == "parts":
+        return split_in_parts(spine, int(options["parts"]), book)  # type: ignore[call-overload]
+    if mode == "chunks":
+        return split_in_chunks(spine, int(options["chunk"]), book)  # type: ignore[call-overload]
+    if mode == "custom":
+        return split_custom(chapter_map(spine, book), options["ends"], book)  # type: ignore[arg-type]
+    raise ValueError(f"no such mode: {mode}")
+
+
 def sections_of_parts(spine: DataFrame, plan: DataFrame, book: str = "book_id") -> DataFrame:
     """Sections with the part they belong to; ``plan`` has one book's parts as position ranges, which don't overlap.
 
