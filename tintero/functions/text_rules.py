@@ -140,19 +140,21 @@ def tag_text(html: Column | str, tag: str) -> Column:
     return F.when(there, collapse(F.regexp_replace(inner, "<[^>]*>", "")))
 
 
-def _holds(content: Column, mark: str) -> Column:
-    """A cheap necessary condition of the patterns below: the mark in any case.  One lower-case copy serves them all."""
-    return F.contains(F.lower(content), F.lit(mark))
+# Without a match of this no tag rule applies; one scan instead of one per rule.
+_RULED_TAG = r"(?i)<(?:link|hr|img|br>|/?markdown)"
+
+
+def _codes(c: Column, tags: bool) -> Column:
+    tests = [c.contains("&nbsp;"), c.contains("markdown"), ~F.regexp_like(c, F.lit(r"\A[\x00-\x20]*<\?xml"))]
+    if tags:
+        tests += [F.regexp_like(c, F.lit(p)) for p in (OPEN_LINK, ANY_HR, OPEN_IMG, OPEN_BR)]
+    return F.array_compact(F.array(*[F.when(t, F.lit(code)) for t, code in zip(tests, ISSUES, strict=False)]))
 
 
 def markup_issues(content: Column | str) -> Column:
     """Codes of the defects of one file, in order; an array without any is empty, that of null is null."""
     c = as_col(content)
-    tests = (
-        c.contains("&nbsp;"), c.contains("markdown"), ~F.regexp_like(c, F.lit(r"\A[\x00-\x20]*<\?xml")),
-        _holds(c, "<link") & F.regexp_like(c, F.lit(OPEN_LINK)), _holds(c, "<hr") & F.regexp_like(c, F.lit(ANY_HR)), _holds(c, "<img") & F.regexp_like(c, F.lit(OPEN_IMG)), _holds(c, "<br>") & F.regexp_like(c, F.lit(OPEN_BR)),
-    )
-    return F.when(c.isNotNull(), F.array_compact(F.array(*[F.when(t, F.lit(code)) for t, code in zip(tests, ISSUES, strict=True)])))
+    return F.when(F.regexp_like(c, F.lit(_RULED_TAG)), _codes(c, True)).when(c.isNotNull(), _codes(c, False))
 
 
 def repair_markup(content: Column | str) -> Column:
@@ -160,11 +162,12 @@ def repair_markup(content: Column | str) -> Column:
     c = as_col(content)
     declared = F.when(F.regexp_like(c, F.lit(r"\A[\x00-\x20]*<\?xml")), c).otherwise(F.concat(F.lit(XML_DECLARATION + "\n"), c))
     plain = F.replace(declared, F.lit("&nbsp;"), F.lit("&#160;"))
-    steps = ((r"(?i)(<link[^>]+)(?<!/)>", "$1 />"), (ANY_HR, ""), (r"(?i)(<img(?:\"[^\"]*\"|'[^']*'|[^'\">])*?)(\s*)(?<!/)>", "$1$2/>"), (r"(?i)<markdown[^>]*>", ""), (r"(?i)</markdown>", ""))
+    steps = (
+        (r"(?i)(<link[^>]+)(?<!/)>", "$1 />"), (ANY_HR, ""), (r"(?i)(<img(?:\"[^\"]*\"|'[^']*'|[^'\">])*?)(\s*)(?<!/)>", "$1$2/>"), (r"(?i)<markdown[^>]*>", ""), (r"(?i)</markdown>", ""), (r"(?i)<br>", "<br />"),
+    )
     full = reduce(lambda x, step: F.regexp_replace(x, step[0], step[1]), steps, plain)
-    rare = _holds(c, "<link") | _holds(c, "<hr") | _holds(c, "<img") | _holds(c, "markdown")
-    broken = lambda x: F.regexp_replace(x, r"(?i)<br>", "<br />")
-    return F.when(F.size(markup_issues(c)) <= 0, c).when(rare, broken(full)).when(_holds(c, "<br>"), broken(plain)).otherwise(plain)
+    tagged = F.when(F.size(_codes(c, True)) > 0, full).otherwise(c)
+    return F.when(F.regexp_like(c, F.lit(_RULED_TAG)), tagged).otherwise(F.when(F.size(_codes(c, False)) > 0, plain).otherwise(c))
 
 
 def link_stylesheet(content: Column | str, href: str = "../Styles/stylesheet.css") -> Column:
