@@ -156,6 +156,15 @@ def test_pages_are_inserted_in_order(spark):
     assert got == [c[0], c[1], "info_libro_1.xhtml", "info_libro_2.xhtml", c[2], c[3], "info_libro_3.xhtml", c[4]]
 
 
+def test_contents_entries_after_their_sections(spark):
+    toc = spark.createDataFrame([("b", None, 10 * k, f"t{k}", f"h{k}") for k in range(30)] + [("b", 1, 5, "under", "u"), ("c", None, 0, "t", "h")], "book_id string, parent_id int, pos int, title string, href string")
+    pages = spark.createDataFrame([("b", 1, 9, "p1"), ("b", 2, 9, "p2"), ("b", 3, 24, "p3"), ("b", 4, 99, "p4"), ("none", 1, 0, "p")], "book_id string, k int, spine_idx int, href string")
+    got = B.insert_toc_entries(toc, pages)
+    h = [f"h{k}" for k in range(30)]
+    assert [(r.pos, r.href) for r in got.where("book_id = 'b'").orderBy("pos").collect()] == list(enumerate(h[:10] + ["p1", "p2"] + h[10:25] + ["p3"] + h[25:] + ["p4"]))
+    assert rows(got.where("book_id <> 'b'")) == [("c", 0, "t", "h")]
+
+
 def test_first_title_in_depth_first_order(spark):
     toc = spark.createDataFrame([("b", 1, None, 0, "A", "a"), ("b", 2, 1, 0, "B", "b"), ("b", 3, None, 1, "C", "b"), ("b", 4, 2, 0, "D", "d")], "book_id string, toc_id int, parent_id int, pos int, title string, href string")
     assert rows(B.toc_titles(spark, toc)) == [("b", "a", "A"), ("b", "b", "B"), ("b", "d", "D")]

@@ -174,15 +174,18 @@ def insert_pages(spine: DataFrame, requests: DataFrame, book: str = "book_id") -
 def insert_toc_entries(toc: DataFrame, pages: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, pos, title, href): top-level contents with entries for inserted pages (book, k, spine_idx, href).
 
-    A page's entry follows the place of its section, or the last entry where the contents are shorter.
+    A page's entry follows the place of its section, or the last entry where the contents are shorter.  Entries move by
+    the pages before them, which somebody asked for and which therefore fit an array.
     """
-    top = toc.where("parent_id IS NULL").select(book, "pos", "title", "href")
-    order = Window.partitionBy(book).orderBy("pos", "href")
-    own = top.withColumn("i", F.row_number().over(order) - 1)
+    own = by_order(toc.where("parent_id IS NULL").select(book, "pos", "title", "href"), book, ["pos", "href"], "i")
     size = own.groupBy(book).agg(F.count(F.lit(1)).cast("int").alias("size"))
-    new = pages.join(size, book).select(book, F.least(F.col("spine_idx"), F.col("size") - 1).alias("i"), F.lit(1).alias("kind"), "k", F.concat(F.lit("Libro "), F.col("k").cast("string")).alias("title"), "href")
-    both = own.select(book, "i", F.lit(0).alias("kind"), F.lit(0).alias("k"), "title", "href").unionByName(new)
-    return both.select(book, (F.row_number().over(Window.partitionBy(book).orderBy("i", "kind", "k")) - 1).alias("pos"), "title", "href")
+    after = pages.join(size, book).select(book, F.least(F.col("spine_idx"), F.col("size") - 1).alias("i"), "k", "href")
+    nth = F.row_number().over(Window.partitionBy(book).orderBy("i", "k"))
+    new = after.select(book, (F.greatest(F.col("i"), F.lit(-1)) + nth).alias("pos"), F.concat(F.lit("Libro "), F.col("k").cast("string")).alias("title"), "href")
+    targets = after.groupBy(book).agg(F.sort_array(F.collect_list("i")).alias("targets"))
+    before = F.coalesce(F.size(F.filter("targets", lambda t: t < F.col("i"))), F.lit(0))
+    placed = own.join(targets, book, "left")
+    return placed.select(book, (F.col("i") + F.when(F.col("targets").isNull(), 0).otherwise(before)).alias("pos"), "title", "href").unionByName(new)
 
 
 def page_targets(spine: DataFrame, requests: DataFrame, book: str = "book_id") -> DataFrame:

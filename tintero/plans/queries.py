@@ -448,7 +448,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT book_id, least(spine_idx, size - 1), 1, k, 'Libro ' || k, 'info_libro_' || k || '.xhtml' FROM pages JOIN sizes USING (book_id))""")
 def insert_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = _spine(spark, sf_dir)
-    toc = spine.where("spine_idx < 20").select("book_id", F.lit(None).cast("int").alias("parent_id"), F.col("spine_idx").alias("pos"), F.col("href").alias("title"), "href")
+    toc = spine.select("book_id", F.lit(None).cast("int").alias("parent_id"), F.col("spine_idx").alias("pos"), F.col("href").alias("title"), "href")
     return B.insert_toc_entries(toc, B.page_targets(spine, _requests(spark, sf_dir)))
 
 
