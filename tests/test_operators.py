@@ -170,6 +170,19 @@ def test_first_title_in_depth_first_order(spark):
     assert rows(B.toc_titles(spark, toc)) == [("b", "a", "A"), ("b", "b", "B"), ("b", "d", "D")]
 
 
+def test_first_titles_beyond_the_limits_of_recursive_queries(spark):
+    wide = spark.range(1_100_000).selectExpr("'w' AS book_id", "CAST(id AS INT) AS toc_id", "CAST(CASE WHEN id % 10 <> 0 THEN id - id % 10 END AS INT) AS parent_id", "CAST(id AS INT) AS pos", "'t' || id AS title", "'h' || id AS href")
+    deep = spark.range(8).selectExpr("'d'", "CAST(id AS INT)", "CAST(CASE WHEN id > 0 THEN id - 1 END AS INT)", "0", "'t' || id", "'h' || id % 7")
+    got = B.toc_titles(spark, wide.union(deep))
+    assert rows(got.groupBy("book_id").count()) == [("d", 7), ("w", 1_100_000)]
+    assert got.where("book_id = 'd' AND href = 'h0'").collect()[0].title == "t0"
+
+
+def test_contents_in_a_circle_end(spark):
+    toc = spark.createDataFrame([("b", 1, None, 0, "A", "a"), ("b", 2, 1, 0, "B", "b"), ("b", 1, 2, 0, "C", "c"), ("b", 8, 9, 0, "X", "x"), ("b", 9, 8, 0, "Y", "y")], "book_id string, toc_id int, parent_id int, pos int, title string, href string")
+    assert rows(B.toc_titles(spark, toc)) == [("b", "a", "A"), ("b", "b", "B")]
+
+
 def test_shared_resources_go_to_every_part(spark):
     res = spark.createDataFrame([("b", "s.css", False), ("b", "c.jpg", True), ("b", "Text/Capitulo0001.xhtml", False), ("b", "o.xhtml", None)], "book_id string, href string, is_cover boolean")
     s = spine(spark, 4)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
+from ..sources.store import checkpointed
 from .position import by_number, by_order
 
 # The generated pages.
@@ -221,17 +222,20 @@ def updated_cover(resources: DataFrame, book_id: str, href: str) -> DataFrame:
 def toc_titles(spark: SparkSession, toc: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, href, title): the first title of each file in depth-first order of the contents' tree.
 
-    Levels are walked from the roots by a recursive query that carries each node's path of positions.
+    Levels are walked from the roots by a join each, written once, so neither rows nor levels are limited; an entry that
+    would come again below itself ends its branch.  Each node carries its path of positions and entries.
     """
-    view = "tintero_toc"
-    toc.select(F.col(book).alias("book"), "toc_id", "parent_id", "pos", "title", "href").createOrReplaceTempView(view)
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk AS (
-              SELECT book, toc_id, title, href, array(pos) AS path FROM {view} WHERE parent_id IS NULL
-              UNION ALL
-              SELECT t.book, t.toc_id, t.title, t.href, array_append(w.path, t.pos) FROM {view} t JOIN walk w ON t.parent_id = w.toc_id AND t.book = w.book)
-            SELECT book, toc_id, title, href, path FROM walk"""
-    )
+    nodes = checkpointed(toc.select(F.col(book).alias("book"), "toc_id", "parent_id", "pos", "title", "href"))
+    step = F.struct("pos", "toc_id")
+    level = nodes.where("parent_id IS NULL").select("book", "toc_id", "title", "href", F.array(step).alias("path"))
+    below = nodes.where("parent_id IS NOT NULL").select(F.col("book").alias("_book"), "parent_id", F.col("toc_id").alias("_id"), F.col("title").alias("_title"), F.col("href").alias("_href"), step.alias("_step"))
+    walked = level
+    while True:
+        deeper = level.join(below, (F.col("book") == F.col("_book")) & (F.col("toc_id") == F.col("parent_id"))).where(~F.exists("path", lambda x: x["toc_id"] == F.col("_id")))
+        level = checkpointed(deeper.select("book", F.col("_id").alias("toc_id"), F.col("_title").alias("title"), F.col("_href").alias("href"), F.array_append("path", F.col("_step")).alias("path")))
+        if level.isEmpty():
+            break
+        walked = walked.unionByName(level)
     return walked.where("href IS NOT NULL").groupBy("book", "href").agg(F.min_by("title", "path").alias("title")).withColumnRenamed("book", book)
 
 
