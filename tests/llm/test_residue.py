@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
-from tintero.llm.residue import evidence, field_evidence, unusable
+from tintero.llm.residue import column_evidence, evidence, field_evidence, unusable
 
 FOUND = {
     "placeholder": ["<p>{{ title }}</p>", "Capítulo {chapter.title}", "<p>Visitas: <%= ENTRY %></p>", "{% body %}", "%autor% | 3", "@contenido@", "__num__ | 4", "[[site.name]]", "[titulo aquí]", "${fecha}", "#{NOMBRE}", "%%num%%", "{{{x.y}}}"],
@@ -28,6 +29,20 @@ def test_no_evidence(line):
     assert evidence(line) is None
 
 
+@pytest.mark.parametrize(("kind", "text"), [("value", x) for x in ("Capítulo 3: null", "Capítulo 5: [object Object]", "10 - None", "CAPÍTULO 7: undefined undefined", "undefined undefined", "undefined 4", "Capítulo 8: {}")] + [("filler", x) for x in ("Título de ejemplo 2", "Capítulo 4: Título de prueba", "12 — asdf asdf")])
+def test_residue_beside_a_chapter_number(kind, text):
+    assert [k for _, _, k in column_evidence(pa.array([text]), True)] == [kind]
+
+
+@pytest.mark.parametrize("text", ["Capítulo 3: «¿Quién es null?», preguntó Wilra", "Capítulo 5: Error 404, alma no encontrada", "Capítulo 9: La prueba", "Capítulo 9: Prueba", "Capítulo 1: Hola mundo", "Capítulo 6: Acceso denegado a Fenos", "Capítulo 2: {Vacío}", "Capítulo 12", "12 - 13"])
+def test_titles_beside_a_chapter_number_that_tell_a_story(text):
+    assert evidence(text, True) is None
+
+
+def test_repeated_values_in_a_chapter():
+    assert field_evidence("<p>undefined undefined</p>\n<p>Y nada más.</p>") == [("undefined undefined", "value")]
+
+
 def test_within_a_chapter():
     assert field_evidence("<p>Era de noche.</p>\n<p>Visitas: {{ n }}</p>") == [("visitas: {{ n }}", "placeholder")]
 

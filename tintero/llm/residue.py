@@ -40,7 +40,12 @@ FILLER = re.compile(
     r"|añadir (?:el )?(?:capítulo|texto|contenido) (?:más tarde|después|luego)|(?:insert|your|sample|placeholder|dummy|filler) (?:text|content|title)(?: here| goes here)?|content goes here|coming soon|tbd|título de (?:ejemplo|prueba)|hello world|hola mundo|sin contenido)",
     re.I,
 )
-PROGRAM_VALUE = re.compile(r"(?:undefined|null|nil|none|nan|\(null\)|\[object object\]|<null>|n/a|#n/a|#ref!|#value!|true|false|\[\]|\{\}|\[object \w+\]|object reference not set(?: to an instance of an object)?)", re.I)
+_VALUE = r"(?:undefined|null|nil|none|nan|\(null\)|\[object object\]|<null>|n/a|#n/a|#ref!|#value!|true|false|\[\]|\{\}|\[object \w+\]|object reference not set(?: to an instance of an object)?)"
+PROGRAM_VALUE = re.compile(rf"{_VALUE}(?: {_VALUE})*", re.I)
+# What may stand around residue in a title or line, and what a story may have beside a number.
+HEAD = re.compile(r"(?:cap(?:[ií]tulo|\.)?\s*)?\d+\s*[:.|\u00b7\u2013—-]+\s*", re.I)
+TAIL = re.compile(r"\s+\d+$")
+STORY = frozenset(("prueba", "test", "hello world", "hola mundo"))
 CODES = r"(?:400|401|402|403|404|405|408|410|413|418|429|451|500|501|502|503|504|508|509|520|521|522|523|524|525)"
 ERROR_NAME = (
     r"(?:página no encontrada|no encontrad[oa]|(?:page |file )?not found|error interno(?: del servidor)?|internal server error|acceso (?:denegado|prohibido)|access denied|forbidden|prohibido|no autorizado|unauthorized|servicio no disponible|service (?:temporarily )?unavailable"
@@ -69,7 +74,7 @@ SPOKEN = re.compile(r"^[—\u2013«\u201c\"¿¡]|»|\u201d|—\w|\b(?:dijo|pens
 SUSPECT = (
     r"(?i)\{\{|\}\}|\{%|<%|<\?|%%|[$#]\{|\[\[|%[a-z][\w.-]*%|@[a-z][\w.-]*@|__[a-z][\w.-]*__|\{\$?\s*[a-z][\w.-]*\s*\}|\[\s*[a-z][\w.-]* (?:aquí|here)|\[\s*insert"
     r"|lorem|ipsum|amet\b|adipis|consec\b|fugiat|nostru|veniam|\b(?:elit|tempor|aliqua|sedo|nisi|labor|dolor|magna)\b|asdf|qwerty|prueba|\btest|xxx|\bbla\b|muestra|ejemplo|relleno|escrib[ae] aquí|aquí va|pendiente|por añadir|por traducir|borrador|añadir|insert|sample|placeholder|dummy|filler|goes here|coming soon|\btbd\b|\btodo\b[.\x{2026}]*\s*(?:<|$|\n)|hello world|hola mundo|sin contenido"
-    r"|undefined|\bnull|\bnil\b|\bnone\b|\bnan\b|\[object|n/a|#ref|#value|(?:^|>|\n)\s*(?:true|false|\[\]|\{\})|object reference"
+    r"|undefined|\bnull|\bnil\b|\bnone\b|\bnan\b|\[object|n/a|#ref|#value|(?:^|>|\n|\d\s*[:.|\x{b7}\x{2013}\x{2014}-]+)\s*(?:true|false|\[\]|\{\})|object reference"
     r"|error|no encontrad|not found|acceso|access denied|forbidden|prohibido\b|autorizado|unauthorized|no disponible|unavailable|bad (?:gateway|request)|gateway|puerta de enlace|solicitud|time-?out|espera agotado|demasiadas|too many|server is down|timed out|https? ?\d"
     r"|notice:|warning:|deprecated:|uncaught|on line|stack trace|traceback|nginx|apache|openresty|cloudflare|litespeed|no se pudo|request id|referencia del incidente|incident id|ray id|la página que buscas|requested url|comprueba la dirección|no tienes permiso|permission|mantenimiento|vuelve a intentarlo|proceso es autom|límite de|el servidor no|server encountered|exception|sqlstate|in your sql|segmentation|undefined|cannot read|memory size"
     r"|java ?script|scripts?\b|cookies|loading|cargando|just a moment|un momento|comprobando|verificando|checking|completa |verifica que|demuestra que|confirma que|verify|please wait|espere|ddos|secure"
@@ -85,6 +90,12 @@ def _filler_words(text: str) -> bool:
     return len(hits) >= 0.7 * len(words) and len(sure) >= 2 or "lorem ipsum" in text.lower()
 
 
+def _numbered(bare: str, title: bool) -> set[str]:
+    """What is left of a line without a number at its end, and of a title without its chapter number."""
+    rest = HEAD.sub("", bare, count=1) if title and HEAD.match(bare) else bare
+    return {x for x in (rest, TAIL.sub("", bare), TAIL.sub("", rest)) if x != bare and x.lower() not in STORY}
+
+
 def evidence(line: str, title: bool = False) -> str | None:
     """The kind of evidence in one raw line: placeholder, filler, value, error or script; None without."""
     if PLACEHOLDER.search(line):
@@ -100,6 +111,11 @@ def evidence(line: str, title: bool = False) -> str | None:
         return "filler"
     if PROGRAM_VALUE.fullmatch(text.strip()) or title and PROGRAM_VALUE.fullmatch(bare):
         return "value"
+    for part in _numbered(bare, title):
+        if _filler_words(part) or FILLER.fullmatch(part):
+            return "filler"
+        if PROGRAM_VALUE.fullmatch(part):
+            return "value"
     if ERROR_LINE.fullmatch(text) or ERROR_LINE.fullmatch(bare):
         return "error"
     if SPOKEN.search(text):
