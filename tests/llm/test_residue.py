@@ -54,6 +54,12 @@ def test_boilerplate_of_a_host_is_subtracted(spark):
     assert found == [(100, "content_html", "script"), (200, "content_html", "value"), (201, "title", "value")]
 
 
+def test_unseen_lines_are_told_apart_by_all_of_their_text(spark):
+    rows = [(k, "a", "<%= x %>" + "<b class='" + "c" * 200 + f"{k}'></b>", None) for k in range(30)]
+    df = spark.createDataFrame(rows, "chapter_id long, site string, content_html string, title string")
+    assert unusable(df, "chapter_id", "site", ["title", "content_html"]).count() == 30
+
+
 def test_operator_on_odd_rows(spark, odd_rows):
     assert unusable(odd_rows, "chapter_id", "site", ["title", "content_html"]).count() == 0
     assert unusable(odd_rows.limit(0), "chapter_id", "site", ["title"]).count() == 0

@@ -132,7 +132,7 @@ def line_key(text: str) -> str:
 
 def field_evidence(value: str, title: bool = False) -> list[tuple[str, str]]:
     """(normalised line, kind) of each line of a field that has evidence."""
-    return [(line_key(visible(x)) or x.strip()[:200], kind) for x in value.split("\n") if (kind := evidence(x, title))]
+    return [(line_key(visible(x)) or x.strip(), kind) for x in value.split("\n") if (kind := evidence(x, title))]
 
 
 def column_evidence(column: pa.Array, title: bool = False) -> list[tuple[int, str, str]]:
@@ -141,7 +141,7 @@ def column_evidence(column: pa.Array, title: bool = False) -> list[tuple[int, st
     for row, _, lines in lines_with(column, SUSPECT):
         for line in lines:
             if kind := evidence(line, title):
-                found[row, line_key(visible(line)) or line.strip()[:200]] = kind
+                found[row, line_key(visible(line)) or line.strip()] = kind
     return [(row, line, kind) for (row, line), kind in found.items()]
 
 
