@@ -6,7 +6,7 @@ import pytest
 
 from compare import compare
 from tintero.llm import queries as Q
-from tintero.llm.sitelines import exact_key, repeated_lines, without_repeated_lines
+from tintero.llm.sitelines import exact_key, line_bands, repeated_lines, without_repeated_lines
 
 
 def brute(rows, share=0.1, least=5):
@@ -47,6 +47,12 @@ def test_against_brute_force(spark, seed, limit):
     assert got == brute(rows) and got
 
 
+def test_blanks_and_digits_of_every_kind_share_a_band():
+    texts = ["Aviso legal de esta obra 12", "aviso\u3000legal\u1680de esta obra \uff11\uff12", "aviso&#x3000;legal de esta\u2028obra \u0663", "AVISO legal d\uff17e esta obra"]
+    assert len({exact_key(x) for x in texts}) == 1
+    assert len(set(line_bands(texts)[2][:, 2].tolist())) == 1
+
+
 def test_small_batches_lose_nothing(spark):
     rows = corpus(4, 200)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")

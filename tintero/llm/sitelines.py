@@ -33,6 +33,9 @@ LEAST_LETTERS = 10
 # Site clusters up to this number (8 bytes each) are broadcast; beyond it lines and clusters are joined.
 BROADCAST_LIMIT = 2_000_000
 _ODD = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u203a\u2190-\u21ff\u2500-\u27bf]")
+# Blanks and digits that the reader of bytes would take for letters.
+_WIDE_BLANK = re.compile(r"[^\S\x00-\x7f]")
+_WIDE_DIGIT = re.compile(r"[^\D\x00-\x7f]")
 _SALT = (np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127), np.uint64(0xB492B66FBE98F273))
 BANDS = 3
 
@@ -45,12 +48,12 @@ def exact_key(line: str) -> str | None:
 
 
 def _decoded(text: str) -> str:
-    """References decoded (but not to tags or line ends) and letters outside Latin-1 in lower case."""
+    """References decoded (but not to tags or line ends); letters outside Latin-1 in lower case, blanks as spaces and no digits there."""
     if "&" in text:
         text = "\n".join(
             html.unescape(x.replace("&lt", "&amp;lt").replace("&gt", "&amp;gt")).replace("\n", " ").replace("\r", " ") if "&" in x else x for x in text.split("\n")
         )
-    return text.lower() if _ODD.search(text) else text
+    return _WIDE_DIGIT.sub("", _WIDE_BLANK.sub(" ", text)).lower() if _ODD.search(text) else text
 
 
 def line_bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
