@@ -197,6 +197,13 @@ def test_metadata_defaults(spark):
     assert "<h1>a&lt;b</h1>" in page[0][0] and "Desconocido" in page[0][0] and "Sitio" not in page[0][0] and "<dd>es</dd>" in page[1][0]
 
 
+def test_closure_follows_long_chains_to_their_end(spark):
+    links = spark.range(1100).selectExpr("CAST(id AS STRING) AS url", "CAST(id + 1 AS STRING) AS next_url")
+    start = spark.createDataFrame([("0",)], "url string")
+    assert X.closure(spark, start, links).count() == 1101
+    assert X.closure(spark, start, links, depth=5).count() == 6
+
+
 @pytest.mark.parametrize("width", [3, 100_000])
 def test_places_without_a_whole_group_in_a_task(spark, width):
     from tintero.operators.position import by_number, by_order

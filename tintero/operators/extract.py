@@ -144,9 +144,11 @@ def next_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
     return map_rows(source, one, _NEXT, "url string, next_url string")
 
 
-def closure(spark: SparkSession, starts: DataFrame, links: DataFrame, depth: int = 1000) -> DataFrame:
+def closure(spark: SparkSession, starts: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, url, depth): every page reached over next links; a cycle ends where a page would come again.
 
+    Chains are followed to their end, or with ``depth`` over so many links.
+
     Pointers are doubled, so a chain of n pages takes log2(n) joins instead of n; each round's jumps are written once.
     """
     from ..sources.store import checkpointed
@@ -155,9 +157,10 @@ def closure(spark: SparkSession, starts: DataFrame, links: DataFrame, depth: int
     jump, step = checkpointed(edges.select(F.col("url").alias("a"), F.col("next_url").alias("b"))), 1
     reached = checkpointed(starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")).where("url IS NOT NULL").distinct())
     size = reached.count()
-    while step <= depth:
+    while depth is None or step <= depth:
         new = reached.join(jump, F.col("url") == F.col("a")).select("start", F.col("b").alias("url"), (F.col("depth") + step).alias("depth"))
-        reached = checkpointed(reached.unionByName(new).where(F.col("depth") <= depth).groupBy("start", "url").agg(F.min("depth").alias("depth")))
+        within = reached.unionByName(new) if depth is None else reached.unionByName(new).where(F.col("depth") <= depth)
+        reached = checkpointed(within.groupBy("start", "url").agg(F.min("depth").alias("depth")))
         if (now := reached.count()) == size:
             break
         size, left = now, jump.alias("l")
