@@ -22,6 +22,13 @@ def test_runs_over_whole_tables(spark, data, name):
     assert Q.QUERIES[name](spark, data).count() > 0
 
 
+def test_stream_gives_the_last_windows_too(spark, data):
+    from tintero.streaming import pages as P
+
+    whole = P.latest_links(Q.table(spark, data, "chapter_links"))
+    assert sorted(map(repr, Q.QUERIES["stream_latest_links"](spark, data).collect())) == sorted(map(repr, whole.collect()))
+
+
 def test_entry(spark, data):
     import __spark_entry__ as e
 

@@ -604,12 +604,17 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over the link table run to its end; the result lies in the shared folder."""
+    """The stream over the link table run to its end; the result lies in the shared folder.
+
+    The output is complete, so windows that the watermark would keep open, and late rows, are part of the result too.
+    """
     out = tempfile.mkdtemp(prefix="links-", dir=_shared(spark))
     schema = table(spark, sf_dir, "chapter_links").schema
     name = "chapter_links.parquet"
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}") if os.path.isdir(f"{sf_dir}/{name}") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
-    stream = P.latest_links(source).writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    os.makedirs(f"{out}/data")
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")
+    stream = P.latest_links(source).writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.schema("window_start timestamp, index_url string, chapter_no int, url string").parquet(f"{out}/data")
 
