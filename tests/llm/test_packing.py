@@ -55,3 +55,17 @@ def test_operator(spark):
     assert containers(items.limit(0), budgets, "doc_id", "n").count() == 0
     small = containers(items, budgets, "doc_id", "n", shard_containers=1).collect()
     assert sum(r.n_tokens for r in small) == 96
+
+
+@pytest.mark.parametrize("n", [0, 101])
+def test_no_budgets_and_too_many_tokenizers(spark, tmp_path, n):
+    from tintero.llm import queries as Q
+
+    spark.createDataFrame([(k, 10, f"t{k}") for k in range(n)], "budget_id int, capacity_tokens int, tokenizer string").write.parquet(f"{tmp_path}/token_budgets.parquet")
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    if n:
+        with pytest.raises(ValueError, match="too many tokenizers"):
+            Q.p7_containers(spark, str(tmp_path))
+    else:
+        packed = Q.p7_containers(spark, str(tmp_path))
+        assert packed.count() == 0 and packed.columns == ["budget_id", "shard", "container", "doc_id", "part", "n_tokens"]

@@ -68,8 +68,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     budgets = table(spark, sf_dir, "token_budgets", "budget_id", "capacity_tokens", "tokenizer")
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    names = budgets.select("tokenizer").distinct().limit(101).collect()
+    if len(names) > 100:
+        raise ValueError("too many tokenizers to lay out at once")
+    if not names:
+        return spark.createDataFrame([], packing._RESULT).withColumnRenamed("id", "doc_id")
     parts = []
-    for (name,) in sorted(budgets.select("tokenizer").distinct().limit(101).collect()):
+    for (name,) in sorted(names):
         sizes = tokens.token_counts(documents, "doc_id", "text", name)
         parts.append(packing.containers(sizes, budgets.where(F.col("tokenizer") == name), "id", "n_tokens"))
     packed = parts[0]
