@@ -3,7 +3,7 @@ from __future__ import annotations
 import pyarrow as pa
 import pytest
 
-from tintero.llm.residue import column_evidence, evidence, field_evidence, unusable
+from tintero.llm.residue import column_evidence, evidence, units, unusable
 
 FOUND = {
     "placeholder": ["<p>{{ title }}</p>", "Capítulo {chapter.title}", "<p>Visitas: <%= ENTRY %></p>", "{% body %}", "%autor% | 3", "@contenido@", "__num__ | 4", "[[site.name]]", "[titulo aquí]", "${fecha}", "#{NOMBRE}", "%%num%%", "{{{x.y}}}"],
@@ -31,7 +31,7 @@ def test_no_evidence(line):
 
 @pytest.mark.parametrize(("kind", "text"), [("value", x) for x in ("Capítulo 3: null", "Capítulo 5: [object Object]", "10 - None", "CAPÍTULO 7: undefined undefined", "undefined undefined", "undefined 4", "Capítulo 8: {}")] + [("filler", x) for x in ("Título de ejemplo 2", "Capítulo 4: Título de prueba", "12 — asdf asdf")])
 def test_residue_beside_a_chapter_number(kind, text):
-    assert [k for _, _, k in column_evidence(pa.array([text]), True)] == [kind]
+    assert column_evidence(pa.array([text]), True) == [(0, kind, [0])]
 
 
 @pytest.mark.parametrize("text", ["Capítulo 3: «¿Quién es null?», preguntó Wilra", "Capítulo 5: Error 404, alma no encontrada", "Capítulo 9: La prueba", "Capítulo 9: Prueba", "Capítulo 1: Hola mundo", "Capítulo 6: Acceso denegado a Fenos", "Capítulo 2: {Vacío}", "Capítulo 12", "12 - 13"])
@@ -40,15 +40,51 @@ def test_titles_beside_a_chapter_number_that_tell_a_story(text):
 
 
 def test_repeated_values_in_a_chapter():
-    assert field_evidence("<p>undefined undefined</p>\n<p>Y nada más.</p>") == [("undefined undefined", "value")]
+    assert units("<p>undefined undefined</p>\n<p>Y nada más.</p>") == [("value", [0])]
 
 
 def test_within_a_chapter():
-    assert field_evidence("<p>Era de noche.</p>\n<p>Visitas: {{ n }}</p>") == [("visitas: {{ n }}", "placeholder")]
+    assert units("<p>Era de noche.</p>\n<p>Visitas: {{ n }}</p>") == [("placeholder", [1])]
+
+
+EVERYDAY = {
+    "placeholder": ["Hola, {{ " + "usuario.nombre_completo_del_lector | default('x') " * 4 + "}}", "[NOMBRE_DEL_AUTOR]", "Faltan {0} capítulos", "Traducido por %s", "<?php echo $titulo . str_repeat('x', 200) . $mas_texto_que_cabe_en_una_linea_corta_de_codigo . $y_todavia_mas; ?>", "[insertar aquí el nombre del capítulo]"],
+    "filler": ["TODO: escribir capítulo", "INSERTE TEXTO AQUI", "qwertyuiop", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."],
+    "value": ["undefined", "[object HTMLDivElement]", "N/A"],
+    "error": ["Se ha producido un error inesperado.", "Página en construcción", "Attention Required! | Cloudflare", "Something went wrong", "404 Not Found", "HTTP 422 Unprocessable Content", "Esta página no está disponible en este momento.", "Algo salió mal", "An unexpected error occurred", "Acceso restringido"],
+    "script": ["Por favor habilite JavaScript para continuar.", "Please enable JS and disable any ad blocker", "JavaScript must be enabled to view this site.", "Las cookies tienen que estar habilitadas para entrar", "Esta página requiere JavaScript."],
+}
+
+
+@pytest.mark.parametrize(("kind", "line"), [(k, x) for k, v in EVERYDAY.items() for x in v])
+def test_everyday_lines(kind, line):
+    assert evidence(line) == kind
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Todo: la casa, el río, la noche.", "El mago necesitaba un nuevo conjuro.", "Hubo un error y todos lo pagaron caro aquella noche.", "Las cookies nos ayudan para medir visitas. Aceptar todo | Rechazar", "El 30 % de la guardia", "{Vacío}", "[SISTEMA]", "Se permitió un suspiro.", "Algo salió mal entre ellos desde el principio."],
+)
+def test_everyday_lines_of_stories(line):
+    assert evidence(line) is None
+
+
+def test_templates_over_several_lines():
+    text = "<p>uno</p>\n{% if capitulo\n   and visible %}\n<p>dos</p>\n<?php\necho 1;\n?>\n<p>tres</p>"
+    assert units(text) == [("placeholder", [4]), ("placeholder", [1, 2]), ("placeholder", [4, 5, 6])]
+    assert column_evidence(pa.array([None, text, ""])) == [(1, k, n) for k, n in units(text)]
+
+
+def test_a_host_that_failed_often_keeps_no_error_page(spark):
+    error = "<h1>404 Not Found</h1>\n<p>Inicio - Ranking</p>"
+    rows = [(k, "a", error if k % 4 == 0 else f"<p>Inicio - Ranking</p>\n<p>texto {'abcdefgh'[k % 8] * (k + 1)}</p>\n<p>Loading...</p>", "t") for k in range(200)]
+    df = spark.createDataFrame(rows, "chapter_id long, site string, content_html string, title string")
+    assert sorted(r.id for r in unusable(df, "chapter_id", "site", ["title", "content_html"]).collect()) == list(range(0, 200, 4))
+    assert sorted(r.id for r in unusable(df.repartition(7), "chapter_id", "site", ["content_html"]).collect()) == list(range(0, 200, 4))
 
 
 def test_boilerplate_of_a_host_is_subtracted(spark):
-    rows = [(k, "a", "<p>texto</p>\n<p>Loading...</p>", "t") for k in range(30)] + [(100 + k, "b", "<p>Loading...</p>" if k == 0 else "<p>x</p>", "t") for k in range(30)] + [(200, None, "null", None), (201, "a", None, "undefined")]
+    rows = [(k, "a", f"<p>texto {'x' * k}a</p>\n<p>Loading...</p>", "t") for k in range(30)] + [(100 + k, "b", "<p>Loading...</p>" if k == 0 else "<p>x</p>", "t") for k in range(30)] + [(200, None, "null", None), (201, "a", None, "undefined")]
     df = spark.createDataFrame(rows, "chapter_id long, site string, content_html string, title string").withColumnRenamed("title", "title")
     found = sorted((r.id, r.field, r.kind) for r in unusable(df, "chapter_id", "site", ["title", "content_html"]).collect())
     assert found == [(100, "content_html", "script"), (200, "content_html", "value"), (201, "title", "value")]

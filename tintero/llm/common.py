@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TAG = re.compile(r"<[^>]*>")
 
@@ -48,6 +49,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FILTER_BITS = 24
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A table of ``2 ** bits`` bits in which the leading bits of every (mixed) long of the column are set.
+
+    Its size is fixed (2 MB by default) whatever the number of keys; keys that aren't among them may pass
+    ``may_hold``, so what passes has still to be joined or counted exactly.
+    """
+    at = f"shiftrightunsigned(`{column}`, {64 - bits})"
+    words = keys.select(F.expr(f"shiftrightunsigned({at}, 6)").alias("w"), F.expr(f"shiftleft(1L, CAST({at} & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (uint64) the filter lets pass."""
+    at = keys >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function on one batch; batches without rows are passed over."""
 

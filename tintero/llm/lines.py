@@ -97,9 +97,19 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return (np.add.reduceat(value, offsets) * MIX) ^ (lengths.astype(np.uint64) * PRIME)
 
 
-def read(texts: list[str], tags: bool = True) -> Lines:
-    """Reads the lines of the texts; an empty text has one empty line.  Without ``tags`` only visible words are read."""
-    parts = [t.encode("utf-8", "replace") for t in texts]
+def _openings(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where tags begin (a "<" before a letter, "/" or "!") and the byte after each."""
+    lt = np.flatnonzero(raw == 60)
+    after = _LOWER[raw[lt + 1]]
+    some = ((after >= 97) & (after <= 122)) | (after == 47) | (after == 33)
+    return lt[some], after[some]
+
+
+def _layout(parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, its bytes, line starts, text and number of each line, which bytes are in tags) of texts one after another.
+
+    A tag ends at the next ">" or line end.
+    """
     buffer = b"\n".join(parts) + b"\n  "
     raw = np.frombuffer(buffer, dtype=np.uint8)
     end = np.flatnonzero(raw == 10).astype(np.int32)
@@ -110,12 +120,7 @@ def read(texts: list[str], tags: bool = True) -> Lines:
     first = np.searchsorted(start, doc_start)
     doc = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(np.append(first, len(start))))
     no = np.arange(len(start), dtype=np.int32) - first[doc].astype(np.int32)
-
-    # a tag runs from "<" before a letter, "/" or "!" to the next ">" or line end
-    lt = np.flatnonzero(raw == 60)
-    after = _LOWER[raw[lt + 1]]
-    lt = lt[((after >= 97) & (after <= 122)) | (after == 47) | (after == 33)]
-    after = _LOWER[raw[lt + 1]]
+    lt, _ = _openings(raw)
     stop = np.sort(np.concatenate((np.flatnonzero(raw == 62), end)))
     gt = stop[np.searchsorted(stop, lt)] if len(lt) else lt
     edge = np.zeros(len(raw) + 1, dtype=np.int8)
@@ -123,8 +128,14 @@ def read(texts: list[str], tags: bool = True) -> Lines:
         keep = np.concatenate(([True], lt[1:] > gt[:-1]))
         edge[lt[keep]] = 1
         edge[gt[keep]] -= 1
-    in_tag = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    return buffer, raw, start, doc, no, np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
 
+def read(texts: list[str], tags: bool = True) -> Lines:
+    """Reads the lines of the texts; an empty text has one empty line.  Without ``tags`` only visible words are read."""
+    buffer, raw, start, doc, no, in_tag = _layout([t.encode("utf-8", "replace") for t in texts])
+    end = np.append(start[1:] - 1, len(raw) - 3).astype(np.int32)
+    lt, after = _openings(raw)
     low = _LOWER[raw]
     letter = _WORD[raw]
     c2, c3, e2 = np.flatnonzero(raw == 0xC2), np.flatnonzero(raw == 0xC3), np.flatnonzero(raw == 0xE2)
@@ -181,6 +192,40 @@ def read(texts: list[str], tags: bool = True) -> Lines:
     return Lines(doc, no, start, end, word_line, word_hash, we - ws, word_cap, word_first, word_digit, word_link, mark_line, key * MIX, tag_line, _hashes(low, ts, te), none, none, np.flatnonzero(balance), buffer)
 
 
+_PAIRS = np.arange(1, 65537, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+_PAIRS = (_PAIRS ^ (_PAIRS >> np.uint64(29))) * MIX
+
+
+def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, key) of every line with visible text.
+
+    Lines have the same key if what they show agrees in its neighbouring characters when letter case, digits and white
+    space are ignored; lines of digits alone have no key.
+    """
+    docs, nos, values = [], [], []
+    for part in chunks([len(t) for t in texts]):
+        raw, start, doc, no, in_tag = _layout([t.encode("utf-8", "replace") for t in texts[part]])[1:]
+        low = _LOWER[raw]
+        c3 = np.flatnonzero(raw == 0xC3)
+        low[c3[(raw[c3 + 1] >= 0x80) & (raw[c3 + 1] <= 0x9E)] + 1] += 0x20
+        at = np.flatnonzero(~in_tag & (raw > 32) & ~_DIGIT[raw])
+        first = np.searchsorted(at, start)
+        pair = low[at].astype(np.uint16)
+        before = np.zeros(len(at), dtype=np.uint16)
+        before[1:] = pair[:-1]
+        before[first[first < len(at)]] = 0
+        total = np.zeros(len(at) + 1, dtype=np.uint64)
+        np.cumsum(_PAIRS[(before << np.uint16(8)) | pair], out=total[1:])
+        stop = np.append(first[1:], len(at))
+        some = np.flatnonzero(stop > first)
+        docs.append(doc[some] + part.start)
+        nos.append(no[some])
+        values.append(total[stop[some]] - total[first[some]])
+    if not docs:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    return np.concatenate(docs), np.concatenate(nos), np.concatenate(values)
+
+
 def containers(lines: Lines) -> np.ndarray:
     """A hash of the tags left open before each line within its text (0 at top level).
 
