@@ -16,7 +16,7 @@ one document reaches the share there; a corpus of very many tiny sites per batch
 ``without_repeated_lines`` also removes near-duplicate clusters of high document frequency.
 
 Defined cases: null texts count for nothing; rows of a null site form a site of their own; lines with fewer than ten
-letters never count, nor near-duplicates that keep less than that, or less than half of their words, when masked; each
+letters never count, nor near-duplicates that keep less than that, or have two names to a word, when masked; each
 row counts as one document, also one delivered again; an empty table gives no rows.
 """
 
@@ -71,12 +71,16 @@ def _decoded(text: str) -> str:
     return _WIDE_DIGIT.sub("", _WIDE_BLANK.sub(" ", text)).lower() if _ODD.search(text) else text
 
 
+def _dates(x) -> np.ndarray:  # noqa: ANN001
+    at = np.minimum(np.searchsorted(_DATES, x.word_hash), len(_DATES) - 1)
+    return x.word_digit | (_DATES[at] == x.word_hash)
+
+
 def _masked(x) -> np.ndarray:  # noqa: ANN001
     """Which words stay: not numbers, words of dates, names (capitals within a line that has lower-case words) or short ones."""
     lower = np.bincount(x.word_line, ~x.word_cap & ~x.word_first, len(x.doc)) > 0
     name = x.word_cap & ~x.word_first & lower[x.word_line]
-    at = np.minimum(np.searchsorted(_DATES, x.word_hash), len(_DATES) - 1)
-    return ~x.word_digit & ~name & (_DATES[at] != x.word_hash) & (x.word_size >= LEAST_WORD)
+    return ~_dates(x) & ~name & (x.word_size >= LEAST_WORD)
 
 
 def line_bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,12 +113,12 @@ def masked_forms(texts: list[str]) -> dict[tuple[int, int], tuple[int, np.ndarra
         x = read([_decoded(t) for t in texts[part]], tags=False)
         keep, n = _masked(x), len(x.doc)
         size, words = np.bincount(x.word_line[keep], x.word_size[keep], n), np.bincount(x.word_line[keep], minlength=n)
-        all_words = np.bincount(x.word_line[x.word_size >= LEAST_WORD], minlength=n)
+        named = np.bincount(x.word_line[~_dates(x) & (x.word_size >= LEAST_WORD)], minlength=n)
         at, stop = np.cumsum(words) - words, np.cumsum(words)
         kept = x.word_hash[keep]
         m = minhash(x, keep, FINE_ROWS * FINE_BANDS).reshape(n, FINE_BANDS, FINE_ROWS)
         fine = (m * (np.arange(FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(axis=2, dtype=np.uint64) * MIX ^ np.arange(FINE_BANDS, dtype=np.uint64)
-        for k in np.flatnonzero((size >= LEAST_LETTERS) & (2 * words >= all_words)).tolist():
+        for k in np.flatnonzero((size >= LEAST_LETTERS) & (3 * words >= named)).tolist():
             own = np.unique(kept[at[k] : stop[k]])
             v = own * MIX
             out[int(x.doc[k]) + part.start, int(x.no[k])] = (int((v ^ (v >> np.uint64(31))).sum()), own, fine[k])
