@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tintero.llm import fields
-from tintero.llm.confusables import LOOK_ALIKE, is_confusable, normalize
+from tintero.llm.confusables import EXCEPTIONS, is_confusable, normalize, prototypes, spelling
 
 CHANGED = [
     ("\uff23\uff41\uff50í\uff54\uff55\uff4c\uff4f \uff11", "Capítulo 1"),
@@ -24,6 +24,32 @@ CHANGED = [
     ("Vοl.1", "Vol.1"),
     ("qսe v\u2170ene", "que viene"),
 ]
+OTHER_SCRIPTS = [
+    ("Пpивет, мир", "Привет, мир"), ("Мoсква", "Москва"), ("ꓮlice dijo", "Alice dijo"), ("\U000102a0lice dijo", "Alice dijo"), ("ƒuego y ɩuna", "fuego y iuna"), ("Сар. 108", "Cap. 108"), ("blanco е negro", "blanco e negro"), ("Capítulo З", "Capítulo 3"),
+    ("Cаpítulo и песня", "Capítulo и песня"), ("Ψυxὴ", "Ψυχὴ"), ("Víctоr", "Víctor"), ("Ι\u0301caro y Ιcaro", "Ícaro y Icaro"),
+]
+
+
+@pytest.mark.parametrize(("text", "plain"), OTHER_SCRIPTS)
+def test_the_consistent_script_is_chosen(text, plain):
+    assert normalize(text) == plain
+
+
+@pytest.mark.parametrize("text", ["Он со мной", "он сон", "В саду е", "гора и рога", "灯台とカ", "Łódź, Nguyễn, ș", "한국어漢字"])
+def test_whole_script_words_stay_in_their_passage(text):
+    assert normalize(text) == text
+
+
+def test_far_words_of_a_passage_decide_as_near_ones():
+    assert normalize("дом " + "со " * 50 + "сад") == "дом " + "со " * 50 + "сад"
+    assert normalize("casa " + "со " * 50 + "fin") == "casa " + "co " * 50 + "fin"
+
+
+def test_the_table_is_unicode_s():
+    assert len(prototypes()) > 5000 and prototypes()["а"] == "a"
+    assert (spelling("p", "Cyrillic"), spelling("P", "Greek"), spelling("é", "Cyrillic"), spelling("ж", "Latin")) == ("р", "Ρ", "е\u0301", None)
+
+
 KEPT = [
     "Capítulo 1: Ωmega", "灯台", "—Спасибо, друг —dijo", "Ψυχὴ ἀθάνατος", "\u300c潮の地図\u300d", "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\u2764\ufe0f", "1\ufe0f\u20e3", "3.ª 38 º \u00bd \u221a2 \u00d7 \u20ac", "tomo \u2163", "в саду, о мире", "«hola»\u2026 \u201ca\u201d \u2013 —",
     "Straße, Âme, Ève, irmã", "m\u00b2 y x\u00b3", "\u2116 5 \u2122 \u2103", "می\u200cخواهم", "日本\u3000語", "", "solo ascii",
@@ -44,7 +70,7 @@ def test_null():
     assert normalize(None) is None and not is_confusable(None)
 
 
-@given(st.text(alphabet="abcñáé 1-" + "".join(LOOK_ALIKE)[:40] + "\u00ad\u200b\u00a0\u0301\uff21\u2011", max_size=30))
+@given(st.text(alphabet="abcñáé 1-" + "аеорсухіѕјһАВЕКМНОРСТΑΒΕΖ" + "".join(EXCEPTIONS) + "\u00ad\u200b\u00a0\u0301\uff21\u2011", max_size=30))
 def test_settles_and_stays_composed(text):
     once = normalize(text)
     assert normalize(once) == once

@@ -279,7 +279,10 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def boilerplate_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no) of all lines that are part of the page; one pass, no shuffle."""
 
+    data = confusables.unicode_data()
+
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
+        confusables.use(data)
         some = batch.filter(batch.column(1).is_valid())
         docs, nos = page_lines(some.column(1).to_pylist())
         return batch_of(_FOUND, some.column(0).take(pa.array(docs)), nos)
@@ -290,7 +293,10 @@ def boilerplate_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def main_content(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, main): each text without the lines of the page; null stays null."""
 
+    data = confusables.unicode_data()
+
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        confusables.use(data)
         texts = batch.column(1).to_pylist()
         some = [k for k, t in enumerate(texts) if t]
         docs, nos = page_lines([texts[k] for k in some])

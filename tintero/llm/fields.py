@@ -38,7 +38,10 @@ def garbled_fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 def confusable_fields(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, field) of the fields with look-alike characters; garbled fields are left to ``garbled_fields``."""
 
+    data = confusables.unicode_data()
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        confusables.use(data)
         ids, names = [], []
         for k, name in enumerate(fields):
             column = batch.column(1 + k)
@@ -69,4 +72,10 @@ def repaired(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 def normalized(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, fields): every field, repaired first, in one consistent spelling; null stays null."""
-    return _rewritten(df, id_col, fields, lambda column, name: confusables.normalized(pa.array(mojibake.restored(column, _single(name)), pa.string())))
+    data = confusables.unicode_data()
+
+    def work(column: pa.Array, name: str) -> list[str | None]:
+        confusables.use(data)
+        return confusables.normalized(pa.array(mojibake.restored(column, _single(name)), pa.string()))
+
+    return _rewritten(df, id_col, fields, work)
