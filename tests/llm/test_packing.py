@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tintero.llm.packing import containers, fullest, pack
+from tintero.llm.packing import containers, fill_summary, fullest, pack
 
 
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=5), st.integers(12, 30))
@@ -69,3 +69,20 @@ def test_no_budgets_and_too_many_tokenizers(spark, tmp_path, n):
     else:
         packed = Q.p7_containers(spark, str(tmp_path))
         assert packed.count() == 0 and packed.columns == ["budget_id", "shard", "container", "doc_id", "part", "n_tokens"]
+
+
+def test_the_packing_depends_on_the_items_alone(spark):
+    rows = [(None if k % 3 == 0 else k, 1 + k * 37 % 90) for k in range(900)]
+    budgets = spark.createDataFrame([(1, 100, "t"), (2, 40, "t")], "budget_id int, capacity_tokens int, tokenizer string")
+    sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    one, other = (sorted(map(repr, containers(sizes.repartition(n), budgets, "doc_id", "n_tokens", 20, 100).collect())) for n in (2, 5))
+    assert sum("id=None" in r for r in one) >= 600 and one == other and len({r.split("shard=")[1].split(",")[0] for r in one}) > 5
+
+
+def test_summary(spark):
+    sizes = spark.createDataFrame([(1, 60), (2, 40), (3, 250), (4, 0), (5, 30)], "doc_id long, n_tokens long")
+    budgets = spark.createDataFrame([(1, 100, "t"), (2, 1000, "t")], "budget_id int, capacity_tokens int, tokenizer string")
+    got = {r.budget_id: tuple(r)[1:] for r in fill_summary(containers(sizes, budgets, "doc_id", "n_tokens"), budgets).collect()}
+    assert got[1][:5] == (100, 4, 380, 4, 4) and abs(got[1][5] - 0.05) < 1e-9 and got[2][:5] == (1000, 4, 380, 1, 1)
+    none = fill_summary(containers(sizes.limit(0), budgets, "doc_id", "n_tokens"), budgets).collect()
+    assert [tuple(r)[2:] for r in none] == [(0, 0, 0, 0, None)] * 2

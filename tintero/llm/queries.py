@@ -83,6 +83,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_summary(p7_containers(spark, sf_dir), table(spark, sf_dir, "token_budgets", "budget_id", "capacity_tokens"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "lang_labels", "label", "lang")
     return language.mislabelled_segments(documents, labels, "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
@@ -103,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_normalized, p2_found, p2_repaired, p3_found, p3_main_content, p4_found, p4_kinds, p5_found, p5_removed,
-            p6_ids, p7_containers, p8_found, p8_segments, p8_documents,
+            p6_ids, p7_containers, p7_summary, p8_found, p8_segments, p8_documents,
         )
     }
 
