@@ -65,3 +65,24 @@ def test_deep_and_long_pages_do_not_fail():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert parse(deep).text() == "x" and parse(deep).inner_html() == deep
     assert len(parse("<article>" + "<p>" + "a" * 1_000_000 + "</p></article>").text()) == 1_000_000
+
+
+def test_comments_and_quotes():
+    html = "<p>a<!-- nota --><!--[if IE]><b>x</b><![endif]-->b</p>"
+    assert parse(html).inner_html() == html and parse(html).text() == "ab" and not parse(html).select("b")
+    assert parse("<a title='1 > 0' href=x>t</a>").first("a").attrs == {"title": "1 > 0", "href": "x"}
+    assert parse('<p class="a>t</p>').text() == "t" and parse("a < b <c").text() == "a < b <c"
+    assert parse("<SCRIPT>if (a<b) {}</SCRIPT ><p>x").text() == "x"
+    assert parse("<p a=1 a=2 data-x>").first("p").attrs == {"a": "1", "data-x": ""}
+
+
+def test_unclosed_marks_take_linear_time():
+    for html in ("<a " * 200_000, '<a "' * 200_000, "<!--" * 200_000, "<a <a " * 100_000 + ">", "<" * 300_000 + ">"):
+        parse(html)
+
+
+def test_one_walk_finds_what_the_first_selector_finds():
+    root = parse("<div><b>1</b><h3>2</h3><p><strong>3</strong></p><h1>4</h1></div>")
+    assert [root.first_of(s)[1].text() for s in (("h1", "b"), ("h2", "p > strong", "h1"), ("i", "h3"))] == ["4", "3", "2"]
+    assert root.first_of(("i",)) is None and root.first_of(("b", "h3"), lambda e: e.text() == "2")[0] == 1
+    assert parse("<div><p>a <i>b</i></p></div>").first_with_text("a b").tag == "#root"

@@ -197,6 +197,33 @@ def test_metadata_defaults(spark):
     assert "<h1>a&lt;b</h1>" in page[0][0] and "Desconocido" in page[0][0] and "Sitio" not in page[0][0] and "<dd>es</dd>" in page[1][0]
 
 
+def test_text_of_a_tag_has_its_references_decoded(spark):
+    from tintero.functions import text_rules as R
+
+    rows_ = ["<h1>A &amp; B &#225;&#xE9;&ntilde; &nada; &#x1F600; 5 & 6</h1>", "<h1> x&nbsp;&nbsp;y </h1>", "<p>z</p>", None, "<H1 class='a'>s<b>t</b></H1>", "<h1>&lt;b&gt; &amp;amp;</h1>"]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows_)], "k int, h string").orderBy("k").select(R.tag_text("h", "h1")).collect()]
+    assert got == ["A & B áéñ &nada; \U0001f600 5 & 6", "x y", None, None, "st", "<b> &amp;"]
+
+
+def test_titles_stop_at_line_ends_as_the_rules_say(spark):
+    from tintero.functions import text_rules as R
+
+    df = spark.createDataFrame([("Capítulo 3: A",), ("x\nCapítulo 3: A",), ("Capítulo 3: A\nB",), ("12 - Uno",), ("12 - <b",)], "t string")
+    assert [r[0] for r in df.select(R.standard_title("t")).collect()] == ["Capítulo 3: A", None, None, "Capítulo 12: Uno", None]
+
+
+def test_chapter_links_by_path(spark):
+    urls = ["/capitulo/1", "/novelas/x/capitulo-2", "/novelas/x", "/x/capitulo-3", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert rows(X.distinct_chapter_links(df)) == [("/capitulo/1",), ("/novelas/x/capitulo-2",)] and X.distinct_chapter_links(df, dashed=True).count() == 3
+
+
+def test_sections_find_their_part_whatever_its_size(spark):
+    s = spine(spark, 230)
+    plan = spark.createDataFrame([("b", 1, 4, 0, 0), ("b", 2, 4, 1, 180), ("b", 3, 4, 181, 199), ("b", 4, 4, 300, 310), ("b", 5, 4, 9, 3)], "book_id string, part int, total_parts int, start_idx int, end_idx int")
+    assert rows(B.sections_of_parts(s, plan).groupBy("part").count()) == [(1, 1), (2, 180), (3, 19)]
+
+
 def test_closure_follows_long_chains_to_their_end(spark):
     links = spark.range(1100).selectExpr("CAST(id AS STRING) AS url", "CAST(id + 1 AS STRING) AS next_url")
     start = spark.createDataFrame([("0",)], "url string")

@@ -11,12 +11,6 @@ def test_same_rows_as_sql(spark, data, name):
     compare(spark, name, data, Q.QUERIES, Q.SQL)
 
 
-def test_contents_entries_of_whole_books(spark, data):
-    """The registered SQL still cuts the contents at 20 sections; the query doesn't."""
-    whole = Q.SQL["insert_toc_entries"].replace(" WHERE spine_idx < 20", "")
-    compare(spark, "insert_toc_entries", data, Q.QUERIES, {"insert_toc_entries": whole})
-
-
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_runs_over_whole_tables(spark, data, name):
     assert Q.QUERIES[name](spark, data).count() > 0

@@ -31,11 +31,38 @@ def test_pack_and_read(spark, tmp_path):
         w.writestr("ok", b"2")
     found = spark.createDataFrame([("e.zip", bytearray(evil.getvalue())), ("bad.zip", bytearray(b"no"))], "archive string, content binary")
     rows = Z.entries(found)
-    assert [r.name for r in Z.unpacked(rows).collect()] == ["ok"] and rows.count() == 3
+    assert [r.name for r in Z.unpacked(rows).collect()] == ["ok"] and rows.where("error IS NULL").count() == 3 and [(r.archive, r.name) for r in Z.damaged(rows).collect()] == [("bad.zip", None)]
     s = Z.structure(Z.entries(Z.pack(files))).first()
     assert s.has_mimetype and s.has_meta_inf and s.has_oebps
 
 
+def test_a_damaged_entry_costs_only_itself(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as w:
+        w.writestr("a", b"first entry")
+        w.writestr("b", b"second entry")
+    data = bytearray(out.getvalue())
+    data[data.index(b"second")] ^= 1
+    rows = Z.entries(spark.createDataFrame([("x.zip", data)], "archive string, content binary"))
+    assert [(r.name, bytes(r.data)) for r in Z.unpacked(rows).collect()] == [("a", b"first entry")]
+    assert [r.name for r in Z.damaged(rows).collect()] == ["b"]
+
+
+def test_no_file_leaves_its_folder(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([("../escaped.txt", bytearray(b"x"))], "name string, data binary")
+    with pytest.raises(Exception, match="not a name within"):
+        Z.save_files(df, "name", "data", str(tmp_path / "in"))
+    assert not (tmp_path / "escaped.txt").exists()
+
+
+def test_choosing_among_many_archives(spark):
+    found = spark.range(1500).selectExpr("format_string('%05d.epub', id) AS archive", "CAST('x' AS BINARY) AS content")
+    assert Z.choose_archive(found, 1201) == "01200.epub" and Z.choose_archive(found) is None and Z.choose_archive(found, 1501) is None and Z.choose_archive(found, 0) is None
+    assert Z.choose_archive(found.limit(1), 7) == "00000.epub"
+
+
 def test_lifted(spark):
     files = spark.createDataFrame([("a", "top/mimetype", bytearray(b"m")), ("a", "top/OEBPS/x", bytearray(b"x")), ("b", "mimetype", bytearray(b"m"))], "archive string, name string, data binary")
     assert sorted((r.archive, r.name) for r in Z.lifted(files).collect()) == [("a", "OEBPS/x"), ("a", "mimetype"), ("b", "mimetype")]
@@ -67,6 +94,7 @@ def test_folders(spark, tmp_path):
     (images / "x.PNG").write_bytes(b"1")
     assert [(r.ord, r.file_name, r.content) for r in D.xhtml_folder(spark, str(tmp_path)).orderBy("ord").collect()] == [(1, "a.XHTML", "á a.XHTML"), (2, "b.xhtml", "á b.xhtml")]
     assert D.xhtml_folder(spark, str(tmp_path / "none")).count() == 0
+    assert D.resource_folders(spark, "file://" + str(tmp_path)).count() == 1 and D.xhtml_folder(spark, "file://" + str(tmp_path)).count() == 2 and D.resource_folders(spark, str(tmp_path / "none")).count() == 0
     assert [(r.href, r.media_type) for r in D.resource_folders(spark, str(tmp_path)).collect()] == [("Images/deep/x.PNG", "image/png")]
 
 

@@ -1,17 +1,16 @@
-"""A lenient HTML tree and the selectors the site configurations use, on the standard library's tokenizer.
+"""A lenient HTML tree and the selectors the site configurations use, on one regular expression per token.
 
 Text, titles, links and headings agree with browser-like parsers; content agrees up to white space.  ``p``, ``li``,
 ``dt``, ``dd``, ``option``, ``tr``, ``td`` and ``th`` end where a sibling begins, void elements never hold anything,
-and an end tag without a start is passed over.
+an end tag without a start is passed over, and comments stay where they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -24,6 +23,12 @@ _BLANKS = re.compile("[ \\t\\n\\f\\r\\xa0]+")
 _UNSEEN = re.compile("[\\u200b\\xad]")
 
 
+class Comment(str):
+    """A comment's text; it is written again but never read as text."""
+
+    __slots__ = ()
+
+
 class Element:
     __slots__ = ("attrs", "children", "parent", "tag")
 
@@ -46,7 +51,8 @@ class Element:
         while todo:
             c = todo.pop()
             if isinstance(c, str):
-                parts.append(c)
+                if not isinstance(c, Comment):
+                    parts.append(c)
             elif c.tag == "br":
                 parts.append(" ")
             elif c.tag not in RAW:
@@ -61,6 +67,9 @@ class Element:
         todo: list[tuple[Element | str, bool]] = [(c, self.tag in RAW) for c in reversed(self.children)]
         while todo:
             c, raw = todo.pop()
+            if isinstance(c, Comment):
+                out.append(f"<!--{c}-->")
+                continue
             if isinstance(c, str):
                 out.append(c if raw else escape(c, quote=False).replace("\xa0", "&#160;"))
                 continue
@@ -80,54 +89,124 @@ class Element:
 
     def select(self, selector: str) -> list[Element]:
         """Matching elements in document order."""
-        groups = parse_selector(selector)
-        return [e for e in self.walk() if any(_matches(e, g, len(g) - 1) for g in groups)]
+        test = compiled(selector)
+        return [e for e in self.walk() if test(e)]
 
     def first(self, selector: str) -> Element | None:
-        groups = parse_selector(selector)
-        return next((e for e in self.walk() if any(_matches(e, g, len(g) - 1) for g in groups)), None)
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("#root", {}, None)
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        closes = CLOSED_BY.get(tag, frozenset())
-        if tag in BLOCK:
-            closes = closes | {"p"}
-        if closes:
-            e = self.at
-            while e.parent is not None and (e.tag in closes or e.tag not in SCOPE):
-                if e.tag in closes:
-                    self.at = e.parent
-                e = e.parent
-        new = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(new)
-        if tag not in VOID:
-            self.at = new
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        e = self.at
-        while e.parent is not None:
-            if e.tag == tag:
-                self.at = e.parent
-                return
+        test = compiled(selector)
+        return next((e for e in self.walk() if test(e)), None)
+
+    def first_of(self, selectors: tuple[str, ...], accept: Callable[[Element], bool] | None = None) -> tuple[int, Element] | None:
+        """(rank, element) of the first selector with an accepted match, and its first match, in one walk."""
+        tests = [compiled(x) for x in selectors]
+        best: tuple[int, Element] | None = None
+        for e in self.walk():
+            for k in range(len(tests) if best is None else best[0]):
+                if tests[k](e) and (accept is None or accept(e)):
+                    best = (k, e)
+                    break
+            if best is not None and best[0] == 0:
+                break
+        return best
+
+    def first_with_text(self, text: str) -> Element | None:
+        """The first element with exactly this visible text.
+
+        Lengths without blanks are summed from the leaves up, so that only elements of the right length are read.
+        """
+        want = len("".join(text.split()))
+        order = list(self.walk())
+        size: dict[int, int] = {}
+        for e in reversed(order):
+            n = 0
+            if e.tag not in RAW:
+                for c in e.children:
+                    if isinstance(c, Element):
+                        n += size[id(c)]
+                    elif not isinstance(c, Comment):
+                        n += len("".join(_UNSEEN.sub("", c).split()))
+            size[id(e)] = n
+        return next((e for e in order if size[id(e)] == want and e.text() == text), None)
+
+
+# A comment, a declaration, or a tag with its attributes; the last form is for quotes that are never closed.
+_TOKEN = re.compile(
+    r"<!--(?P<note>.*?)-->|<!(?!--)[^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>", re.DOTALL
+)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in RAW}
+
+
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        name = m.group(1).lower()
+        if name not in out:
+            value = m.group(2) or m.group(3) or m.group(4) or ""
+            out[name] = unescape(value) if "&" in value else value
+    return out
+
+
+def _opened(at: Element, tag: str) -> Element:
+    """The element a new tag goes into, after those that it ends."""
+    closes = CLOSED_BY.get(tag, frozenset())
+    if tag in BLOCK:
+        closes = closes | {"p"}
+    if closes:
+        e = at
+        while e.parent is not None and (e.tag in closes or e.tag not in SCOPE):
+            if e.tag in closes:
+                at = e.parent
             e = e.parent
+    return at
 
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+
+def _closed(at: Element, tag: str) -> Element:
+    e = at
+    while e.parent is not None:
+        if e.tag == tag:
+            return e.parent
+        e = e.parent
+    return at
 
 
 def parse(html: str) -> Element:
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return b.root
+    """The tree of a text; the root has no tag of its own."""
+    root = at = Element("#root", {}, None)
+    pos, last = 0, html.rfind(">")
+    while pos <= last and (m := _TOKEN.search(html, pos, last + 1)) is not None:
+        if m.start() > pos:
+            _append(at, html[pos : m.start()])
+        pos = m.end()
+        tag = m.group("name") or m.group("name2")
+        if tag is None:
+            if m.group("note") is not None:
+                at.children.append(Comment(m.group("note")))
+            continue
+        tag = tag.lower()
+        if m.group("end") or m.group("end2"):
+            at = _closed(at, tag)
+            continue
+        at = _opened(at, tag)
+        attrs = m.group("attrs") or m.group("attrs2")
+        new = Element(tag, _attributes(attrs) if attrs else {}, at)
+        at.children.append(new)
+        if tag in RAW:
+            end = _RAW_END[tag].search(html, pos)
+            stop = end.start() if end else len(html)
+            if stop > pos:
+                new.children.append(html[pos:stop])
+            pos = stop
+            at = new
+        elif tag not in VOID:
+            at = new
+    if pos < len(html):
+        _append(at, html[pos:])
+    return root
+
+
+def _append(at: Element, text: str) -> None:
+    at.children.append(unescape(text) if "&" in text else text)
 
 
 _PART = re.compile(r"\s*([>+~])\s*|(\s+)|([\w-]+|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]?=)\s*(?:'([^']*)'|\"([^\"]*)\"|([^\]\s]*)))?\s*\]")
@@ -168,21 +247,32 @@ def _split_groups(selector: str) -> list[str]:
     return [g.strip() for g in re.split(r",(?![^\[]*\])", selector) if g.strip()]
 
 
+_ATTR_TESTS: dict[str, Callable[[str, str], bool]] = {
+    "": lambda value, want: True,
+    "=": lambda value, want: value == want,
+    "*=": lambda value, want: want in value,
+    "^=": lambda value, want: value.startswith(want),
+    "$=": lambda value, want: value.endswith(want),
+    "~=": lambda value, want: want in value.split(),
+    "|=": lambda value, want: value == want or value.startswith(want + "-"),
+}
+
+
 def _test(e: Element, test: tuple) -> bool:
     if test[0] == "tag":
         return e.tag == test[1]
     if test[0] == "class":
         return test[1] in e.attrs.get("class", "").split()
     value = e.attrs.get(test[1])
-    if value is None:
-        return False
-    op, want = test[2], test[3]
-    return {"": True, "=": value == want, "*=": want in value, "^=": value.startswith(want), "$=": value.endswith(want), "~=": want in value.split(), "|=": value == want or value.startswith(want + "-")}[op]
+    return value is not None and _ATTR_TESTS[test[2]](value, test[3])
 
 
 def _matches(e: Element, steps: tuple, k: int) -> bool:
-    if e.tag == "#root" or not all(_test(e, t) for t in steps[k][1]):
+    if e.tag == "#root":
         return False
+    for test in steps[k][1]:
+        if not _test(e, test):
+            return False
     if k == 0:
         return True
     up = e.parent
@@ -193,3 +283,24 @@ def _matches(e: Element, steps: tuple, k: int) -> bool:
             return True
         up = up.parent
     return False
+
+
+@lru_cache(maxsize=512)
+def compiled(selector: str) -> Callable[[Element], bool]:
+    """A test of one element; groups that end in a tag are looked up by it."""
+    by_tag: dict[str, list[tuple]] = {}
+    other: list[tuple] = []
+    for group in parse_selector(selector):
+        tag = next((t[1] for t in group[-1][1] if t[0] == "tag"), None)
+        (other if tag is None else by_tag.setdefault(tag, [])).append(group)
+
+    def test(e: Element) -> bool:
+        for group in by_tag.get(e.tag, ()):
+            if _matches(e, group, len(group) - 1):
+                return True
+        for group in other:
+            if _matches(e, group, len(group) - 1):
+                return True
+        return False
+
+    return test

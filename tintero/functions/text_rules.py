@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ NUMBER_STANDARD = r"(?i)(?:Cap[íi]tulo|Ch\.|Vol\.|Episodio)\s*(\d+)"
 NUMBER_INITIALS = r"^[A-Za-z]{2,5}\s+(\d+)"
 NUMBER_ANY = r"(\d+)"
 NUMBER_IN_URL = r"(?i)cap[ií]tulo[-_\s]*?(\d+)"
-TITLE_NAMED = r"(?is)\A.*Cap[ií]tulo\s*(\d+)[\s:\u2013—.-]?\s*(.*)\z"
-TITLE_NUMBERED = r"(?s)\A(\d+)[\s:\u2013—.-]+\s*([^<]+.*)\z"
+TITLE_NAMED = r"(?i)\A.*Cap[ií]tulo\s*(\d+)[\s:\u2013—.-]?\s*(.*)\z"
+TITLE_NUMBERED = r"\A(\d+)[\s:\u2013—.-]+\s*([^<]+.*)\z"
 FILE_NUMBER = r"(?i)(?:Capitulo|Cap|Chapter|Ch)(\d+)\.xhtml"
 VALID_HEADING = r"(?i)^Cap[ií]tulo\s+\d+.*\w.*"
 OPEN_LINK = r"(?i)<link[^>]+(?<!/)>"
@@ -132,12 +133,30 @@ def url_quote(text: Column | str) -> Column:
     return F.replace(F.url_encode(as_col(text)), F.lit("+"), F.lit("%20"))
 
 
+def decoded(text: Column | str) -> Column:
+    """The text with its character references decoded: the named ones of HTML 4, decimal and hexadecimal ones."""
+    t = as_col(text)
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+    parts = F.split(t, "&", -1)
+
+    def one(part: Column) -> Column:
+        def number(pattern: str, base: int) -> Column:
+            code = F.conv(found(part, pattern), base, 16)
+            return F.when(code.isNotNull() & (F.length(code) <= 6), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+
+        meant = F.coalesce(F.try_element_at(names, found(part, "^([A-Za-z]+[0-9]*);")), number("^#([0-9]{1,7});", 10), number("^#[xX]([0-9A-Fa-f]{1,6});", 16))
+        return F.coalesce(F.concat(meant, F.regexp_replace(part, "^[^;]*;", "")), F.concat(F.lit("&"), part))
+
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), one)
+    return F.when(t.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(t)
+
+
 def tag_text(html: Column | str, tag: str) -> Column:
-    """Text of the first element of a tag in regular markup, null if there is none; references are left."""
+    """Text of the first element of a tag in regular markup, references decoded; null if there is none."""
     h = as_col(html)
     inner = F.regexp_extract(h, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
     there = F.regexp_like(h, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"))
-    return F.when(there, collapse(F.regexp_replace(inner, "<[^>]*>", "")))
+    return F.when(there, collapse(decoded(F.regexp_replace(inner, "<[^>]*>", ""))))
 
 
 # Without a match of this no tag rule applies; one scan instead of one per rule.

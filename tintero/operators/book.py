@@ -26,6 +26,7 @@ TOC_HEAD = (
 )
 TOC_TAIL = "        </ol>\n    </nav>\n</body>\n</html>"
 NO_TITLE = "Libro sin Título"
+STRETCH = 50  # places of a book that are looked up together
 
 
 # Splits
@@ -130,12 +131,14 @@ def split_plan(spine: DataFrame, mode: str, book: str = "book_id", **options: ob
 def sections_of_parts(spine: DataFrame, plan: DataFrame, book: str = "book_id") -> DataFrame:
     """Sections with the part they belong to; ``plan`` has one book's parts as position ranges, which don't overlap.
 
-    Each part becomes an array entry of its book, so a section finds its part without a range join.
+    A part meets the sections of each stretch of ``STRETCH`` places that it touches, so the join is one of equal keys, a
+    section sees only the parts of its stretch, and a book of any size is spread.
     """
-    parts = plan.groupBy(book).agg(F.sort_array(F.collect_list(F.struct("start_idx", "end_idx", "part", "total_parts"))).alias("parts"))
-    placed = ordered_spine(spine, book).join(parts, book)
-    hit = F.filter("parts", lambda p: (F.col("pos") >= p["start_idx"]) & (F.col("pos") <= p["end_idx"]))
-    return placed.withColumn("p", F.try_element_at(hit, F.lit(1))).where("p IS NOT NULL").select(book, "spine_idx", "href", "pos", F.col("p.part").alias("part"), F.col("p.total_parts").alias("total_parts"))
+    reach = F.sequence(F.floor(F.col("start_idx") / STRETCH), F.floor(F.col("end_idx") / STRETCH))
+    parts = plan.where("start_idx <= end_idx").select(F.col(book).alias("_book"), "part", "total_parts", "start_idx", "end_idx", F.explode(reach).alias("_at"))
+    placed = ordered_spine(spine, book)
+    within = (F.col(book) == F.col("_book")) & (F.floor(F.col("pos") / STRETCH) == F.col("_at")) & F.col("pos").between(F.col("start_idx"), F.col("end_idx"))
+    return placed.join(parts, within).select(book, "spine_idx", "href", "pos", "part", "total_parts")
 
 
 def part_title(title: Column, part: Column, total: Column) -> Column:

@@ -18,6 +18,8 @@ from .sites import dispatch
 CONTENT_FALLBACKS = ("div.skn-chp-chapter-content", "div#chapter-content", "div.entry-content", "article")
 TITLE_FALLBACKS = ("h1[class*='title']", "h2[class*='title']", "h3.text-center", "p > strong", "strong", "h1", "h2", "h3", "h4", "b")
 NOISE = "script, style, .publi, .adsb30, .wp-post-navigation, .zeno_font_resizer_container, .osny-nightmode, .saboxplugin-wrap, miad-block2, miad-block3"
+# What a page with any noise has.
+_NOISE_MARK = re.compile("script|style|publi|adsb30|wp-post-navigation|zeno_font_resizer_container|osny-nightmode|saboxplugin-wrap|miad-block", re.IGNORECASE)
 CHAPTER_MARK = re.compile(r"Cap[ií]tulo\s*\d+", re.IGNORECASE | re.ASCII)
 
 _CHAPTER = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("site", pa.string()), ("title", pa.string()), ("content_html", pa.string()), ("reason", pa.string())])
@@ -36,6 +38,10 @@ def _first(root: Element, selector: str | None) -> Element | None:
         return None
 
 
+def _element(found: tuple[int, Element] | None) -> Element | None:
+    return None if found is None else found[1]
+
+
 def extract_page(html: str | None, sel_content: str | None, sel_title: str | None) -> tuple[str | None, str | None, str | None]:
     """(title, content, None), or (None, None, reason) for a page that yields no chapter."""
     if not html:
@@ -43,19 +49,19 @@ def extract_page(html: str | None, sel_content: str | None, sel_title: str | Non
     root = parse(html)
     content, title = _first(root, sel_content), _first(root, sel_title)
     if title is None:
-        title = next((e for s in TITLE_FALLBACKS for e in root.select(s) if CHAPTER_MARK.search(e.text())), None)
-    content = content if content is not None else next((e for s in CONTENT_FALLBACKS if (e := root.first(s)) is not None), None)
+        title = _element(root.first_of(TITLE_FALLBACKS, lambda e: CHAPTER_MARK.search(e.text()) is not None))
+    content = content if content is not None else _element(root.first_of(CONTENT_FALLBACKS))
     title = title if title is not None else root.first("title")
     if content is None or title is None:
         return None, None, "no content" if content is None else "no title"
     name = title.text()
-    for e in content.select(NOISE):
+    for e in content.select(NOISE) if _NOISE_MARK.search(html) else ():
         if e is not content:
             e.remove()
     if title.parent is content:
         title.remove()
     else:
-        double = next((e for e in content.walk() if e.text() == name), None)
+        double = content.first_with_text(name)
         if double is content:
             content.children.clear()
         elif double is not None:
@@ -125,10 +131,11 @@ def last_wins(links: DataFrame, keys: list[str], order: list[str], value: str =
     return links.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.max_by(value, best).alias(value))
 
 
-def distinct_chapter_links(links: DataFrame, url_col: str = "url") -> DataFrame:
-    """Distinct URLs that lead to chapters, by their path."""
+def distinct_chapter_links(links: DataFrame, url_col: str = "url", dashed: bool = False) -> DataFrame:
+    """Distinct URLs that lead to chapters, by their path; ``dashed`` also takes paths such as ``/capitulo-12``."""
     u = F.col(url_col)
-    return links.where(u.contains("/capitulo/") | (u.contains("/novelas/") & u.contains("capitulo")) | u.contains("/capitulo-")).select(url_col).distinct()
+    leads = u.contains("/capitulo/") | (u.contains("/novelas/") & u.contains("capitulo"))
+    return links.where(leads | u.contains("/capitulo-") if dashed else leads).select(url_col).distinct()
 
 
 def next_pages(pages: DataFrame, config: DataFrame) -> DataFrame:

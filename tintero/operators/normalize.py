@@ -25,7 +25,8 @@ def _files(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def _title_element(root: Element) -> tuple[str, Element] | None:
-    return next(((s, e) for s in TITLE_PLACES if (e := root.first(s)) is not None), None)
+    found = root.first_of(TITLE_PLACES)
+    return None if found is None else (TITLE_PLACES[found[0]], found[1])
 
 
 def title_places(files: DataFrame, id_col: str, content_col: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 from html.entities import name2codepoint
 
@@ -19,6 +19,7 @@ from ..operators import select as S
 from ..operators.position import by_number
 from ..operators.sites import dispatch
 from ..sources import archive as Z
+from ..sources.store import shared_folder
 from ..streaming import pages as P
 from . import flows as W
 
@@ -61,7 +62,7 @@ def sql_collapse(t: str) -> str:
 def sql_tag(html: str, tag: str) -> str:
     there = f"regexp_matches({html}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>')"
     inner = f"regexp_extract({html}, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1)"
-    return f"CASE WHEN {there} THEN {sql_collapse(f'regexp_replace({inner}, $$<[^>]*>$$, $$$$, $$g$$)')} END"
+    return f"CASE WHEN {there} THEN {sql_text(inner)} END"
 
 
 def sql_first(text: str, pattern: str) -> str:
@@ -78,7 +79,7 @@ def sql_heading(text: str) -> str:
 
 def sql_title(text: str) -> str:
     t = sql_trim(f"replace({text}, chr(65533), '\u2019')")
-    named, numbered = f"(?s)\\A.*{CAP}\\s*(\\d+)[\\s:\u2013—.-]?\\s*(.*)\\z", "(?s)\\A(\\d+)[\\s:\u2013—.-]+\\s*([^<]+.*)\\z"
+    named, numbered = f"\\A.*{CAP}\\s*(\\d+)[\\s:\u2013—.-]?\\s*(.*)\\z", "\\A(\\d+)[\\s:\u2013—.-]+\\s*([^<]+.*)\\z"
 
     def made(p: str) -> str:
         name = sql_trim(f"regexp_extract({t}, '{p}', 2)")
@@ -163,7 +164,7 @@ def chapter_index_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)
 
 
-@query("SELECT DISTINCT url FROM chapter_links WHERE contains(url, '/capitulo/') OR contains(url, '/novelas/') AND contains(url, 'capitulo') OR contains(url, '/capitulo-')")
+@query("SELECT DISTINCT url FROM chapter_links WHERE contains(url, '/capitulo/') OR contains(url, '/novelas/') AND contains(url, 'capitulo')")
 def distinct_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.distinct_chapter_links(table(spark, sf_dir, "chapter_links", "url"))
 
@@ -443,7 +444,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH m AS ({_MAP_SQL}), q AS (SELECT book_id, r.* FROM (SELECT DISTINCT book_id FROM metadata), (VALUES (1, 10), (2, 10), (3, 25), (4, 999999)) r(req_ord, after_chapter)),
     pages AS (SELECT q.book_id, m.spine_idx, row_number() OVER (PARTITION BY q.book_id ORDER BY m.spine_idx, req_ord) AS k FROM q JOIN m ON q.book_id = m.book_id AND q.after_chapter = m.chapter_no),
-    top AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS i, href FROM spine WHERE spine_idx < 20), sizes AS (SELECT book_id, count(*) AS size FROM top GROUP BY book_id)
+    top AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS i, href FROM spine ), sizes AS (SELECT book_id, count(*) AS size FROM top GROUP BY book_id)
     SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY i, kind, k) - 1 AS INTEGER) AS pos, title, href FROM (SELECT book_id, i, 0 AS kind, 0 AS k, href AS title, href FROM top
     UNION ALL SELECT book_id, least(spine_idx, size - 1), 1, k, 'Libro ' || k, 'info_libro_' || k || '.xhtml' FROM pages JOIN sizes USING (book_id))""")
 def insert_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,27 +609,17 @@ def stream_latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The output is complete, so windows that the watermark would keep open, and late rows, are part of the result too.
     """
-    out = tempfile.mkdtemp(prefix="links-", dir=_shared(spark))
+    out = f"{shared_folder(spark).rstrip('/')}/links-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "chapter_links").schema
     name = "chapter_links.parquet"
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}") if os.path.isdir(f"{sf_dir}/{name}") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
-    os.makedirs(f"{out}/data")
+    spark.createDataFrame([], "window_start timestamp, index_url string, chapter_no int, url string").write.parquet(f"{out}/data")
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")
     stream = P.latest_links(source).writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.schema("window_start timestamp, index_url string, chapter_no int, url string").parquet(f"{out}/data")
 
 
-def _shared(spark: SparkSession) -> str | None:
-    """The cluster's shared folder if it is a mounted one."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    path = named.removeprefix("file://")
-    if path.startswith("/"):
-        os.makedirs(path, exist_ok=True)
-        return path
-    return None
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
 from ..functions.arrow import map_rows
+from ..operators.position import by_order
 
 MIMETYPE = b"application/epub+zip"
 STAMP = (1980, 1, 1, 0, 0, 0)
 
-_ENTRY = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("is_dir", pa.bool_()), ("method", pa.string()), ("size", pa.int64()), ("crc", pa.int64()), ("safe", pa.bool_()), ("data", pa.binary())])
-_ENTRY_SQL = "archive string, seq int, name string, is_dir boolean, method string, size long, crc long, safe boolean, data binary"
+_ENTRY = pa.schema([("archive", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("is_dir", pa.bool_()), ("method", pa.string()), ("size", pa.int64()), ("crc", pa.int64()), ("safe", pa.bool_()), ("data", pa.binary()), ("error", pa.string())])
+_ENTRY_SQL = "archive string, seq int, name string, is_dir boolean, method string, size long, crc long, safe boolean, data binary, error string"
 
 
 def archives(spark: SparkSession, path: str, suffix: str = ".epub") -> DataFrame:
@@ -32,10 +33,22 @@ def archives(spark: SparkSession, path: str, suffix: str = ".epub") -> DataFrame
 
 def choose_archive(found: DataFrame, choice: int | None = None) -> str | None:
     """The only archive of a folder, or the ``choice``-th (from 1) by name; None if there is none or the choice is open."""
-    names = [r[0] for r in found.select("archive").orderBy("archive").limit(1000).collect()]
-    if len(names) == 1:
-        return names[0]
-    return names[choice - 1] if choice is not None and 1 <= choice <= len(names) else None
+    names = found.select("archive").orderBy("archive")
+    if choice is None:
+        first = names.take(2)
+        return first[0][0] if len(first) == 1 else None
+    only = names.take(2)
+    if len(only) == 1:
+        return only[0][0]
+    at = names.offset(choice - 1).first() if choice >= 1 else None
+    return None if at is None else at[0]
+
+
+_DAMAGED = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError)
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
 def is_safe(name: str) -> bool:
@@ -45,25 +58,38 @@ def is_safe(name: str) -> bool:
 
 
 def entries(found: DataFrame) -> DataFrame:
-    """One row per entry of every archive; damaged archives give none, and unsafe names are marked."""
+    """One row per entry of every archive; unsafe names are marked.
+
+    A damaged entry has no data and says why in ``error``, a file that is no archive is one row with nothing but that.
+    """
 
     def one(row: dict) -> list[dict]:
         try:
             z = zipfile.ZipFile(io.BytesIO(row["content"] or b""))
-            out = []
-            for k, i in enumerate(z.infolist()):
-                method = {zipfile.ZIP_STORED: "STORED", zipfile.ZIP_DEFLATED: "DEFLATED"}.get(i.compress_type, str(i.compress_type))
-                out.append({"archive": row["archive"], "seq": k, "name": i.filename, "is_dir": i.is_dir(), "method": method, "size": i.file_size, "crc": i.CRC, "safe": is_safe(i.filename), "data": b"" if i.is_dir() else z.read(i)})
-            return out
-        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):
-            return []
+        except _DAMAGED as e:
+            return [{"archive": row["archive"], "error": _said(e)}]
+        out = []
+        for k, i in enumerate(z.infolist()):
+            method = {zipfile.ZIP_STORED: "STORED", zipfile.ZIP_DEFLATED: "DEFLATED"}.get(i.compress_type, str(i.compress_type))
+            entry = {"archive": row["archive"], "seq": k, "name": i.filename, "is_dir": i.is_dir(), "method": method, "size": i.file_size, "crc": i.CRC, "safe": is_safe(i.filename)}
+            try:
+                entry["data"] = b"" if i.is_dir() else z.read(i)
+            except _DAMAGED as e:
+                entry["error"] = _said(e)
+            out.append(entry)
+        return out
 
     return map_rows(found.select("archive", "content"), one, _ENTRY, _ENTRY_SQL)
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
-    """Files of the archives; entries that would leave the folder are skipped."""
-    return rows.where("safe AND NOT is_dir")
+    """Files of the archives; entries that would leave the folder are skipped, damaged ones as well."""
+    return rows.where("safe AND NOT is_dir AND error IS NULL").drop("error")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """(archive, name, error): entries that can't be read, and files that are no archives (without a name)."""
+    return rows.where("error IS NOT NULL").select("archive", "name", "error")
 
 
 def structure(rows: DataFrame) -> DataFrame:
@@ -122,7 +148,7 @@ def read_book(archive: str, content: bytes) -> dict:
         if not book["spine"]:
             book["error"] = "empty spine"
     except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError, zlib.error) as e:
-        book["error"] = f"{type(e).__name__}: {e}"[:200]
+        book["error"] = _said(e)
     return book
 
 
@@ -165,18 +191,16 @@ def rejected(read: DataFrame) -> DataFrame:
 def pack_plan(files: DataFrame, directories: bool = False) -> DataFrame:
     """(archive, seq, name, method, size, crc): the order and checksums of a packed EPUB.
 
+    Data are summed up where they lie; only names, sizes and checksums are put in order, a large archive by several tasks.
     The mimetype at the root comes first and stored; the rest is deflated by name, META-INF and OEBPS only if
     ``directories`` are to be kept, else every file not named mimetype.
     """
     top = F.col("name") == "mimetype"
     named = F.element_at(F.split("name", "/"), -1) == "mimetype"
     rest = (F.startswith("name", F.lit("META-INF/")) | F.startswith("name", F.lit("OEBPS/"))) if directories else ~named
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("archive").orderBy(F.when(top, 0).otherwise(1), "name")
-    return files.where(top | rest).select(
-        "archive", (F.row_number().over(order) - 1).alias("seq"), "name", F.when(top, "STORED").otherwise("DEFLATED").alias("method"), F.length("data").cast("long").alias("size"), F.crc32("data").alias("crc")
-    )
+    summed = files.where(top | rest).select("archive", F.when(top, 0).otherwise(1).alias("_rest"), "name", F.length("data").cast("long").alias("size"), F.crc32("data").alias("crc"))
+    placed = by_order(summed, "archive", ["_rest", "name"], "seq")
+    return placed.select("archive", "seq", "name", F.when(F.col("_rest") == 0, "STORED").otherwise("DEFLATED").alias("method"), "size", "crc")
 
 
 def zip_bytes(members: list[tuple[str, bytes]], first_stored: bool = True, directories: bool = False) -> bytes:
@@ -269,36 +293,52 @@ def build_books(sections: DataFrame, metadata: DataFrame, group: list[str], reso
     counts.  One group is one book or part, the unit that is written as one file.
     """
     meta_cols = ["title", "authors", "language", "subjects", "descriptions", "identifiers"]
-    joined = sections.select(*group, "ord", "name", F.col("title").alias("section_title"), "xhtml").join(metadata.select(*group, *meta_cols), group, "left")
-
-    def one(pdf: pd.DataFrame, extra: pd.DataFrame | None = None) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "name"], kind="stable")
-        head = pdf.iloc[0]
-        meta = {c: (list(head[c]) if head[c] is not None and not isinstance(head[c], str) else head[c]) for c in meta_cols}
-        meta["authors"] = [a if isinstance(a, str) else f"{a.get('first') or ''} {a.get('last') or ''}".strip() for a in meta["authors"] or []]
-        files, cover = [], None
-        if extra is not None and len(extra):
-            extra = extra.sort_values("href", kind="stable").drop_duplicates("href")
-            files = [(str(h), bytes(d or b"")) for h, d in zip(extra["href"], extra["data"], strict=True)]
-            cover = next((h for h, c in zip(extra["href"], extra["is_cover"], strict=True) if c is True or c == 1), None)
-        name = "_".join(str(head[g]) for g in group)
-        data = zip_bytes(book_files(name, meta, [(n, t or n, x or "") for n, t, x in zip(pdf["name"], pdf["section_title"], pdf["xhtml"], strict=True)], files, cover))
-        return pd.DataFrame({**{g: [head[g]] for g in group}, "content": [data]})
-
     kinds = dict(sections.dtypes)
     schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "content binary"])
-    if resources is None:
-        return joined.groupBy(*group).applyInPandas(lambda pdf: one(pdf), schema)
-    own = resources.select(*group, "href", "data", "is_cover").join(sections.select(*group).distinct(), group, "left_semi")  # no book without sections
-    return joined.groupBy(*group).cogroup(own.groupBy(*group)).applyInPandas(lambda left, right: one(left, right), schema)
+    none = F.lit(None)
+    # whatever goes into a book beside its sections, one kind of row each; books without sections aren't built
+    keys = [F.col(g).alias(f"_{g}") for g in group]
+    beside = metadata.select(*keys, *meta_cols, none.cast("string").alias("href"), none.cast("binary").alias("data"), none.cast("boolean").alias("is_cover"))
+    if resources is not None:
+        types = dict(metadata.dtypes)
+        beside = beside.unionByName(resources.select(*keys, *[none.cast(types[c]).alias(c) for c in meta_cols], "href", "data", "is_cover"))
+
+    def one(key: tuple, pages: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(pages):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (*group, "content")})
+        pages = pages.sort_values(["ord", "name"], kind="stable")
+        own = other[other["href"].isna()]
+        meta = {c: _plain(own[c].iloc[0]) if len(own) else None for c in meta_cols}
+        meta["authors"] = [a if isinstance(a, str) else f"{a.get('first') or ''} {a.get('last') or ''}".strip() for a in meta["authors"] or []]
+        extra = other[other["href"].notna()].sort_values("href", kind="stable").drop_duplicates("href")
+        files = [(str(h), bytes(d or b"")) for h, d in zip(extra["href"], extra["data"], strict=True)]
+        cover = next((h for h, c in zip(extra["href"], extra["is_cover"], strict=True) if c is True or c == 1), None)
+        name = "_".join(str(k) for k in key)
+        data = zip_bytes(book_files(name, meta, [(n, t or n, x or "") for n, t, x in zip(pages["name"], pages["title"], pages["xhtml"], strict=True)], files, cover))
+        return pd.DataFrame({**{g: [k] for g, k in zip(group, key, strict=True)}, "content": [data]})
+
+    pages = sections.select(*group, "ord", "name", "title", "xhtml")
+    return pages.groupBy(*group).cogroup(beside.groupBy(*[f"_{g}" for g in group])).applyInPandas(one, schema)
+
+
+def _plain(value: object) -> object:
+    """A metadata field as Python has it; missing values of any kind are None."""
+    if value is None or isinstance(value, float):
+        return None
+    return value if isinstance(value, str) else list(value)  # type: ignore[call-overload]
 
 
 def save_files(df: DataFrame, name_col: str, data_col: str, folder: str) -> None:
-    """Writes one loose file per row to a folder that all executors share; a repeated attempt overwrites its own file."""
+    """Writes one loose file per row to a folder that all executors share; a repeated attempt overwrites its own file.
+
+    Names that would leave the folder are refused.
+    """
     import os
 
     def write(rows: Iterator) -> None:
         for name, data in rows:
+            if not is_safe(name):
+                raise ValueError(f"not a name within the folder: {name}")
             path = os.path.join(folder, name)
             os.makedirs(os.path.dirname(path), exist_ok=True)
             with open(path + ".part", "wb") as f:
