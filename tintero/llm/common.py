@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpointed
+
 TAG = re.compile(r"<[^>]*>")
 
 
@@ -38,15 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes an intermediate result once to the cluster's shared checkpoint folder.
-
-    A lost executor re-reads the files.  A folder of our own is set only where the session names none.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tintero-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Writes an intermediate result once to the cluster's shared checkpoint folder; a lost executor's work is read again from there."""
+    return checkpointed(df)
 
 
 FILTER_BITS = 24
