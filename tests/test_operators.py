@@ -90,6 +90,25 @@ def test_titles_are_planned_and_applied(spark):
     assert "<title>Capítulo 13: B</title>" in out["2"] and "<h1>Capítulo 13: B</h1>" in out["2"] and out["3"] == "<h1>Prólogo</h1>" and out["4"] is None
 
 
+def test_one_pass_gives_what_plan_and_apply_give(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    planned = N.apply_titles(pages, N.title_changes(N.title_places(pages, "page_id", "html")), "page_id", "html")
+    assert rows(N.standardized(pages, "page_id", "html"), "id", "content", "changed") == rows(planned)
+    files = spark.read.parquet(f"{data}/chapters.parquet").where("content_html IS NOT NULL")
+    plan = N.heading_plan(X.headings(files, "chapter_id", "content_html"))
+    assert rows(N.cleaned(files, "chapter_id", "content_html")) == rows(N.apply_headings(files, plan, "chapter_id", "content_html"))
+    assert rows(N.heading_report(files, "chapter_id", "content_html"), "id", "pos", "is_valid", "keep") == rows(plan, "id", "pos", "is_valid", "keep")
+    assert N.cleaned(files.limit(0), "chapter_id", "content_html").count() == 0
+
+
+def test_rules_on_strings_are_those_on_columns(spark):
+    from tintero.functions import text_rules as R
+
+    texts = ["Capítulo 3: A", "CAPITULO 4", "capÍtulo 5: x", "12 - Uno", "12", " 7. B ", "x\ufffdy Capítulo 9 – Z", "Capítulo 10 A", "Capítulo 1", "Capítulo  2: á", "", "\u00a012 x", "Capítulo 3\nB", "3 <b>"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    assert [(r[0], r[1]) for r in df.select(R.standard_title("t"), R.valid_heading("t")).collect()] == [(R.standard_title_of(t), R.is_valid_heading(t)) for t in texts]
+
+
 def test_audits(spark):
     files = spark.createDataFrame([(1, "Capítulo 12: A", "Capítulo 12: A "), (2, None, "x"), (3, "", ""), (4, "Capítulo 4", "otro")], "id int, h1 string, title string")
     assert [r[0] for r in rows(A.format_problems(files), "id")] == [2, 3, 4]

@@ -2,7 +2,8 @@
 
 Text, titles, links and headings agree with browser-like parsers; content agrees up to white space.  ``p``, ``li``,
 ``dt``, ``dd``, ``option``, ``tr``, ``td`` and ``th`` end where a sibling begins, void elements never hold anything,
-an end tag without a start is passed over, and comments stay where they are.
+an end tag without a start is passed over (but for ``</p>``, which stands for an empty paragraph, as in browsers), and
+comments stay where they are.
 """
 
 from __future__ import annotations
@@ -185,7 +186,10 @@ def parse(html: str) -> Element:
             continue
         tag = tag.lower()
         if m.group("end") or m.group("end2"):
-            at = _closed(at, tag)
+            below = _closed(at, tag)
+            if below is at and tag == "p":
+                at.children.append(Element("p", {}, at))
+            at = below
             continue
         at = _opened(at, tag)
         attrs = m.group("attrs") or m.group("attrs2")

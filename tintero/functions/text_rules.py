@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -95,6 +96,21 @@ def standard_title(text: Column | str) -> Column:
     return F.when(named, title(TITLE_NAMED)).when(numbered, title(TITLE_NUMBERED))
 
 
+# The same rules on single strings, for work that has a file's tree in hand.
+_NAMED, _NUMBERED, _VALID = (re.compile(p.replace(r"\z", r"\Z"), re.ASCII) for p in (TITLE_NAMED, TITLE_NUMBERED, VALID_HEADING))
+_TRIMMED = "".join(map(chr, range(33)))
+
+
+def standard_title_of(text: str) -> str | None:
+    t = text.replace("\ufffd", "\u2019").strip(_TRIMMED)
+    m = _NAMED.match(t) or _NUMBERED.match(t)
+    return f"Capítulo {m.group(1)}: {m.group(2).strip(_TRIMMED) or UNTITLED}" if m else None
+
+
+def is_valid_heading(text: str) -> bool:
+    return _VALID.search(text) is not None
+
+
 def valid_heading(text: Column | str) -> Column:
     return F.coalesce(F.regexp_like(as_col(text), F.lit(VALID_HEADING)), F.lit(False))
 

@@ -20,6 +20,11 @@ _PLACE = pa.schema([("id", pa.string()), ("place", pa.string()), ("tag", pa.stri
 _FILE = pa.schema([("id", pa.string()), ("content", pa.string()), ("changed", pa.bool_())])
 
 
+_TITLED = pa.schema([*_FILE, ("old_title", pa.string()), ("new_title", pa.string())])
+_REPORT = pa.schema([("id", pa.string()), ("tag", pa.string()), ("level", pa.int32()), ("pos", pa.int32()), ("text", pa.string()), ("is_valid", pa.bool_()), ("keep", pa.bool_())])
+_HEADING = re.compile("<h[1-4]", re.IGNORECASE)
+
+
 def _files(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
     return files.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"))
 
@@ -55,8 +60,86 @@ def _set_title(root: Element, title: str) -> None:
         element.children[:] = [title]
 
 
+def _retitle(root: Element, place: str, title: str) -> None:
+    old = root.first(place)
+    if old is not None:
+        if place == "p > strong":
+            old = old.parent
+        new = Element("h1", {}, old.parent)
+        new.children.append(title)
+        old.parent.children[old.parent.children.index(old)] = new
+    _set_title(root, title)
+
+
+def standardized(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """(id, content, changed, old_title, new_title): files with their title in standard form, planned and applied in one pass.
+
+    new_title is null where nothing is to be changed.
+    """
+
+    def one(row: dict) -> list[dict]:
+        out = {"id": row["id"], "content": row["content"], "changed": False, "old_title": None, "new_title": None}
+        if row["content"]:
+            root = parse(row["content"])
+            if (hit := _title_element(root)) is not None:
+                old = hit[1].text()
+                new = R.standard_title_of(old)
+                out["old_title"] = old
+                if new is not None and (new != old or hit[1].tag != "h1"):
+                    _retitle(root, hit[0], new)
+                    content = _document(row["content"], root)
+                    out |= {"content": content, "changed": content != row["content"], "new_title": new}
+        return [out]
+
+    return map_rows(_files(files, id_col, content_col), one, _TITLED, "id string, content string, changed boolean, old_title string, new_title string")
+
+
+def cleaned(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """(id, content, changed): files of whose headings each level keeps the first valid one, in one pass."""
+
+    def one(row: dict) -> list[dict]:
+        out = {"id": row["id"], "content": row["content"], "changed": False}
+        if row["content"] and _HEADING.search(row["content"]):
+            root = parse(row["content"])
+            found = root.select("h1, h2, h3, h4")
+            drop = [e for e, keep in zip(found, _kept(found), strict=True) if not keep]
+            for e in drop:
+                e.remove()
+            if drop:
+                out |= {"content": _document(row["content"], root), "changed": True}
+        return [out]
+
+    return map_rows(_files(files, id_col, content_col), one, _FILE, "id string, content string, changed boolean")
+
+
+def heading_report(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """(id, tag, level, pos, text, is_valid, keep): the plan of ``cleaned`` in one pass, without a shuffle."""
+
+    def one(row: dict) -> list[dict]:
+        if not row["content"] or not _HEADING.search(row["content"]):
+            return []
+        found = parse(row["content"]).select("h1, h2, h3, h4")
+        return [
+            {"id": row["id"], "tag": e.tag, "level": int(e.tag[1]), "pos": k, "text": (text := e.text()), "is_valid": R.is_valid_heading(text), "keep": keep} for k, (e, keep) in enumerate(zip(found, _kept(found), strict=True))
+        ]
+
+    return map_rows(_files(files, id_col, content_col), one, _REPORT, "id string, tag string, level int, pos int, text string, is_valid boolean, keep boolean")
+
+
+def _kept(found: list[Element]) -> list[bool]:
+    """Whether each heading stays: the first valid one of its level."""
+    seen: set[str] = set()
+    out = []
+    for e in found:
+        keep = e.tag not in seen and R.is_valid_heading(e.text())
+        if keep:
+            seen.add(e.tag)
+        out.append(keep)
+    return out
+
+
 def apply_titles(files: DataFrame, changes: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(id, content, changed): files with the planned titles as their ``<h1>`` and ``<title>``."""
+    """(id, content, changed): files with the planned titles as their ``<h1>`` and ``<title>``, for plans that somebody has edited."""
     joined = _files(files, id_col, content_col).join(changes.select("id", "place", "new_title"), "id", "left")
 
     def one(row: dict) -> list[dict]:
@@ -64,14 +147,7 @@ def apply_titles(files: DataFrame, changes: DataFrame, id_col: str, content_col:
         if title is None or not content:
             return [{"id": row["id"], "content": content, "changed": False}]
         root = parse(content)
-        old = root.first(row["place"])
-        if old is not None:
-            if row["place"] == "p > strong":
-                old = old.parent
-            new = Element("h1", {}, old.parent)
-            new.children.append(title)
-            old.parent.children[old.parent.children.index(old)] = new
-        _set_title(root, title)
+        _retitle(root, row["place"], title)
         out = _document(content, root)
         return [{"id": row["id"], "content": out, "changed": out != content}]
 
@@ -92,7 +168,7 @@ def heading_plan(headings: DataFrame) -> DataFrame:
 
 
 def apply_headings(files: DataFrame, plan: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(id, content, changed): files without the headings that the plan drops."""
+    """(id, content, changed): files without the headings that the plan drops, for plans that somebody has edited."""
     drop = plan.where(~F.col("keep")).groupBy("id").agg(F.collect_list("pos").alias("drop"))
     joined = _files(files, id_col, content_col).join(drop, "id", "left")
 
