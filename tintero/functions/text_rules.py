@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from html import unescape
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -150,15 +151,19 @@ def url_quote(text: Column | str) -> Column:
 
 
 def decoded(text: Column | str) -> Column:
-    """The text with its character references decoded: the named ones of HTML 4, decimal and hexadecimal ones."""
+    """The text with its character references decoded: the named ones of HTML 4, decimal and hexadecimal ones.
+
+    Numbers from 128 to 159 mean the characters of Windows-1252, as in browsers.
+    """
     t = as_col(text)
     names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+    windows = F.create_map(*[F.lit(x) for code in range(128, 160) for x in (f"{code:X}", unescape(f"&#{code};"))])
     parts = F.split(t, "&", -1)
 
     def one(part: Column) -> Column:
         def number(pattern: str, base: int) -> Column:
             code = F.conv(found(part, pattern), base, 16)
-            return F.when(code.isNotNull() & (F.length(code) <= 6), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+            return F.when(code.isNotNull() & (F.length(code) <= 6), F.coalesce(F.try_element_at(windows, F.ltrim(code, F.lit("0"))), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")))
 
         meant = F.coalesce(F.try_element_at(names, found(part, "^([A-Za-z]+[0-9]*);")), number("^#([0-9]{1,7});", 10), number("^#[xX]([0-9A-Fa-f]{1,6});", 16))
         return F.coalesce(F.concat(meant, F.regexp_replace(part, "^[^;]*;", "")), F.concat(F.lit("&"), part))

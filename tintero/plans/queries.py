@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from html import unescape
 from html.entities import name2codepoint
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
@@ -19,7 +20,7 @@ from ..operators import select as S
 from ..operators.position import by_number
 from ..operators.sites import dispatch
 from ..sources import archive as Z
-from ..sources.store import shared_folder
+from ..sources.store import checkpointed, shared_folder
 from ..streaming import pages as P
 from . import flows as W
 
@@ -52,7 +53,14 @@ def sql_text(html: str) -> str:
     t = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
     for name, code in sorted((k, v) for k, v in name2codepoint.items() if 160 <= v < 256 or k in ("quot", "lt", "gt", "amp", "euro", "mdash", "hellip")):
         t = f"replace({t}, '&{name};', chr({code}))" if name != "amp" else t
-    return sql_collapse(f"replace({t}, '&amp;', '&')")
+    return sql_collapse(f"replace({sql_windows(t)}, '&amp;', '&')")
+
+
+def sql_windows(t: str) -> str:
+    """Numbered references from 128 to 159 as the characters that browsers take them for."""
+    for code in range(128, 160):
+        t = f"replace({t}, '&#{code};', '{unescape(f'&#{code};')}')"
+    return t
 
 
 def sql_collapse(t: str) -> str:
@@ -125,7 +133,20 @@ def extract_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rejects_of(X.extract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "site_config")))
 
 
-@query()
+def sql_decoded(t: str) -> str:
+    """Named references other than those of markup as characters."""
+    for name, code in sorted((k, v) for k, v in name2codepoint.items() if 160 < v < 256 or k in ("euro", "mdash", "hellip")):
+        t = f"replace({t}, '&{name};', chr({code}))"
+    return f"replace(replace({sql_windows(t)}, '&nbsp;', '&#160;'), '&quot;', chr(34))"
+
+
+# The content of a page as a browser's tree writes it: no scripts, blocks outside paragraphs, void elements closed.
+_CONTENT_SQL = sql_decoded("regexp_replace(regexp_extract(html, '(?s)<div class=\"entry-content\">(.*)</div></body>', 1), '(?s)<script>.*?</script>', '', 'g')")
+for _pattern, _new in (("<p>(<(?:hr|table|aside|h[1-6]|ul|ol|blockquote|div|pre|section)\\b.*)</p>", "<p></p>\\1<p></p>"), ("<(hr|br|img[^>]*?) ?/?>", "<\\1 />")):
+    _CONTENT_SQL = f"regexp_replace({_CONTENT_SQL}, '{_pattern}', '{_new}', 'g')"
+
+
+@query(f"""SELECT page_id, {sql_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {_CONTENT_SQL} AS content_html FROM pages WHERE contains(html, '<div class="entry-content">')""")
 def extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chapters_of(X.extract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "site_config"))).select("page_id", "title", "content_html")
 
@@ -164,9 +185,15 @@ def chapter_index_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)
 
 
-@query("SELECT DISTINCT url FROM chapter_links WHERE contains(url, '/capitulo/') OR contains(url, '/novelas/') AND contains(url, 'capitulo')")
+@query("SELECT DISTINCT url FROM (SELECT CASE WHEN pos % 2 = 0 THEN replace(url, '/capitulo-', '/capitulo/') ELSE url END AS url FROM chapter_links) WHERE contains(url, '/capitulo/') OR contains(url, '/novelas/') AND contains(url, 'capitulo')")
 def distinct_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.distinct_chapter_links(table(spark, sf_dir, "chapter_links", "url"))
+    links = table(spark, sf_dir, "chapter_links", "url", "pos")
+    return X.distinct_chapter_links(links.select(F.when(F.col("pos") % 2 == 0, F.replace("url", F.lit("/capitulo-"), F.lit("/capitulo/"))).otherwise(F.col("url")).alias("url")))
+
+
+@query("SELECT DISTINCT url FROM chapter_links WHERE contains(url, '/capitulo/') OR contains(url, '/novelas/') AND contains(url, 'capitulo') OR contains(url, '/capitulo-')")
+def distinct_links_dashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.distinct_chapter_links(table(spark, sf_dir, "chapter_links", "url"), dashed=True)
 
 
 @query(f"""WITH RECURSIVE idx AS ({_INDEX_SQL}), chain AS (SELECT index_url, chapter_no, url, lead(url) OVER (PARTITION BY index_url ORDER BY chapter_no) AS next_url FROM idx),
@@ -251,26 +278,52 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, level, pos, is_valid, is_valid AND row_number() OVER (PARTITION BY id, level, is_valid ORDER BY pos) = 1 AS keep FROM v"""
 )
 def heading_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.headings(table(spark, sf_dir, "chapters", "chapter_id", "content_html").where(F.col("content_html").rlike("(?i)<h[1-4]")), "chapter_id", "content_html")
-    return N.heading_plan(found).select("id", "level", "pos", "is_valid", "keep")
+    return N.heading_report(table(spark, sf_dir, "chapters", "chapter_id", "content_html"), "chapter_id", "content_html").select("id", "level", "pos", "is_valid", "keep")
+
+
+def _text(html: str) -> Column:
+    """All visible text of regular markup."""
+    return R.collapse(R.decoded(F.regexp_replace(html, "<[^>]*>", "")))
+
 
+_H = "(?is)<h[1-4](?:\\s[^>]*)?>.*?</h[1-4]>"
 
-@query()
+
+@query(
+    f"""WITH f AS (SELECT CAST(chapter_id AS VARCHAR) AS id, content_html, regexp_extract_all(content_html, '{_H}') AS heads, regexp_split_to_array(content_html, '{_H}') AS pieces FROM chapters),
+    e AS (SELECT id, unnest(heads) AS head, generate_subscripts(heads, 1) AS pos FROM f),
+    v AS (SELECT *, lower(substr(head, 3, 1)) AS level, {sql_heading(sql_text("regexp_extract(head, '(?is)^<h[1-4](?:[ ][^>]*)?>(.*)</h[1-4]>$', 1)"))} AS valid FROM e),
+    k AS (SELECT *, valid AND row_number() OVER (PARTITION BY id, level, valid ORDER BY pos) = 1 AS keep FROM v),
+    g AS (SELECT id, list(CASE WHEN keep THEN head ELSE '' END ORDER BY pos) AS kept, bool_or(NOT keep) AS changed FROM k GROUP BY id)
+    SELECT f.id, coalesce(g.changed, false) AS changed, {sql_text("CASE WHEN g.changed THEN pieces[1] || array_to_string(list_transform(list_zip(kept, pieces[2:]), lambda x: x[1] || x[2]), '') ELSE content_html END")} AS text
+    FROM f LEFT JOIN g USING (id)"""
+)
 def heading_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "chapters", "chapter_id", "content_html")
-    found = X.headings(files.where(F.col("content_html").rlike("(?i)<h[1-4]")), "chapter_id", "content_html")
-    return N.apply_headings(files, N.heading_plan(found), "chapter_id", "content_html")
+    done = N.cleaned(table(spark, sf_dir, "chapters", "chapter_id", "content_html"), "chapter_id", "content_html")
+    return done.select("id", "changed", _text("content").alias("text"))
+
 
+def _place_sql() -> str:
+    """(page_id, html, place, old_title): where a page's title is sought in regular markup."""
+    places = [(t, f"(?is)<{t}(?:\\s[^>]*)?>(.*?)</{t}>") for t in ("h1", "h2", "h3", "h4")] + [("p > strong", "(?is)<p(?:\\s[^>]*)?><strong>(.*?)</strong>"), ("p", "(?is)<p(?:\\s[^>]*)?>(.*?)</p>"), ("b", "(?is)<b>(.*?)</b>")]
+    place = "CASE " + " ".join(f"WHEN regexp_matches(html, '{p}') THEN '{t}'" for t, p in places) + " END"
+    text = "CASE " + " ".join(f"WHEN place = '{t}' THEN regexp_extract(html, '{p}', 1)" for t, p in places) + " END"
+    return f"SELECT page_id, html, place, {sql_text(text)} AS old_title FROM (SELECT *, {place} AS place FROM pages)"
 
-@query()
+
+_TITLES_SQL = f"SELECT *, {sql_title('old_title')} AS new_title FROM ({_place_sql()}) WHERE place IS NOT NULL"
+
+
+@query(f"SELECT CAST(page_id AS VARCHAR) AS id, place, CASE WHEN place = 'p > strong' THEN 'strong' ELSE place END AS tag, old_title, new_title, place <> 'h1' AS promote FROM ({_TITLES_SQL}) WHERE new_title IS NOT NULL AND (new_title <> old_title OR place <> 'h1')")
 def title_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.title_changes(N.title_places(table(spark, sf_dir, "pages"), "page_id", "html"))
 
 
-@query()
+@query(f"""SELECT CAST(p.page_id AS VARCHAR) AS id, c.new_title, coalesce(c.new_title, {sql_tag("p.html", "title")}) AS title, coalesce(c.new_title, {sql_tag("p.html", "h1")}) AS h1
+    FROM pages p LEFT JOIN (SELECT page_id, new_title FROM ({_TITLES_SQL}) WHERE new_title IS NOT NULL AND (new_title <> old_title OR place <> 'h1')) c USING (page_id)""")
 def title_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return N.apply_titles(pages, N.title_changes(N.title_places(pages, "page_id", "html")), "page_id", "html")
+    done = N.standardized(table(spark, sf_dir, "pages"), "page_id", "html")
+    return done.select("id", "new_title", R.tag_text("content", "title").alias("title"), R.tag_text("content", "h1").alias("h1"))
 
 
 _IMG = """<img(?:(?:"[^"]*"|''[^'']*''|[^''">])*(?:"[^"]*"|''[^'']*''|[^''">/]))?"""
@@ -339,11 +392,13 @@ def first_last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT chapter_id, CAST(coalesce(TRY_CAST(nullif(regexp_extract(title, '(\\d+)', 1), '') AS INTEGER), 0) AS INTEGER) AS digits, TRY_CAST(nullif(regexp_extract(file_name, '(?i)(?:Capitulo|Cap|Chapter|Ch)(\\d+)\\.xhtml', 1), '') AS INTEGER) AS href_no,
-    regexp_replace(file_name, '(?i)\\.epub$', '') AS stem, 'application/xhtml+xml' AS media_type, printf('Capitulo%04d.xhtml', chapter_no) AS made FROM chapters""")
+    regexp_replace(file_name, '(?i)\\.epub$', '') AS stem, ['application/xhtml+xml', 'text/css', 'image/png', 'image/jpeg', 'application/x-truetype-font', 'application/octet-stream'][chapter_id % 6 + 1] AS media_type, printf('Capitulo%04d.xhtml', chapter_no) AS made FROM chapters""")
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "chapters", "chapter_id", "title", "file_name", "chapter_no")
     made = F.when(F.col("chapter_no").isNotNull(), R.chapter_file("chapter_no"))
-    return c.select("chapter_id", R.title_digits("title").alias("digits"), R.href_number("file_name").alias("href_no"), R.stem("file_name").alias("stem"), R.media_type("file_name").alias("media_type"), made.alias("made"))
+    ending = F.get(F.array(*[F.lit(x) for x in ("", ".CSS", ".png", ".JPeg", ".ttf", ".abc")]), (F.col("chapter_id") % 6).cast("int"))
+    named = F.concat("file_name", ending)
+    return c.select("chapter_id", R.title_digits("title").alias("digits"), R.href_number("file_name").alias("href_no"), R.stem("file_name").alias("stem"), R.media_type(named).alias("media_type"), made.alias("made"))
 
 
 @query("""SELECT index_url, n AS chapters, t AS threads, n * CASE WHEN t <= 2 THEN 2.0::DOUBLE WHEN t <= 5 THEN 2.2 WHEN t = 6 THEN 2.8 WHEN t = 7 THEN 3.5 WHEN t = 8 THEN 4.2 WHEN t = 9 THEN 4.9 ELSE 5.5 END / t AS seconds
@@ -465,10 +520,10 @@ def shared_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.shared_resources(_resources(spark, sf_dir), spine, B.split_in_parts(spine, 4))
 
 
-@query("SELECT book_id, count(*) AS n_covers FROM (SELECT DISTINCT book_id FROM metadata) GROUP BY book_id")
+@query("SELECT DISTINCT book_id, 'Images/cover.jpg' AS href FROM metadata")
 def cover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     covers = table(spark, sf_dir, "metadata", "book_id").distinct().withColumn("name", F.lit("cover.jpg"))
-    return B.with_cover(_resources(spark, sf_dir), covers).where("is_cover").groupBy("book_id").agg(F.count(F.lit(1)).alias("n_covers"))
+    return B.with_cover(_resources(spark, sf_dir), covers).where("is_cover").select("book_id", "href")
 
 
 # A contents' tree: every tenth section holds the nine after it, and each appears once more under another title.
@@ -569,41 +624,70 @@ def _book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("book_id", "file_name", F.col("c.title").alias("title"), B.chapter_page(F.coalesce("c.title", F.lit("")), F.col("c.content_html")).alias("xhtml"))
 
 
-@query()
-def ocf_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page_sql(title: str, content: str) -> str:
+    t = _sql_escape(title)
+    return f"""'{B.XHTML_HEAD}  <title>' || {t} || '</title>' || chr(10) || '{B.STYLE_LINK}</head>' || chr(10) || '<body>' || chr(10) || '  <h1>' || {t} || '</h1>' || chr(10) || {content} || chr(10) || '</body>' || chr(10) || '</html>'"""
+
+
+_LEAST_SQL = "SELECT book_id, file_name, title, content_html FROM (SELECT *, row_number() OVER (PARTITION BY book_id, file_name ORDER BY title NULLS FIRST, content_html) AS rn FROM chapters WHERE content_html IS NOT NULL) WHERE rn = 1"
+_LATEST_SQL = "SELECT book_id, file_name, title, content_html FROM (SELECT *, row_number() OVER (PARTITION BY book_id, file_name ORDER BY fetched_at DESC NULLS LAST, chapter_id DESC) AS rn FROM chapters WHERE content_html IS NOT NULL) WHERE rn = 1"
+_PACK_SQL = f"""WITH files AS (SELECT book_id AS archive, 'OEBPS/Text/' || file_name AS name, {_page_sql("coalesce(title, '')", "content_html")} AS data FROM ({_LEAST_SQL})), every AS (SELECT * FROM files UNION ALL SELECT DISTINCT archive, 'mimetype', 'application/epub+zip' FROM files)
+    SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY name <> 'mimetype', name) - 1 AS INTEGER) AS seq, name, CASE WHEN name = 'mimetype' THEN 'STORED' ELSE 'DEFLATED' END AS method, strlen(data) AS size, CASE WHEN name = 'mimetype' THEN 749429103 END AS crc_stored FROM every"""
+
+
+def _pack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _book_files(spark, sf_dir)
     rows = f.select(F.col("book_id").alias("archive"), F.concat(F.lit("OEBPS/Text/"), "file_name").alias("name"), F.encode("xhtml", "UTF-8").alias("data"))
     mime = f.select(F.col("book_id").alias("archive")).distinct().select("archive", F.lit("mimetype").alias("name"), F.encode(F.lit("application/epub+zip"), "US-ASCII").alias("data"))
-    return Z.pack_plan(rows.unionByName(mime))
+    return rows.unionByName(mime)
+
+
+@query(_PACK_SQL)
+def ocf_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = Z.pack_plan(_pack_files(spark, sf_dir))
+    return plan.select("archive", "seq", "name", "method", "size", F.when(F.col("method") == "STORED", F.col("crc")).alias("crc_stored"))
+
+
+def _read_back(built: DataFrame) -> DataFrame:
+    """(book_id, spine_idx, href, title, hash): what an archive's reading order, contents and files say."""
+    found = checkpointed(built)
+    read = Z.books(found)
+    named = Z.toc_of(read).groupBy("book_id", "href").agg(F.min_by("title", "pos").alias("title"))
+    files = Z.unpacked(Z.entries(found)).select(F.col("archive").alias("book_id"), F.regexp_replace("name", "^OEBPS/", "").alias("href"), F.md5("data").alias("hash"))
+    return Z.spine_of(read).join(named, ["book_id", "href"], "left").join(files, ["book_id", "href"], "left").select("book_id", "spine_idx", "href", "title", "hash")
+
+
+_IDX = "CAST(row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1 AS INTEGER) AS spine_idx"
 
 
-@query("SELECT book_id, count(DISTINCT file_name) + 1 AS n_sections FROM chapters JOIN metadata USING (book_id) WHERE content_html IS NOT NULL GROUP BY book_id")
+@query(f"""SELECT book_id, {_IDX}, 'Text/' || name AS href, title, hash FROM (SELECT book_id, '0' AS ord, 'info.xhtml' AS name, 'Información' AS title, NULL AS hash FROM metadata WHERE book_id IN (SELECT book_id FROM chapters WHERE content_html IS NOT NULL)
+    UNION ALL SELECT book_id, '1' || file_name, file_name, replace(file_name, '.xhtml', ''), md5({_page_sql("coalesce(title, '')", "content_html")}) FROM ({_LATEST_SQL}) WHERE book_id IN (SELECT book_id FROM metadata))""")
 def build_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = W.built_books(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "metadata"))
-    return Z.spine_of(Z.books(built.select(F.col("book_id").alias("archive"), "content"))).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_sections"))
+    return _read_back(built.select(F.col("book_id").alias("archive"), "content")).withColumn("hash", F.when(F.col("href") != "Text/info.xhtml", F.col("hash")))
 
 
-@query(f"""SELECT p.book_id || '_' || p.part AS book_id, count(*) + 1 AS n_sections FROM ({_PARTS_SQL}) p JOIN (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS pos FROM spine) s
-    ON s.book_id = p.book_id AND s.pos BETWEEN p.start_idx AND p.end_idx GROUP BY p.book_id, p.part""")
+@query(f"""SELECT book_id, {_IDX}, 'Text/' || name AS href, title, hash FROM (SELECT DISTINCT book_id || '_' || part AS book_id, -1 AS ord, 'info.xhtml' AS name, 'Información' AS title, NULL AS hash FROM ({_PARTS_SQL})
+    UNION ALL SELECT s.book_id || '_' || p.part, s.pos, parse_filename(s.href), s.href, md5({_page_sql("coalesce(c.title, s.href)", "coalesce(c.content_html, '')")}) FROM ({_PARTS_SQL}) p JOIN (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS pos FROM spine) s
+    ON s.book_id = p.book_id AND s.pos BETWEEN p.start_idx AND p.end_idx LEFT JOIN ({_LATEST_SQL}) c ON c.book_id = s.book_id AND c.file_name = parse_filename(s.href))""")
 def split_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = _spine(spark, sf_dir)
     css = table(spark, sf_dir, "metadata", "book_id").distinct().select("book_id", F.lit("Styles/stylesheet.css").alias("href"), F.encode(F.lit("p {}"), "UTF-8").alias("data"), F.lit(False).alias("is_cover"))
     built = W.split_books(spine, B.split_in_parts(spine, 4), table(spark, sf_dir, "chapters"), table(spark, sf_dir, "metadata"), css)
-    return Z.spine_of(Z.books(built.select(F.concat_ws("_", "book_id", "part").alias("archive"), "content"))).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_sections"))
+    return _read_back(built.select(F.concat_ws("_", "book_id", "part").alias("archive"), "content")).withColumn("hash", F.when(F.col("href") != "Text/info.xhtml", F.col("hash")))
 
 
-@query("SELECT book_id, count(DISTINCT file_name) AS n_sections FROM chapters WHERE content_html IS NOT NULL GROUP BY book_id")
+@query(f"SELECT book_id, {_IDX}, 'Text/' || ord AS href, title, hash FROM (SELECT book_id, file_name AS ord, coalesce(title, file_name) AS title, md5({_page_sql('coalesce(title, $$$$)', 'content_html')}) AS hash FROM ({_LEAST_SQL}))")
 def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _book_files(spark, sf_dir).select("book_id", F.col("file_name").alias("ord"), F.col("file_name").alias("name"), "title", "xhtml")
     m = table(spark, sf_dir, "metadata").select("book_id", F.try_element_at("titles", F.lit(1)).alias("title"), "authors", "language", "subjects", "descriptions", "identifiers")
-    built = Z.build_books(f, m, ["book_id"]).select(F.col("book_id").alias("archive"), "content")
-    return Z.spine_of(Z.books(built)).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_sections"))
+    return _read_back(Z.build_books(f, m, ["book_id"]).select(F.col("book_id").alias("archive"), "content"))
 
 
 # Streams
 
 
-@query()
+@query("SELECT strftime(date_trunc('hour', seen_at), '%Y-%m-%d %H:%M:%S') AS window_start, index_url, chapter_no, arg_max(url, (seen_at, pos, url)) AS url FROM chapter_links WHERE chapter_no IS NOT NULL AND seen_at IS NOT NULL GROUP BY ALL")
 def stream_latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the link table run to its end; the result lies in the shared folder.
 
@@ -617,7 +701,8 @@ def stream_latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")
     stream = P.latest_links(source).writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.schema("window_start timestamp, index_url string, chapter_no int, url string").parquet(f"{out}/data")
+    links = spark.read.schema("window_start timestamp, index_url string, chapter_no int, url string").parquet(f"{out}/data")
+    return links.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 def queries() -> dict[str, Query]:
