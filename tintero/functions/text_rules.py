@@ -26,6 +26,7 @@ OPEN_IMG = r"(?i)<img(?:\"[^\"]*\"|'[^']*'|[^'\">])*?(?<!/)\s*>"
 OPEN_BR = r"(?i)<br>(?!</br>|</br>|\s*/>)"
 UNTITLED = "(Título no encontrado)"
 XML_DECLARATION = '<?xml version="1.0" encoding="utf-8"?>'
+XHTML = "application/xhtml+xml"
 NO_AUTHOR, NO_SYNOPSIS, NO_GENRES = "Desconocido", "No disponible.", "No especificados."
 # Seconds per chapter by number of threads: (most threads, seconds); beyond the last 5.5.
 THREAD_SECONDS = ((2, 2.0), (5, 2.2), (6, 2.8), (7, 3.5), (8, 4.2), (9, 4.9))
@@ -97,6 +98,13 @@ def standard_title(text: Column | str) -> Column:
     return F.when(named, title(TITLE_NAMED)).when(numbered, title(TITLE_NUMBERED))
 
 
+def named_title(text: Column | str) -> Column:
+    """``Capítulo N: name`` of a text that has the chapter word, else null: the rule for the headings of books."""
+    t = mend_apostrophe(java_trim(text))
+    name = java_trim(F.regexp_extract(t, TITLE_NAMED, 2))
+    return F.when(F.regexp_like(t, F.lit(TITLE_NAMED)), F.concat(F.lit("Capítulo "), F.regexp_extract(t, TITLE_NAMED, 1), F.lit(": "), F.when(name == "", F.lit(UNTITLED)).otherwise(name)))
+
+
 # The same rules on single strings, for work that has a file's tree in hand.
 _NAMED, _NUMBERED, _VALID = (re.compile(p.replace(r"\z", r"\Z"), re.ASCII) for p in (TITLE_NAMED, TITLE_NUMBERED, VALID_HEADING))
 _TRIMMED = "".join(map(chr, range(33)))

@@ -25,6 +25,9 @@ TOC_HEAD = (
     '    <title>Tabla de Contenidos</title>\n    <link rel="stylesheet" type="text/css" href="../Styles/stylesheet.css"/>\n</head>\n<body>\n    <nav epub:type="toc" id="toc">\n        <h1>Índice</h1>\n        <ol>\n'
 )
 TOC_TAIL = "        </ol>\n    </nav>\n</body>\n</html>"
+PLAIN_TOC_HEAD = '<!DOCTYPE html><html><head><title>TOC</title></head><body><h1>Índice</h1><nav epub:type="toc"><ol>\n'
+PLAIN_TOC_TAIL = "</ol></nav></body></html>"
+SYNOPSIS_HEAD = "<?xml version='1.0' encoding='utf-8'?>\n<html xmlns=\"http://www.w3.org/1999/xhtml\">\n<head><title>Sinopsis</title>\n"
 NO_TITLE = "Libro sin Título"
 STRETCH = 50  # places of a book that are looked up together
 
@@ -242,6 +245,18 @@ def toc_titles(spark: SparkSession, toc: DataFrame, book: str = "book_id") -> Da
     return walked.where("href IS NOT NULL").groupBy("book", "href").agg(F.min_by("title", "path").alias("title")).withColumnRenamed("book", book)
 
 
+def heading_changes(files: DataFrame, toc: DataFrame) -> DataFrame:
+    """(book_id, href, old_title, new_title) of the sections of a book whose headings are to be put in standard form.
+
+    ``files`` (book_id, href, media_type, content) are its resources and ``toc`` its contents: only XHTML resources that
+    a top-level entry names count, and only if they have a ``<title>`` and an ``<h1>`` with text.
+    """
+    top = toc.where("parent_id IS NULL").select("book_id", "href").distinct()
+    read = files.where(F.col("media_type") == R.XHTML).join(top, ["book_id", "href"], "left_semi").select("book_id", "href", R.tag_text("content", "h1").alias("old_title"), R.tag_text("content", "title").alias("title"))
+    planned = read.where("old_title <> '' AND title IS NOT NULL").withColumn("new_title", R.named_title("old_title"))
+    return planned.where((F.col("new_title") != F.col("old_title")) | (F.col("new_title") != F.col("title"))).select("book_id", "href", "old_title", "new_title")
+
+
 def section_titles(spine: DataFrame, titles: DataFrame, book: str = "book_id") -> DataFrame:
     """(book, spine_idx, href, title): each section's title, or its file where the contents lack it."""
     return spine.select(book, "spine_idx", "href").join(titles, [book, "href"], "left").select(book, "spine_idx", "href", F.coalesce("title", "href").alias("title"))
@@ -257,6 +272,19 @@ def toc_rows(files: DataFrame, book: str, name_col: str, h1_col: str) -> DataFra
     return by_order(own.select(book, name_col, h1_col), book, [name_col, h1_col]).select(book, (F.col("pos") + 1).alias("ord"), R.url_quote(name_col).alias("href"), label.alias("label"))
 
 
+def plain_toc_page(files: DataFrame, book: str, name_col: str, h1_col: str) -> DataFrame:
+    """(book, html): the older table of contents: every file by name, unescaped, with its whole name where it has no heading."""
+    item = F.concat(F.lit('<li><a href="'), F.col(name_col), F.lit('">'), F.coalesce(F.col(h1_col), F.col(name_col)), F.lit("</a></li>\n"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name_col).alias("n"), item.alias("item")))), lambda x: x["item"]), "")
+    return files.groupBy(book).agg(F.concat(F.lit(PLAIN_TOC_HEAD), items, F.lit(PLAIN_TOC_TAIL)).alias("html"))
+
+
+def synopsis_page(synopsis: Column, genres: Column, style: str | None = None) -> Column:
+    """The page that opens an older book: its synopsis with line ends kept, and its genres."""
+    link = f'<link rel="stylesheet" type="text/css" href="{style}" />\n' if style else ""
+    return F.concat(F.lit(SYNOPSIS_HEAD + link + "</head>\n<body>\n <h1>Sinopsis</h1>\n <p>"), F.replace(synopsis, F.lit("\n"), F.lit("<br/>")), F.lit("</p>\n <h2>Géneros</h2>\n <p>"), F.coalesce(genres, F.lit("")), F.lit("</p>\n</body>\n</html>"))
+
+
 def toc_pages(rows: DataFrame, book: str) -> DataFrame:
     """(book, html): the table of contents of each book."""
     item = F.concat(F.lit('            <li><a href="'), F.col("href"), F.lit('">'), F.col("label"), F.lit("</a></li>\n"))

@@ -20,6 +20,7 @@ _PLACE = pa.schema([("id", pa.string()), ("place", pa.string()), ("tag", pa.stri
 _FILE = pa.schema([("id", pa.string()), ("content", pa.string()), ("changed", pa.bool_())])
 
 
+_CONTENT = pa.schema([("id", pa.string()), ("content", pa.string())])
 _TITLED = pa.schema([*_FILE, ("old_title", pa.string()), ("new_title", pa.string())])
 _REPORT = pa.schema([("id", pa.string()), ("tag", pa.string()), ("level", pa.int32()), ("pos", pa.int32()), ("text", pa.string()), ("is_valid", pa.bool_()), ("keep", pa.bool_())])
 _HEADING = re.compile("<h[1-4]", re.IGNORECASE)
@@ -94,6 +95,23 @@ def standardized(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
     return map_rows(_files(files, id_col, content_col), one, _TITLED, "id string, content string, changed boolean, old_title string, new_title string")
 
 
+def rewritten_heads(files: DataFrame, id_col: str, content_col: str, title_col: str) -> DataFrame:
+    """(id, content): files whose first ``<h1>`` and ``<title>`` get another text; a null title leaves a file as it is."""
+    source = files.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).alias("content"), F.col(title_col).alias("title"))
+
+    def one(row: dict) -> list[dict]:
+        content = row["content"]
+        if row["title"] is not None and content:
+            root = parse(content)
+            for tag in ("h1", "title"):
+                if (e := root.first(tag)) is not None:
+                    e.children[:] = [row["title"]]
+            content = _document(content, root)
+        return [{"id": row["id"], "content": content}]
+
+    return map_rows(source, one, _CONTENT, "id string, content string")
+
+
 def cleaned(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """(id, content, changed): files of whose headings each level keeps the first valid one, in one pass."""
 

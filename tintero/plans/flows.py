@@ -9,7 +9,9 @@ from ..functions import text_rules as R
 from ..operators import audit as A
 from ..operators import book as B
 from ..operators import extract as X
+from ..operators import normalize as N
 from ..sources import archive as Z
+from ..sources.store import checkpointed
 
 
 def pages_to_chapters(pages: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +43,42 @@ def built_books(chapters: DataFrame, metadata: DataFrame, resources: DataFrame |
     return Z.build_books(first.unionByName(own), _meta(metadata), ["book_id"], resources)
 
 
+def older_books(chapters: DataFrame, metadata: DataFrame, style: str = "Styles/stylesheet.css") -> DataFrame:
+    """(book_id, content): an EPUB per book as the older builder made them: a synopsis page where there is one, then the loose files.
+
+    Title, author, synopsis and genres are those given, without defaults.
+    """
+    files = one_per_file(chapters)
+    page = B.chapter_page(F.coalesce("title", F.lit("")), F.col("content_html"))
+    own = files.join(metadata.select("book_id"), "book_id", "left_semi").select("book_id", F.concat(F.lit("1"), "file_name").alias("ord"), F.col("file_name").alias("name"), F.replace("file_name", F.lit(".xhtml"), F.lit("")).alias("title"), page.alias("xhtml"))
+    synopsis = F.try_element_at("descriptions", F.lit(1))
+    told = metadata.where(F.coalesce(synopsis, F.lit("")) != "").join(files.select("book_id").distinct(), "book_id", "left_semi")
+    first = told.select("book_id", F.lit("0").alias("ord"), F.lit("sinopsis.xhtml").alias("name"), F.lit("Sinopsis").alias("title"), B.synopsis_page(synopsis, F.array_join("subjects", ", "), style).alias("xhtml"))
+    return Z.build_books(first.unionByName(own), _meta(metadata), ["book_id"])
+
+
+def edited_books(found: DataFrame) -> DataFrame:
+    """(book_id, content): books read from their archives, their headings put in standard form, and written again.
+
+    Headings, titles and the contents' entries change as ``heading_changes`` plans; every other file, the reading order
+    and the metadata stay.
+    """
+    found = checkpointed(found.select("archive", "content"))
+    read = checkpointed(Z.books(found).where("error IS NULL"))
+    files = checkpointed(Z.resource_files(read, Z.unpacked(Z.entries(found))))
+    text = Z.xhtml_resources(files).withColumn("content", F.decode("data", "UTF-8"))
+    changes = checkpointed(B.heading_changes(text, Z.toc_of(read)))
+    keyed = text.join(changes, ["book_id", "href"], "left").withColumn("id", F.concat_ws("\n", "book_id", "href"))
+    pages = N.rewritten_heads(keyed, "id", "content", "new_title").select(F.split("id", "\n")[0].alias("book_id"), F.split("id", "\n")[1].alias("href"), F.col("content").alias("xhtml"))
+    named = Z.toc_of(read).where("parent_id IS NULL").groupBy("book_id", "href").agg(F.min_by("title", "pos").alias("toc_title"))
+    spine = Z.spine_of(read)
+    sections = spine.join(pages, ["book_id", "href"]).join(named, ["book_id", "href"], "left").join(changes, ["book_id", "href"], "left")
+    placed = sections.select("book_id", F.col("spine_idx").alias("ord"), F.regexp_replace("href", "^Text/", "").alias("name"), F.coalesce("new_title", "toc_title", "href").alias("title"), "xhtml")
+    other = files.join(spine, ["book_id", "href"], "left_anti").where(F.col("media_type") != "application/x-dtbncx+xml").select("book_id", "href", "data", "is_cover")
+    meta = read.select(F.col("archive").alias("book_id"), "title", "authors", "language", "subjects", "descriptions", "identifiers")
+    return Z.build_books(placed, meta, ["book_id"], other)
+
+
 def split_books(spine: DataFrame, plan: DataFrame, chapters: DataFrame, metadata: DataFrame, resources: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(book_id, part, content): an EPUB per part of a plan; shared resources go into each, named sections get their title.
 

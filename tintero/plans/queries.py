@@ -20,6 +20,7 @@ from ..operators import select as S
 from ..operators.position import by_number
 from ..operators.sites import dispatch
 from ..sources import archive as Z
+from ..sources import folders as D
 from ..sources.store import checkpointed, shared_folder
 from ..streaming import pages as P
 from . import flows as W
@@ -206,6 +207,14 @@ def next_page_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.closure(spark, chain.where("chapter_no = 1").select("url"), links, depth=1 << 24).select("start", "url")
 
 
+@query(f"""SELECT url, url || '?p=2' AS next_url FROM ({_DISPATCH_SQL}) d JOIN (SELECT site, sel_next FROM site_config) USING (site) WHERE sel_next IS NOT NULL AND page_id % 3 <> 0""")
+def next_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page gets a next link, a third of them one to themselves; the sites that name a selector follow it."""
+    link = F.concat(F.lit('<a class="next" href="'), F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.lit("?p=2")), F.lit('">»</a></body>'))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</body>"), link))
+    return X.next_pages(pages, table(spark, sf_dir, "site_config"))
+
+
 # Selection
 
 
@@ -401,11 +410,12 @@ def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("chapter_id", R.title_digits("title").alias("digits"), R.href_number("file_name").alias("href_no"), R.stem("file_name").alias("stem"), R.media_type(named).alias("media_type"), made.alias("made"))
 
 
-@query("""SELECT index_url, n AS chapters, t AS threads, n * CASE WHEN t <= 2 THEN 2.0::DOUBLE WHEN t <= 5 THEN 2.2 WHEN t = 6 THEN 2.8 WHEN t = 7 THEN 3.5 WHEN t = 8 THEN 4.2 WHEN t = 9 THEN 4.9 ELSE 5.5 END / t AS seconds
+@query("""SELECT index_url, n AS chapters, t AS threads, n * CASE WHEN t <= 2 THEN 2.0::DOUBLE WHEN t <= 5 THEN 2.2 WHEN t = 6 THEN 2.8 WHEN t = 7 THEN 3.5 WHEN t = 8 THEN 4.2 WHEN t = 9 THEN 4.9 ELSE 5.5 END / t AS seconds, CAST(floor(n / 60) AS BIGINT) AS minutes, CAST(n % 60 AS BIGINT) AS rest
     FROM (SELECT index_url, count(DISTINCT chapter_no) AS n FROM chapter_links GROUP BY index_url), (SELECT unnest(generate_series(1, 10))::INTEGER AS t)""")
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "chapter_links", "index_url", "chapter_no").groupBy("index_url").agg(F.countDistinct("chapter_no").alias("chapters"))
-    return n.withColumn("threads", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("seconds", R.download_seconds("chapters", "threads"))
+    minutes, rest = R.minutes_seconds(F.col("chapters") * 1000)
+    return n.withColumn("threads", F.explode(F.sequence(F.lit(1), F.lit(10)))).select("*", R.download_seconds("chapters", "threads").alias("seconds"), minutes.alias("minutes"), rest.alias("rest"))
 
 
 @query(f"""SELECT index_url, chapter_no, CAST(floor((row_number() OVER (PARTITION BY index_url ORDER BY chapter_no) - 1) / ceil(count(*) OVER (PARTITION BY index_url) / 5.0)) AS INTEGER) AS batch FROM ({_INDEX_SQL})""")
@@ -526,6 +536,14 @@ def cover_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_cover(_resources(spark, sf_dir), covers).where("is_cover").select("book_id", "href")
 
 
+@query("""SELECT DISTINCT book_id, href, book_id = (SELECT min(book_id) FROM metadata) AND href = 'Images/otra.PNG' OR book_id <> (SELECT min(book_id) FROM metadata) AND href = 'Images/cover.jpg' AS is_cover, CASE WHEN book_id = (SELECT min(book_id) FROM metadata) AND href = 'Images/otra.PNG' THEN 'image/png' END AS media_type
+    FROM metadata, (VALUES ('Images/cover.jpg'), ('Images/otra.PNG')) r(href)""")
+def cover_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.array(*[F.struct(F.lit(h).alias("href"), F.lit(c).alias("is_cover")) for h, c in (("Images/cover.jpg", True), ("Images/otra.PNG", False))])
+    own = table(spark, sf_dir, "metadata", "book_id").distinct().select("book_id", F.explode(both).alias("r")).select("book_id", "r.*").withColumn("media_type", F.lit(None).cast("string"))
+    return B.updated_cover(own, own.agg(F.min("book_id")).first()[0], "Images/otra.PNG")
+
+
 # A contents' tree: every tenth section holds the nine after it, and each appears once more under another title.
 _TOC_SQL = """SELECT book_id AS book, pos + 1 AS toc_id, CASE WHEN pos % 10 = 0 THEN NULL ELSE pos - pos % 10 + 1 END AS parent_id, pos, 'Sección ' || pos AS title, href FROM (SELECT book_id, href, CAST(row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS INTEGER) AS pos FROM spine)
     UNION ALL SELECT book_id, 1000000 + pos, NULL, 1000000 + pos, 'Otra ' || pos, href FROM (SELECT book_id, href, CAST(row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS INTEGER) AS pos FROM spine)"""
@@ -602,6 +620,14 @@ def info_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("book_id", B.info_page(*[F.col(c) for c in ("title", "author", "genres", "synopsis", "first_no", "last_no", "total")]).alias("html"))
 
 
+@query(
+    SQL["info_page"].replace("    <dt>Capítulos", "    <dt>Nombre del Libro #:</dt>' || chr(10) || '    <dt>Capítulos").replace(" || ' (Total: ' || total || ')</dd>'", " || '</dd>'")
+)
+def part_info_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = B.metadata_fields(table(spark, sf_dir, "metadata")).join(first_last_number(spark, sf_dir), "book_id")
+    return m.select("book_id", B.info_page(*[F.col(c) for c in ("title", "author", "genres", "synopsis", "first_no", "last_no")]).alias("html"))
+
+
 @query(f"""SELECT book_id, '{B.XHTML_HEAD}  <title>' || t || '</title>' || chr(10) || '{B.STYLE_LINK}  <style type="text/css">{B.START_STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '  <h1>Libro 1</h1>' || chr(10) || '  <h2>' || t || '</h2>' || chr(10) || '  <hr/>' || chr(10) || '  <dl>' || chr(10)
     || '    <dt>Sitio de Extracción:</dt>' || chr(10) || '    <dd>ejemplo</dd>' || chr(10) || '  </dl>' || chr(10) || '</body>' || chr(10) || '</html>' AS html FROM (SELECT book_id, {_sql_escape("titles[1]")} AS t FROM metadata WHERE titles[1] IS NOT NULL)""")
 def start_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -684,6 +710,120 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(Z.build_books(f, m, ["book_id"]).select(F.col("book_id").alias("archive"), "content"))
 
 
+def _odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of files per book, as people keep them: below a folder, with a stray file, and a name that leaves it."""
+    one = table(spark, sf_dir, "metadata", "book_id").distinct()
+    files = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("text")) for n, d in _ODD])
+    return one.select(F.col("book_id").alias("archive"), F.explode(files).alias("f")).select("archive", "f.name", F.encode(F.concat("f.text", "archive"), "UTF-8").alias("data"))
+
+
+_ODD = (
+    ("libro/mimetype", "m"), ("libro/META-INF/container.xml", "c"), ("libro/OEBPS/Text/b.xhtml", "b"), ("libro/OEBPS/Text/a.xhtml", "a"), ("libro/OEBPS/content.opf", "o"), ("libro/OEBPS/Images/mimetype", "x"), ("libro/notas.txt", "n"), ("../fuera.txt", "f"), ("otro/z.txt", "z"),
+)
+_ODD_SQL = "SELECT DISTINCT book_id AS archive, f.name AS name, md5(f.text || book_id) AS hash FROM metadata, (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in _ODD) + ") f(name, text)"
+
+
+@query(f"SELECT * FROM ({_ODD_SQL}) WHERE name <> '../fuera.txt'")
+def archive_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Z.entries(Z.pack(_odd_files(spark, sf_dir), "zip"))
+    return Z.unpacked(rows).select("archive", "name", F.md5("data").alias("hash"))
+
+
+@query(f"SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY name) - 1 AS INTEGER) AS seq, name, hash, name <> '../fuera.txt' AS safe FROM ({_ODD_SQL})")
+def zip_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.entries(Z.pack(_odd_files(spark, sf_dir), "zip")).select("archive", "seq", "name", F.md5("data").alias("hash"), "safe")
+
+
+_LIFTED_SQL = f"SELECT archive, replace(name, 'libro/', '') AS name, hash FROM ({_ODD_SQL}) WHERE starts_with(name, 'libro/')"
+
+
+def _lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.lifted(_odd_files(spark, sf_dir).where(F.startswith("name", F.lit("libro/"))))
+
+
+@query(f"SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY name <> 'mimetype', name) - 1 AS INTEGER) AS seq, name, hash, CASE WHEN name = 'mimetype' THEN 'STORED' ELSE 'DEFLATED' END AS method FROM ({_LIFTED_SQL}) WHERE name = 'mimetype' OR NOT ends_with(name, '/mimetype')")
+def lifted_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.entries(Z.pack(_lifted(spark, sf_dir))).select("archive", "seq", "name", F.md5("data").alias("hash"), "method")
+
+
+@query("""SELECT DISTINCT book_id AS archive, CAST(n - 1 AS INTEGER) AS seq, name, ends_with(name, '/') AS is_dir FROM metadata, (SELECT unnest(x) AS name, generate_subscripts(x, 1) AS n FROM (SELECT ['mimetype', 'META-INF/', 'META-INF/container.xml', 'OEBPS/', 'OEBPS/Images/', 'OEBPS/Images/mimetype', 'OEBPS/Text/', 'OEBPS/Text/a.xhtml', 'OEBPS/Text/b.xhtml', 'OEBPS/content.opf'] AS x))""")
+def folder_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.entries(Z.pack(_lifted(spark, sf_dir), "folder")).select("archive", "seq", "name", "is_dir")
+
+
+@query("SELECT DISTINCT book_id AS archive, false AS has_mimetype, false AS has_meta_inf, false AS has_oebps FROM metadata")
+def folder_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.structure(_odd_files(spark, sf_dir))
+
+
+@query("SELECT DISTINCT book_id AS archive, true AS has_mimetype, true AS has_meta_inf, true AS has_oebps FROM metadata")
+def lifted_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.structure(_lifted(spark, sf_dir))
+
+
+def _loose(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of loose files, a page and two resources for each book of the metadata."""
+    folder = f"{shared_folder(spark).removeprefix('file:').replace('//', '/').rstrip('/')}/files-{uuid.uuid4().hex}"
+    one = table(spark, sf_dir, "metadata", "book_id").distinct()
+    files = F.array(*[F.struct(F.concat(F.lit(a), "book_id", F.lit(z)).alias("name"), F.concat(F.lit(a), "book_id").alias("data")) for a, z in (("OEBPS/Text/", ".XHTML"), ("OEBPS/Text/sub/", ".xhtml"), ("OEBPS/Styles/", ".css"), ("OEBPS/Images/deep/", ".PNG"))])
+    Z.save_files(one.select(F.explode(files).alias("f")).select("f.*"), "name", "data", folder)
+    return folder
+
+
+@query("SELECT 'book' AS book_id, CAST(row_number() OVER (ORDER BY book_id) AS INTEGER) AS ord, book_id || '.XHTML' AS file_name, 'OEBPS/Text/' || book_id AS content FROM (SELECT DISTINCT book_id FROM metadata)")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.xhtml_folder(spark, _loose(spark, sf_dir))
+
+
+@query("""SELECT 'book' AS book_id, 'Styles/' || book_id || '.css' AS href, 'text/css' AS media_type, md5('OEBPS/Styles/' || book_id) AS hash FROM (SELECT DISTINCT book_id FROM metadata)
+    UNION ALL SELECT 'book', 'Images/deep/' || book_id || '.PNG', 'image/png', md5('OEBPS/Images/deep/' || book_id) FROM (SELECT DISTINCT book_id FROM metadata)""")
+def resource_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.resource_folders(spark, _loose(spark, sf_dir)).select("book_id", "href", "media_type", F.md5("data").alias("hash"))
+
+
+def _head_sql(t: str) -> str:
+    return f"regexp_extract({t}, '{_NAMED_TITLE}', 1)"
+
+
+_NAMED_TITLE = f"\\A.*{CAP}\\s*(\\d+)[\\s:\u2013—.-]?\\s*(.*)\\z"
+_EDITED_SQL = f"""WITH files AS (SELECT book_id, file_name, {sql_collapse("coalesce(title, '')")} AS h1, coalesce(title, file_name) AS entry FROM ({_LEAST_SQL})),
+    planned AS (SELECT *, {sql_trim("replace(h1, chr(65533), '\u2019')")} AS t FROM files), named AS (SELECT *, {sql_trim(f"regexp_extract(t, '{_NAMED_TITLE}', 2)")} AS name FROM planned),
+    done AS (SELECT *, CASE WHEN h1 <> '' AND regexp_matches(t, '{_NAMED_TITLE}') THEN 'Capítulo ' || {_head_sql("t")} || ': ' || CASE WHEN name = '' THEN '{R.UNTITLED}' ELSE name END END AS new FROM named)"""
+
+
+@query(_EDITED_SQL + " SELECT book_id, 'Text/' || file_name AS href, h1 AS old_title, new AS new_title FROM done WHERE new <> h1")
+def book_heading_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _book_files(spark, sf_dir).select("book_id", F.concat(F.lit("Text/"), "file_name").alias("href"), F.lit(R.XHTML).alias("media_type"), F.col("xhtml").alias("content"))
+    css = files.select("book_id", F.lit("Styles/s.css").alias("href"), F.lit("text/css").alias("media_type"), F.lit("<h1>Capítulo 1 x</h1><title/>").alias("content")).distinct()
+    toc = files.unionByName(css).select("book_id", "href", F.lit(None).cast("int").alias("parent_id"))
+    return B.heading_changes(files.unionByName(css), toc)
+
+
+@query(_EDITED_SQL + f" SELECT book_id, {_IDX.replace('ord', 'file_name')}, 'Text/' || file_name AS href, CASE WHEN new <> h1 THEN new ELSE entry END AS title, coalesce(new, h1) AS h1, coalesce(new, h1) AS head FROM done")
+def book_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books built, read, edited and written back, and what is in them then."""
+    f = _book_files(spark, sf_dir).select("book_id", F.col("file_name").alias("ord"), F.col("file_name").alias("name"), "title", "xhtml")
+    m = table(spark, sf_dir, "metadata").select("book_id", F.try_element_at("titles", F.lit(1)).alias("title"), "authors", "language", "subjects", "descriptions", "identifiers")
+    edited = checkpointed(W.edited_books(Z.build_books(f, m, ["book_id"]).select(F.col("book_id").alias("archive"), "content")).select(F.col("book_id").alias("archive"), "content"))
+    read = Z.books(edited)
+    text = Z.xhtml_resources(Z.resource_files(read, Z.unpacked(Z.entries(edited)))).withColumn("content", F.decode("data", "UTF-8"))
+    heads = text.select("book_id", "href", R.tag_text("content", "h1").alias("h1"), R.tag_text("content", "title").alias("head"))
+    return Z.spine_of(read).join(Z.toc_of(read).select("book_id", "href", "title"), ["book_id", "href"]).join(heads, ["book_id", "href"]).select("book_id", "spine_idx", "href", "title", "h1", "head")
+
+
+@query(f"""SELECT book_id, {_IDX}, 'Text/' || name AS href, title, hash FROM (SELECT book_id, '0' AS ord, 'sinopsis.xhtml' AS name, 'Sinopsis' AS title, md5('{B.SYNOPSIS_HEAD.replace("'", "''")}<link rel="stylesheet" type="text/css" href="Styles/stylesheet.css" />' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || ' <h1>Sinopsis</h1>' || chr(10) || ' <p>' || replace(descriptions[1], chr(10), '<br/>')
+        || '</p>' || chr(10) || ' <h2>Géneros</h2>' || chr(10) || ' <p>' || coalesce(array_to_string(subjects, ', '), '') || '</p>' || chr(10) || '</body>' || chr(10) || '</html>') AS hash FROM metadata WHERE coalesce(descriptions[1], '') <> '' AND book_id IN (SELECT book_id FROM chapters WHERE content_html IS NOT NULL)
+    UNION ALL SELECT book_id, '1' || file_name, file_name, replace(file_name, '.xhtml', ''), md5({_page_sql("coalesce(title, '')", "content_html")}) FROM ({_LATEST_SQL}) WHERE book_id IN (SELECT book_id FROM metadata))""")
+def older_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = W.older_books(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "metadata"))
+    return _read_back(built.select(F.col("book_id").alias("archive"), "content"))
+
+
+@query(f"""SELECT book_id, '{B.PLAIN_TOC_HEAD}' || string_agg('<li><a href="' || file_name || '">' || coalesce(h1, file_name) || '</a></li>' || chr(10), '' ORDER BY file_name, coalesce(h1, file_name)) || '{B.PLAIN_TOC_TAIL}' AS html FROM ({_HEADS_SQL}) GROUP BY book_id""")
+def older_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.plain_toc_page(_heads(spark, sf_dir), "book_id", "file_name", "h1")
+
+
 # Streams
 
 

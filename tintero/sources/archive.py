@@ -101,13 +101,13 @@ def structure(rows: DataFrame) -> DataFrame:
 
 _BOOK = pa.schema(
     [
-        ("archive", pa.string()), ("title", pa.string()), ("authors", pa.list_(pa.string())), ("language", pa.string()), ("subjects", pa.list_(pa.string())), ("descriptions", pa.list_(pa.string())), ("identifiers", pa.list_(pa.string())),
+        ("archive", pa.string()), ("base", pa.string()), ("title", pa.string()), ("authors", pa.list_(pa.string())), ("language", pa.string()), ("subjects", pa.list_(pa.string())), ("descriptions", pa.list_(pa.string())), ("identifiers", pa.list_(pa.string())),
         ("resources", pa.list_(pa.struct([("href", pa.string()), ("media_type", pa.string()), ("is_cover", pa.bool_())]))), ("spine", pa.list_(pa.string())),
         ("toc", pa.list_(pa.struct([("toc_id", pa.int32()), ("parent_id", pa.int32()), ("pos", pa.int32()), ("title", pa.string()), ("href", pa.string())]))), ("error", pa.string()),
     ]
 )
 _BOOK_SQL = (
-    "archive string, title string, authors array<string>, language string, subjects array<string>, descriptions array<string>, identifiers array<string>, resources array<struct<href:string,media_type:string,is_cover:boolean>>, "
+    "archive string, base string, title string, authors array<string>, language string, subjects array<string>, descriptions array<string>, identifiers array<string>, resources array<struct<href:string,media_type:string,is_cover:boolean>>, "
     "spine array<string>, toc array<struct<toc_id:int,parent_id:int,pos:int,title:string,href:string>>, error string"
 )
 
@@ -124,6 +124,7 @@ def read_book(archive: str, content: bytes) -> dict:
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
         opf_path = next(e.attrib["full-path"] for e in container.iter() if _local(e) == "rootfile")
         base, opf = posixpath.dirname(opf_path), ElementTree.fromstring(z.read(opf_path))
+        book["base"] = base
         items: dict[str, tuple[str, str, str]] = {}
         cover, ncx = None, None
         for e in opf.iter():
@@ -176,6 +177,18 @@ def resources_of(read: DataFrame) -> DataFrame:
     return read.where("error IS NULL").select(F.col("archive").alias("book_id"), F.explode("resources").alias("r")).select("book_id", "r.*")
 
 
+def resource_files(read: DataFrame, files: DataFrame) -> DataFrame:
+    """(book_id, href, media_type, is_cover, data): each book's resources with their bytes, from its unpacked entries."""
+    path = F.when(F.col("base") == "", F.col("r.href")).otherwise(F.concat("base", F.lit("/"), F.col("r.href")))
+    listed = read.where("error IS NULL").select(F.col("archive").alias("book_id"), "base", F.explode("resources").alias("r")).select("book_id", path.alias("name"), "r.*")
+    return listed.join(files.select(F.col("archive").alias("book_id"), "name", "data"), ["book_id", "name"]).drop("name")
+
+
+def xhtml_resources(resources: DataFrame) -> DataFrame:
+    """Only the resources that are XHTML, by their media type."""
+    return resources.where(F.col("media_type") == R.XHTML)
+
+
 def toc_of(read: DataFrame) -> DataFrame:
     return read.where("error IS NULL").select(F.col("archive").alias("book_id"), F.explode("toc").alias("t")).select("book_id", "t.*")
 
