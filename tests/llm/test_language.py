@@ -63,3 +63,8 @@ def test_long_texts_are_summed_alike(monkeypatch):
     parts = L.line_scores([text, LINES["es"]])
     for a, b in zip(whole, parts, strict=True):
         assert abs(a - b).max() < 1e-3
+
+
+def test_letters_drawn_out_say_nothing():
+    text = "Bajo la lluvia de otoño, el viejo herrero no quiso soltar la espada " + "a" * 3000
+    assert [L.LANGUAGES[k] for k in L.segments([text, "The old smith would not let go of the sword that night " + "a" * 500])[2]] == ["es", "en"]

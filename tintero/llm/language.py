@@ -74,9 +74,10 @@ def _grams(c: np.ndarray, lo: int, hi: int) -> np.ndarray:
     no3 = breaks[:n] | b1 | b2
     blank = (c == 32) & (wide[1 : n + 1] == 32)
     out = np.stack([a >> np.uint32(17), (tri * np.uint32(0x2C1B3C6D)) >> np.uint32(17), four >> np.uint32(17)]).astype(np.int32)
-    out[0][(c == 10) | (c == 32)] = 0
-    out[1][no3 | blank] = 0
-    out[2][no3 | b3 | blank] = 0
+    same = (c == wide[1 : n + 1]) & (c == wide[2 : n + 2])  # a letter drawn out says nothing
+    out[0][(c == 10) | (c == 32) | same] = 0
+    out[1][no3 | blank | same] = 0
+    out[2][no3 | b3 | blank | same] = 0
     return out
 
 
@@ -220,7 +221,8 @@ def train_language(data: str, rounds: int = 3, alpha: float = 0.5) -> None:
     docs = pq.read_table(f"{data}/documents.parquet", columns=["text", "lang"]).to_pylist()
     known = [(r["text"], LANGUAGES.index(names[r["lang"]])) for r in docs if r["text"] and names.get(r["lang"]) in LANGUAGES]
     by: dict[int, list[str]] = {}
-    for text, lang in known:
+    for k in np.random.default_rng(11).permutation(len(known)):
+        text, lang = known[k]
         if len(by.setdefault(lang, [])) < SAMPLE // len(LANGUAGES):
             by[lang].append(text)
     table = None

@@ -1,6 +1,7 @@
-"""Trains the models of this subpackage: ``python -m tintero.llm.train DATA_DIR [words] [blocks] [language]``.
+"""Trains the models of this subpackage: ``python -m tintero.llm.train DATA_DIR [words] [blocks] [language] [unseen]``.
 
-DATA_DIR holds the Parquet tables; the results go to ``models/``.
+DATA_DIR holds the Parquet tables; the results go to ``models/``.  ``unseen`` trains no model to keep: it measures the
+block labeller on kinds of page lines that its training has not seen.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ if __name__ == "__main__":
         from .blocks_train import train_blocks
 
         train_blocks(sys.argv[1])
+    if "unseen" in steps:
+        from .blocks_train import measure_unseen
+
+        measure_unseen(sys.argv[1])
     if "language" in steps:
         from .language import train_language
 
