@@ -8,7 +8,7 @@ from tintero.llm import tokens as T
 
 pytestmark = pytest.mark.skipif(not os.path.isfile(f"{T.FOLDER}/byte_bpe_50k.tiktoken"), reason="no tokenizer files")
 NAME = "byte_bpe_50k"
-TEXTS = ["", "hola", "  dos  espacios \r\n\t x", "<|endoftext|> a", "日本語 русский \U0001f468\u200d\U0001f469 ñ", "a" * 5000, "don't 123abc!!", "\n\n\n", "x" + " " * 3000 + "y", "palabra " * 9000]
+TEXTS = ["", "hola", "  dos  espacios \r\n\t x", "<|endoftext|> a", "日本語 русский \U0001f468\u200d\U0001f469 ñ", "a" * 5000, "don't 123abc!!", "\n\n\n", "x" + " " * 3000 + "y", "palabra " * 9000, "灯台の光、海へ。「そうだ」" * 400, "it's l'été!'s x''ll '!s «dónde»? e\u0301a\u0308b ¿qué?1a" * 30]
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,8 @@ def test_operator(spark):
 @pytest.mark.parametrize("name", ["word_bpe_49k", "piece_bpe_32k", "byte_bpe_multi_50k"])
 def test_other_vocabularies(name):
     assert T.encode("", name) == [] and len(T.encode("Hola, mundo: 日本語", name)) > 3
+
+
+def test_long_texts_without_blanks_are_cut():
+    text = "灯台の光、海へ。" * 10_000
+    assert max(map(len, T.pieces(text))) <= T.LONG and "".join(T.pieces(text)) == text

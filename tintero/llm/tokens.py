@@ -2,7 +2,8 @@
 
 The tiktoken library runs over a rank file that lies in the tokenizers' folder, whose path is a parameter; a worker
 loads it once.  Texts above ``LONG`` characters are first cut at safe boundaries: before a white space that follows
-another character, where the pattern always ends a piece, so the ids are those of the whole text.
+another character, or before a letter that follows a sign other than an apostrophe, as the pattern always ends a piece
+there; so the ids are those of the whole text, in languages without spaces as well.
 
 Defined cases: null and empty texts both have the empty list; text is encoded as it stands, and strings that look like
 special tokens are ordinary text; decoding goes through raw bytes, so tokens that hold part of a character are safe.
@@ -13,13 +14,13 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
-import re
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def _folder() -> str:
 
 FOLDER = _folder()
 LONG = 20_000
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
 
 
 @lru_cache(maxsize=4)
