@@ -57,26 +57,60 @@ def older_books(chapters: DataFrame, metadata: DataFrame, style: str = "Styles/s
     return Z.build_books(first.unionByName(own), _meta(metadata), ["book_id"])
 
 
-def edited_books(found: DataFrame) -> DataFrame:
-    """(book_id, content): books read from their archives, their headings put in standard form, and written again.
-
-    Headings, titles and the contents' entries change as ``heading_changes`` plans; every other file, the reading order
-    and the metadata stay.
-    """
+def opened_books(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(books, files, texts) of archives (archive, content): the read books, their resources with bytes, and their XHTML as text."""
     found = checkpointed(found.select("archive", "content"))
     read = checkpointed(Z.books(found).where("error IS NULL"))
     files = checkpointed(Z.resource_files(read, Z.unpacked(Z.entries(found))))
-    text = Z.xhtml_resources(files).withColumn("content", F.decode("data", "UTF-8"))
-    changes = checkpointed(B.heading_changes(text, Z.toc_of(read)))
-    keyed = text.join(changes, ["book_id", "href"], "left").withColumn("id", F.concat_ws("\n", "book_id", "href"))
-    pages = N.rewritten_heads(keyed, "id", "content", "new_title").select(F.split("id", "\n")[0].alias("book_id"), F.split("id", "\n")[1].alias("href"), F.col("content").alias("xhtml"))
+    return read, files, Z.xhtml_resources(files).withColumn("content", F.decode("data", "UTF-8"))
+
+
+def _written(read: DataFrame, files: DataFrame, edited: DataFrame, titles: DataFrame) -> DataFrame:
+    """(book_id, content): books with edited texts (book_id, href, xhtml) and titles of contents' entries (book_id, href, new_title).
+
+    Sections are written below ``Text/``; other files, the reading order and the metadata stay.
+    """
     named = Z.toc_of(read).where("parent_id IS NULL").groupBy("book_id", "href").agg(F.min_by("title", "pos").alias("toc_title"))
-    spine = Z.spine_of(read)
-    sections = spine.join(pages, ["book_id", "href"]).join(named, ["book_id", "href"], "left").join(changes, ["book_id", "href"], "left")
+    spine, at = Z.spine_of(read), ["book_id", "href"]
+    sections = spine.join(edited, at).join(named, at, "left").join(titles, at, "left")
     placed = sections.select("book_id", F.col("spine_idx").alias("ord"), F.regexp_replace("href", "^Text/", "").alias("name"), F.coalesce("new_title", "toc_title", "href").alias("title"), "xhtml")
-    other = files.join(spine, ["book_id", "href"], "left_anti").where(F.col("media_type") != "application/x-dtbncx+xml").select("book_id", "href", "data", "is_cover")
+    other = files.join(spine, at, "left_anti").where(F.col("media_type") != "application/x-dtbncx+xml").join(edited, at, "left")
     meta = read.select(F.col("archive").alias("book_id"), "title", "authors", "language", "subjects", "descriptions", "identifiers")
-    return Z.build_books(placed, meta, ["book_id"], other)
+    return Z.build_books(placed, meta, ["book_id"], other.select(*at, F.coalesce(F.encode("xhtml", "UTF-8"), "data").alias("data"), "is_cover"))
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("id", F.concat_ws("\n", "book_id", "href"))
+
+
+def _unkeyed(done: DataFrame) -> DataFrame:
+    return done.select(F.split("id", "\n")[0].alias("book_id"), F.split("id", "\n")[1].alias("href"), F.col("content").alias("xhtml"))
+
+
+def edited_books(found: DataFrame) -> DataFrame:
+    """(book_id, content): books read from their archives, their headings put in standard form, and written again.
+
+    Headings, titles and the contents' entries change as ``heading_changes`` plans.
+    """
+    read, files, texts = opened_books(found)
+    changes = checkpointed(B.heading_changes(texts, Z.toc_of(read)))
+    pages = _unkeyed(N.rewritten_heads(_keyed(texts.join(changes, ["book_id", "href"], "left")), "id", "content", "new_title"))
+    return _written(read, files, pages, changes.select("book_id", "href", "new_title"))
+
+
+def cleaned_books(found: DataFrame) -> DataFrame:
+    """(book_id, content): books whose XHTML keeps the first valid heading of each level only, read and written again."""
+    read, files, texts = opened_books(found)
+    none = read.select(F.col("archive").alias("book_id"), F.lit("").alias("href"), F.lit(None).cast("string").alias("new_title")).where("false")
+    return _written(read, files, _unkeyed(N.cleaned(_keyed(texts), "id", "content")), none)
+
+
+def book_problems(texts: DataFrame) -> DataFrame:
+    """(book_id, href, h1, title, bad_form, mismatch) of the XHTML of books whose heading has no valid form, or isn't the title."""
+    read = texts.select("book_id", "href", R.tag_text("content", "h1").alias("h1"), R.tag_text("content", "title").alias("title"))
+    bad = F.col("h1").isNull() | (F.col("h1") == "") | ~R.valid_heading("h1")
+    differ = F.coalesce(R.java_trim("h1") != R.java_trim("title"), F.lit(False))
+    return read.select("*", bad.alias("bad_form"), differ.alias("mismatch")).where("bad_form OR mismatch")
 
 
 def split_books(spine: DataFrame, plan: DataFrame, chapters: DataFrame, metadata: DataFrame, resources: DataFrame, titles: DataFrame | None = None) -> DataFrame:

@@ -799,18 +799,39 @@ def book_heading_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.heading_changes(files.unionByName(css), toc)
 
 
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _book_files(spark, sf_dir).select("book_id", F.col("file_name").alias("ord"), F.col("file_name").alias("name"), "title", "xhtml")
+    m = table(spark, sf_dir, "metadata").select("book_id", F.try_element_at("titles", F.lit(1)).alias("title"), "authors", "language", "subjects", "descriptions", "identifiers")
+    return Z.build_books(f, m, ["book_id"]).select(F.col("book_id").alias("archive"), "content")
+
+
 @query(_EDITED_SQL + f" SELECT book_id, {_IDX.replace('ord', 'file_name')}, 'Text/' || file_name AS href, CASE WHEN new <> h1 THEN new ELSE entry END AS title, coalesce(new, h1) AS h1, coalesce(new, h1) AS head FROM done")
 def book_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books built, read, edited and written back, and what is in them then."""
-    f = _book_files(spark, sf_dir).select("book_id", F.col("file_name").alias("ord"), F.col("file_name").alias("name"), "title", "xhtml")
-    m = table(spark, sf_dir, "metadata").select("book_id", F.try_element_at("titles", F.lit(1)).alias("title"), "authors", "language", "subjects", "descriptions", "identifiers")
-    edited = checkpointed(W.edited_books(Z.build_books(f, m, ["book_id"]).select(F.col("book_id").alias("archive"), "content")).select(F.col("book_id").alias("archive"), "content"))
-    read = Z.books(edited)
-    text = Z.xhtml_resources(Z.resource_files(read, Z.unpacked(Z.entries(edited)))).withColumn("content", F.decode("data", "UTF-8"))
+    read, _, text = W.opened_books(W.edited_books(_built(spark, sf_dir)).select(F.col("book_id").alias("archive"), "content"))
     heads = text.select("book_id", "href", R.tag_text("content", "h1").alias("h1"), R.tag_text("content", "title").alias("head"))
     return Z.spine_of(read).join(Z.toc_of(read).select("book_id", "href", "title"), ["book_id", "href"]).join(heads, ["book_id", "href"]).select("book_id", "spine_idx", "href", "title", "h1", "head")
 
 
+@query(
+    f"""WITH f AS (SELECT book_id, 'Text/' || file_name AS href, {_page_sql("coalesce(title, '')", "content_html")} AS page FROM ({_LEAST_SQL})), h AS (SELECT book_id, href, regexp_extract_all(page, '{_H}') AS heads FROM f),
+    e AS (SELECT book_id, href, unnest(heads) AS head, generate_subscripts(heads, 1) AS pos FROM h), t AS (SELECT *, lower(substr(head, 3, 1)) AS level, {sql_text("regexp_extract(head, '(?is)^<h[1-4](?:[ ][^>]*)?>(.*)</h[1-4]>$', 1)")} AS text FROM e),
+    v AS (SELECT *, {sql_heading("text")} AS valid FROM t), k AS (SELECT *, valid AND row_number() OVER (PARTITION BY book_id, href, level, valid ORDER BY pos) = 1 AS keep FROM v)
+    SELECT f.book_id, f.href, coalesce(string_agg(level || ' ' || text, '|' ORDER BY pos) FILTER (keep), '') AS headings FROM f JOIN k USING (book_id, href) GROUP BY f.book_id, f.href"""
+)
+def book_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings of books built, read, cleaned and written back."""
+    _, _, text = W.opened_books(W.cleaned_books(_built(spark, sf_dir)).select(F.col("book_id").alias("archive"), "content"))
+    left = X.headings(text.withColumn("id", F.concat_ws("|", "book_id", "href")), "id", "content").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "level", "text").alias("t")))).alias("h"))
+    named = text.select("book_id", "href", F.concat_ws("|", "book_id", "href").alias("id")).join(left, "id", "left")
+    return named.select("book_id", "href", F.coalesce(F.array_join(F.transform("h", lambda x: x["t"]), "|"), F.lit("")).alias("headings"))
+
+
+@query(f"SELECT book_id, 'Text/' || file_name AS href, h1, h1 AS title, true AS bad_form, false AS mismatch FROM (SELECT book_id, file_name, {sql_collapse("coalesce(title, '')")} AS h1 FROM ({_LEAST_SQL})) WHERE h1 = '' OR NOT {sql_heading('h1')}")
+def book_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.book_problems(W.opened_books(_built(spark, sf_dir))[2])
+
+
 @query(f"""SELECT book_id, {_IDX}, 'Text/' || name AS href, title, hash FROM (SELECT book_id, '0' AS ord, 'sinopsis.xhtml' AS name, 'Sinopsis' AS title, md5('{B.SYNOPSIS_HEAD.replace("'", "''")}<link rel="stylesheet" type="text/css" href="Styles/stylesheet.css" />' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || ' <h1>Sinopsis</h1>' || chr(10) || ' <p>' || replace(descriptions[1], chr(10), '<br/>')
         || '</p>' || chr(10) || ' <h2>Géneros</h2>' || chr(10) || ' <p>' || coalesce(array_to_string(subjects, ', '), '') || '</p>' || chr(10) || '</body>' || chr(10) || '</html>') AS hash FROM metadata WHERE coalesce(descriptions[1], '') <> '' AND book_id IN (SELECT book_id FROM chapters WHERE content_html IS NOT NULL)
     UNION ALL SELECT book_id, '1' || file_name, file_name, replace(file_name, '.xhtml', ''), md5({_page_sql("coalesce(title, '')", "content_html")}) FROM ({_LATEST_SQL}) WHERE book_id IN (SELECT book_id FROM metadata))""")
