@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text_rules as R
 from ..functions.arrow import map_rows
-from ..functions.html_tree import Element, parse
+from ..functions.html_tree import Element, parse, parse_selector
 from .sites import dispatch
 
 # Where content and titles are sought if a configuration's selectors find nothing, and what is noise.
@@ -24,6 +24,7 @@ CHAPTER_MARK = re.compile(r"Cap[ií]tulo\s*\d+", re.IGNORECASE | re.ASCII)
 
 _CHAPTER = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("site", pa.string()), ("title", pa.string()), ("content_html", pa.string()), ("reason", pa.string())])
 _LINK = pa.schema([("index_url", pa.string()), ("pos", pa.int32()), ("url", pa.string()), ("text", pa.string())])
+_SELECTED = pa.schema([("page_id", pa.int64()), ("selector", pa.string()), ("pos", pa.int32()), ("tag", pa.string()), ("text", pa.string())])
 _NEXT = pa.schema([("url", pa.string()), ("next_url", pa.string())])
 _HEADING = pa.schema([("id", pa.string()), ("tag", pa.string()), ("level", pa.int32()), ("pos", pa.int32()), ("text", pa.string())])
 
@@ -119,6 +120,18 @@ def index_entries(pages: DataFrame, config: DataFrame, default_site: str | None
     return map_rows(source, one, _LINK, "index_url string, pos int, url string, text string")
 
 
+def selected(pages: DataFrame, selectors: tuple[str, ...]) -> DataFrame:
+    """(page_id, selector, pos, tag, text) of every element that a selector matches, in document order; an unreadable selector is an error."""
+    for s in selectors:
+        parse_selector(s)
+
+    def one(row: dict) -> list[dict]:
+        root = parse(row["html"]) if row["html"] else None
+        return [] if root is None else [{"page_id": row["page_id"], "selector": s, "pos": k, "tag": e.tag, "text": e.text()} for s in selectors for k, e in enumerate(root.select(s))]
+
+    return map_rows(pages.select("page_id", "html"), one, _SELECTED, "page_id long, selector string, pos int, tag string, text string")
+
+
 def numbered_links(entries: DataFrame) -> DataFrame:
     """(index_url, pos, chapter_no, url, source): entries with a positive number of their text or URL."""
     number, source = R.chapter_number("text", "url")

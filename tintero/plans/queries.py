@@ -152,6 +152,19 @@ def extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chapters_of(X.extract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "site_config"))).select("page_id", "title", "content_html")
 
 
+# Selectors and what they match in the pages' regular markup: (selector, region, element).
+_SELECTORS = (
+    ("h1.entry-title", "html", '<h1 class="entry-title">[^<]*</h1>'), ("ul.lista > li a[href]", """regexp_extract(html, '(?s)<ul class="lista">.*?</ul>')""", '<a href="[^"]*">[^<]*</a>'), ("nav a[href='/']", "html", '<a href="/">Inicio</a>'), ("head > title, #nada", "html", "<title>[^<]*</title>"),
+)
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT page_id, '{s.replace("'", "''")}' AS selector, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, regexp_extract(unnest(m), '^<(\\w+)', 1) AS tag, {sql_text("unnest(m)")} AS text FROM (SELECT page_id, regexp_extract_all({region}, '{element}') AS m FROM pages)""" for s, region, element in _SELECTORS
+))
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.selected(table(spark, sf_dir, "pages", "page_id", "html"), tuple(s for s, _, _ in _SELECTORS))
+
+
 _ENTRIES_SQL = """SELECT index_url, CAST(pos - 1 AS INTEGER) AS pos, regexp_extract(item, 'href="([^"]*)"', 1) AS url, regexp_extract(item, '>([^<]*)</a>', 1) AS text FROM (
     SELECT url AS index_url, unnest(items) AS item, generate_subscripts(items, 1) AS pos FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<ul class="lista">.*?</ul>'), '<li><a href="[^"]*">[^<]*</a></li>') AS items FROM pages))"""
 
@@ -848,22 +861,41 @@ def older_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
+def _drained(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """A plan on the stream of a table's files, run to its end; the result lies in the shared folder."""
+    out = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema, file = table(spark, sf_dir, name).schema, f"{name}.parquet"
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{file}") if os.path.isdir(f"{sf_dir}/{file}") else spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(sf_dir)
+    result = plan(source)
+    spark.createDataFrame([], result.schema).write.parquet(f"{out}/data/none")
+    # a batch that is run again overwrites its own folder
+    write = lambda df, k: df.write.mode("overwrite").parquet(f"{out}/data/{'all' if mode == 'complete' else k}")
+    result.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{out}/data")
+
+
 @query("SELECT strftime(date_trunc('hour', seen_at), '%Y-%m-%d %H:%M:%S') AS window_start, index_url, chapter_no, arg_max(url, (seen_at, pos, url)) AS url FROM chapter_links WHERE chapter_no IS NOT NULL AND seen_at IS NOT NULL GROUP BY ALL")
 def stream_latest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over the link table run to its end; the result lies in the shared folder.
-
-    The output is complete, so windows that the watermark would keep open, and late rows, are part of the result too.
-    """
-    out = f"{shared_folder(spark).rstrip('/')}/links-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "chapter_links").schema
-    name = "chapter_links.parquet"
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}") if os.path.isdir(f"{sf_dir}/{name}") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
-    spark.createDataFrame([], "window_start timestamp, index_url string, chapter_no int, url string").write.parquet(f"{out}/data")
-    write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")
-    stream = P.latest_links(source).writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    links = spark.read.schema("window_start timestamp, index_url string, chapter_no int, url string").parquet(f"{out}/data")
-    return links.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    """The output is complete, so windows that the watermark would keep open, and late rows, are part of the result too."""
+    return _drained(spark, sf_dir, "chapter_links", P.latest_links, "complete").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(SQL["extract_content"])
+def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = table(spark, sf_dir, "site_config")
+    return X.chapters_of(_drained(spark, sf_dir, "pages", lambda pages: P.extracted_stream(pages, config))).select("page_id", "title", "content_html")
+
+
+@query("SELECT DISTINCT url FROM chapters WHERE fetched_at IS NOT NULL")
+def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters that came again in the same run are dropped, whichever came first."""
+    return _drained(spark, sf_dir, "chapters", P.first_deliveries).select("url")
+
+
+@query(f"SELECT chapter_id, array_to_string({_ISSUES_SQL}, ',') AS codes, md5({SQL['markup_repair'].split(' AS repaired')[0].removeprefix('SELECT chapter_id, ')}) AS hash FROM (SELECT chapter_id, content_html AS c FROM chapters WHERE content_html IS NOT NULL)")
+def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _drained(spark, sf_dir, "chapters", lambda files: P.issue_stream(files.where("content_html IS NOT NULL").select("chapter_id", "content_html")))
+    return done.select("chapter_id", F.array_join("issues", ",").alias("codes"), F.md5("repaired").alias("hash"))
 
 
 def queries() -> dict[str, Query]:
