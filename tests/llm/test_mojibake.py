@@ -139,4 +139,6 @@ def test_a_garbled_dash_alone():
 
 def test_long_words_take_linear_time():
     text = "日本語" * 50_000 + "Ý" + "あ" * 50_000 + "?" + "い" * 50_000
+    for run in ("a" * 200_000, "ж" * 200_000, "&ntilde;" * 30_000, "é;" * 60_000):
+        assert repair(f"<p>{run} CapÃ\u00adtulo {run}</p>") == f"<p>{run} Capítulo {run}</p>"
     assert not is_garbled(text) and repair("<" * 200_000 + "é") == "<" * 200_000 + "é"

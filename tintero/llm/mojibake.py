@@ -208,7 +208,7 @@ def _matches(text: str) -> list[tuple[int, int, str]]:
 
 
 _ESCAPED = re.compile(r"&(?:Atilde|Acirc|acirc|#19[45]|#226|#x[cC][23]|#xe2);")
-_REFERENCES = re.compile(r"(?:&#?\w+;|[^\x00-\x7f])*&(?:Atilde|Acirc|acirc|#19[45]|#226|#x[cC][23]|#xe2);(?:&#?\w+;|[^\x00-\x7f])*")
+_REFERENCES = re.compile(r"(?<![^\x00-\x7f;])(?:&#?\w+;|[^\x00-\x7f])*&(?:Atilde|Acirc|acirc|#19[45]|#226|#x[cC][23]|#xe2);(?:&#?\w+;|[^\x00-\x7f])*")
 
 
 def _decoded(m: re.Match[str]) -> str:
@@ -419,7 +419,8 @@ def restored(column: pa.Array, title: bool = False) -> list[str | None]:
     return texts
 
 
-_EAST_RUN = re.compile("[A-Za-z]*[^\\x00-\\x7f]*[\\u2e80-\\ufaff\\uff61-\\uff9f][^\\x00-\\x7f]*[a-z]*")
+# It begins where a run of letters or of other characters begins, so each is read once.
+_EAST_RUN = re.compile("(?:(?<![A-Za-z])[A-Za-z]+|(?<![A-Za-z\\x80-\\U0010ffff]))[^\\x00-\\x7f]*[\\u2e80-\\ufaff\\uff61-\\uff9f][^\\x00-\\x7f]*[a-z]*")
 
 
 def _multibyte(m: re.Match[str]) -> str:
