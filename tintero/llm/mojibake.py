@@ -274,7 +274,7 @@ def _explained(text: str, pair: Pair) -> tuple[int, int, int, list[Span]]:
                 continue
             symbol = not c.isalpha() or c in "ªº"
             capital = c.isupper() and prev.islower()
-            drawn = "\u2500" <= c <= "\u259f"
+            drawn = "\u2500" <= c <= "\u259f" or capital and nxt.islower()  # no word has those within
             ok &= (symbol or capital) and (drawn or new[i].islower() == (not prev or prev.islower()) and fits) and (prev != "l" or c != "\u00b7")
             sure += drawn
         if ok:
