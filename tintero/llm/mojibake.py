@@ -286,9 +286,11 @@ def _explained(text: str, pair: Pair) -> tuple[int, int, int, list[Span]]:
 
 def _one_byte(text: str) -> tuple[Pair, list[Span], int] | None:
     """The pair that explains the text best, the spans to restore and its known words; None if none does."""
-    best, most, present = None, 0, set(text)
+    best, most, present = None, 0, {c for c in set(text) if not c.isascii()}
+    odd_ones = present.difference(ORDINARY)
     for pair in one_byte_tables():
-        if present.isdisjoint(pair.table):
+        # a pair that needs a known word besides leaves some character that Spanish text hasn't
+        if (present if pair.plain else odd_ones).isdisjoint(pair.table):
             continue
         strong, odd, sure, spans = _explained(text, pair)
         score = 3 * strong + odd + sure
