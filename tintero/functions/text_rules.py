@@ -182,10 +182,9 @@ def decoded(text: Column | str) -> Column:
 
 def tag_text(html: Column | str, tag: str) -> Column:
     """Text of the first element of a tag in regular markup, references decoded; null if there is none."""
-    h = as_col(html)
-    inner = F.regexp_extract(h, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
-    there = F.regexp_like(h, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"))
-    return F.when(there, collapse(decoded(F.regexp_replace(inner, "<[^>]*>", ""))))
+    # the element as a whole, so one scan tells whether it is there as well; its own tags go with those inside
+    whole = found(html, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", 0)
+    return collapse(decoded(F.regexp_replace(whole, "<[^>]*>", "")))
 
 
 # Without a match of this no tag rule applies; one scan instead of one per rule.
