@@ -56,14 +56,23 @@ EVERYDAY = {
 }
 
 
+EVERYDAY["error"] += [
+    "Error al cargar la página", "Lo sentimos, la página que busca no existe.", "La página solicitada no se ha encontrado", "HTTP Error 503. The service is unavailable.", "Internal error, please try again later", "Inténtelo de nuevo más tarde.", "El recurso solicitado no está disponible", "410 Gone",
+    "SyntaxError: Unexpected token < in JSON at position 0", "Whoops, looks like something went wrong.", "Sesión caducada. Inicie sesión de nuevo.", "Sitio temporalmente fuera de servicio", "This page isn't working", "Your connection is not private", "Fatal error: Allowed memory size of 134217728 bytes exhausted",
+]
+EVERYDAY["filler"] += ["Contenido próximamente", "Capítulo sin título"]
+EVERYDAY["placeholder"] += ["Hola, %(name)s"]
+EVERYDAY["script"] += ["Verificando que eres humano. Esto puede tardar unos segundos.", "You need to enable JavaScript to run this app.", "Este sitio requiere cookies para funcionar", "We've detected that JavaScript is disabled in your browser."]
+
+
 @pytest.mark.parametrize(("kind", "line"), [(k, x) for k, v in EVERYDAY.items() for x in v])
 def test_everyday_lines(kind, line):
-    assert evidence(line) == kind
+    assert evidence(line) == kind and column_evidence(pa.array([f"<p>uno</p>\n<p>{line}</p>\n<p>dos</p>"])) == [(0, kind, [1])]
 
 
 @pytest.mark.parametrize(
     "line",
-    ["Todo: la casa, el río, la noche.", "El mago necesitaba un nuevo conjuro.", "Hubo un error y todos lo pagaron caro aquella noche.", "Las cookies nos ayudan para medir visitas. Aceptar todo | Rechazar", "El 30 % de la guardia", "{Vacío}", "[SISTEMA]", "Se permitió un suspiro.", "Algo salió mal entre ellos desde el principio."],
+    ["Todo: la casa, el río, la noche.", "El mago necesitaba un nuevo conjuro.", "Hubo un error y todos lo pagaron caro aquella noche.", "Las cookies nos ayudan para medir visitas. Aceptar todo | Rechazar", "El 30 % de la guardia", "{Vacío}", "[SISTEMA]", "Se permitió un suspiro.", "Algo salió mal entre ellos desde el principio.", "La página en blanco lo esperaba.", "El error de Brana fue confiar en él.", "No encontrada entre los vivos, la buscaron entre los muertos.", "Prohibido el paso, decía el cartel.", "Bloqueó la puerta con una silla.", "Se produjo un error que nadie esperaba en el ritual.", "Comprobando su espada, siguió adelante.", "Un momento de silencio.", "Forbidden Kingdom", "Aquel muchacho sin nombre volvió", "El servidor no respondió a la llamada de su señor."],
 )
 def test_everyday_lines_of_stories(line):
     assert evidence(line) is None

@@ -34,7 +34,7 @@ _NAME = r"(?:[a-z][a-z0-9_]*(?:[._-][a-z0-9_]+)*|[A-Z][A-Z0-9_]*(?:[._-][A-Z0-9_
 _FREE = r"\{\{[^{}]*\}\}|\{%[^{}%]*%\}|<%[^<>]*%>|<\?(?:php|=)(?:[^?]|\?(?!>))*|[$#]\{[^{}]*\}"
 _NAMED = (
     rf"%%\s*[\w.]+\s*%%|\[\[\s*{_NAME}\s*\]\]|\{{\$?\s*{_NAME}\s*\}}|(?<![\w%])%{_NAME}%(?!\w)|(?<![\w@.])@{_NAME}@(?![\w.])|(?<!\w)__{_NAME}__(?!\w)"
-    rf"|\[\s*{_NAME} (?:aquí|here)\s*\]|\[\s*(?:inserte?|insertar|insert)\b[^\]\n]*\]|\[[A-ZÁÉÍÓÚÑ]+(?:_[A-ZÁÉÍÓÚÑ\d]+)+\]|(?<![\w{{])\{{\d+\}}(?![\w}}])|(?<![\w%])%(?:\d+\$)?[sd](?!\w)"
+    rf"|\[\s*{_NAME} (?:aquí|here)\s*\]|\[\s*(?:inserte?|insertar|insert)\b[^\]\n]*\]|\[[A-ZÁÉÍÓÚÑ]+(?:_[A-ZÁÉÍÓÚÑ\d]+)+\]|(?<![\w{{])\{{\d+\}}(?![\w}}])|(?<![\w%])%(?:\d+\$)?[sd](?!\w)|%\(\w+\)[sd]"
 )
 PLACEHOLDER = re.compile(f"{_FREE}|{_NAMED}")
 _SPAN = re.compile(_FREE)
@@ -49,7 +49,8 @@ FILLER = re.compile(
     r"|(?:este es )?(?:un|el|una|la)? ?(?:bloque|texto|párrafo|parrafo|capítulo|línea|contenido|entrada) de (?:muestra|ejemplo|prueba|relleno)(?: para esta? \w+| para el \w+)?"
     r"|escrib[ae] aquí (?:tu|su|el) \w+(?: \w+){0,3}|aquí va el (?:contenido|texto|título)(?: del? \w+){0,2}|(?:contenido|texto|traducción|título|capítulo) (?:pendiente|por (?:añadir|traducir|definir))|borrador automático"
     r"|añadir (?:el )?(?:capítulo|texto|contenido) (?:más tarde|después|luego)|(?:insert|your|sample|placeholder|dummy|filler) (?:text|content|title)(?: here| goes here)?|content goes here|coming soon|tbd|título de (?:ejemplo|prueba)|hello world|hola mundo|sin contenido"
-    r"|insert(?:e|ar|a)? (?:(?:el|su|tu|un) )?(?:texto|título|contenido|nombre|capítulo|imagen)(?: \w+){0,3} aqu[ií])",
+    r"|insert(?:e|ar|a)? (?:(?:el|su|tu|un) )?(?:texto|título|contenido|nombre|capítulo|imagen)(?: \w+){0,3} aqu[ií]"
+    r"|(?:capítulo|entrada|documento|página|texto) sin (?:título|nombre|contenido)|(?:contenido|capítulo|texto) (?:próximamente|en preparación)|untitled(?: (?:chapter|document|page))?)",
     re.I,
 )
 # A note of work to be done, in capitals before the colon; and tokens of neighbouring keys.
@@ -62,6 +63,7 @@ HEAD = re.compile(r"(?:cap(?:[ií]tulo|\.)?\s*)?\d+\s*[:.|\u00b7\u2013—-]+\s*"
 TAIL = re.compile(r"\s+\d+$")
 STORY = frozenset(("prueba", "test", "hello world", "hola mundo"))
 # Names of failures: those of the HTTP standard and what Spanish servers call them.
+_SINGLE = "|".join(x.phrase.lower() for x in HTTPStatus if x.value >= 400 and x.phrase.isalpha())
 _PHRASES = "|".join(re.escape(x.phrase.lower()) for x in HTTPStatus if x.value >= 400 and x.phrase.isascii() and " " in x.phrase)
 ERROR_NAME = (
     rf"(?:página no encontrada|no encontrad[oa]|(?:page |file )?not found|error interno(?: del servidor)?|acceso (?:denegado|prohibido|restringido)|access denied|forbidden|prohibido|no autorizado|unauthorized|servicio (?:temporalmente )?no disponible|service (?:temporarily )?unavailable"
@@ -69,9 +71,19 @@ ERROR_NAME = (
     rf"|(?:la )?(?:página|web|sitio(?: web)?) (?:está )?en (?:construcción|mantenimiento)|(?:site |page )?under (?:construction|maintenance)|attention required|{_PHRASES})"
 )
 _CODE = r"[1-5]\d\d"
-ERROR_LINE = re.compile(rf"(?:(?:http|error|status|código)[ :/]*)?(?:1\.1 )?(?:{_CODE})?[ :.,|\u2013—-]*{ERROR_NAME}[ !:.,|\u2013—-]*(?:\(?(?:error )?{_CODE}\)?|(?<=\| )\w+)?[.!\u2026]*|(?:http |error ){_CODE}[.!]*", re.I)
+ERROR_LINE = re.compile(rf"(?:(?:http|error|status|código)[ :/]*)?(?:1\.1 )?(?:{_CODE})?[ :.,|\u2013—-]*{ERROR_NAME}[ !:.,|\u2013—-]*(?:\(?(?:error )?{_CODE}\)?|(?<=\| )\w+)?[.!\u2026]*|(?:http |error ){_CODE}[.!]*|{_CODE}[ :.,|\u2013—-]+(?:{_SINGLE})[.!]*", re.I)
+# A thing that a server has, as the subject of a sentence, and what is wrong with it.
+_THING = r"(?:la |el |esta |este |the |this |your )?(?:página|recurso|contenido|sitio(?: web)?|web|servicio|archivo|enlace|servidor|capítulo|page|resource|content|site|website|service|file|url|server)(?: (?:solicitad[oa]|requested|que (?:buscas?|solicitas?|intentas? (?:ver|abrir))|(?:that )?you(?: requested| are looking for|'re looking for)))?"
+_FAULT = (
+    r"(?:no (?:existe|está disponible|responde|funciona|se (?:ha )?(?:encontrado|encontró|pudo (?:encontrar|cargar|mostrar))|se puede (?:encontrar|cargar|mostrar)|fue encontrad[oa])|(?:está )?(?:temporalmente )?fuera de (?:servicio|línea)|(?:is|was)(?:n't| not) (?:available|found|working|responding)"
+    r"|is (?:temporarily |currently )?(?:unavailable|down)|is no longer available|could(?:n't| not) be (?:found|loaded|displayed))"
+)
+_SORRY = r"(?:(?:lo sentimos|oops|whoops|ups|vaya|sorry|perdón)[,.!: ]+(?:looks like |parece que )?)?"
 ERROR_TEXT = re.compile(
-    r"fatal error: |parse error: |syntax error, |(?:notice|warning|deprecated): .*(?:on line|, line|variable|offset|index|argument)|uncaught \w*(?:error|exception)|on line \d+|stack trace|traceback \(most recent|\bat [\w.$]+\([\w.]+:\d+\)"
+    rf"^{_SORRY}{_THING} {_FAULT}(?: (?:en este (?:momento|servidor|sitio)|temporalmente|at the moment|right now|on this server|o (?:fue|ha sido) \w+))?[.!\u2026]*(?: [A-ZÁÉÍÓÚ¿].*)?$|^{_SORRY}(?:por favor, |please )?(?:int[eé]nt[ae]lo|vuelv[ae] a intentarlo|try again)(?: de nuevo| otra vez)? (?:más tarde|later)[.!]*$|^error al (?:cargar|conectar|procesar|abrir|leer|mostrar|obtener|acceder|guardar)\b"
+    r"|^http(?:/[\d.]+)? (?:error |status (?:code )?)?[1-5]\d\d\b|^(?:tu |su |la |your )?(?:sesión (?:ha )?(?:caducad[oa]|expirad[oa])|session (?:has )?expired)|^(?:your connection is not (?:private|secure)|(?:tu|su|la) conexión no es (?:privada|segura))"
+    r"|^(?:internal|unexpected|unknown) error\b|^(?:whoops|oops)[,.! ]+(?:looks like )?something went wrong"
+    r"|fatal error: |parse error: |syntax error, |(?:notice|warning|deprecated): .*(?:on line|, line|variable|offset|index|argument)|uncaught \w*(?:error|exception)|on line \d+|stack trace|traceback \(most recent|\bat [\w.$]+\([\w.]+:\d+\)"
     r"|^(?:nginx|apache|openresty|cloudflare|litespeed|iis)/?[\d.]*$|no se pudo cargar el (?:fragmento|capítulo|contenido|recurso)|no se pudo establecer (?:la )?conexión con la base de datos|error establishing a database connection"
     r"|^(?:id de la solicitud|request id|referencia del incidente|incident id|ray id|id del (?:error|incidente))\s*:|^la página que buscas no existe|the requested url .*not found|^comprueba la dirección o vuelve|^no tienes permiso para (?:ver|acceder)"
     r"|you don't have permission|estamos realizando tareas de mantenimiento|sitio en mantenimiento|^vuelve a intentarlo (?:dentro de|más tarde|en) ?(?:\d+ (?:minutos|segundos))?|^este proceso es automático|se ha superado el límite de (?:visitas|peticiones)|^el servidor no pudo completar"
@@ -86,18 +98,20 @@ _SWITCH = r"(?:(?:re|des)?activ\w+|(?:des)?habilit\w+|permit\w+|apagad\w+|enabl\
 _SCRIPTS = r"(?:java ?script|js|scripts|cookies|captcha|ad ?-?block(?:er)?s?|bloqueador(?:es)? de anuncios)"
 SCRIPT = re.compile(
     rf"\b{_SWITCH}\b.*\b{_SCRIPTS}\b|\b{_SCRIPTS}\b.*\b{_SWITCH}\b|\b(?:navegador|browser) con (?:java ?script|scripts)\b|\b(?:sin|without) java ?script\b"
-    r"|^(?:loading|cargando)(?: (?:capítulo|página|contenido|chapter|page|content))?[ .\u2026]*$|^just a moment[ .\u2026]*$|^un momento(?:, por favor)?[.\u2026]+$|^(?:comprobando|verificando|checking) (?:tu|su|your|el) (?:navegador|browser|conexión)|^completa (?:la verificación|el captcha)|^(?:verifi(?:ca|que)|demuestr[ae]|confirm[ae]) que (?:eres|es|no (?:eres|es) un)\b"
+    r"|^(?:loading|cargando)(?: (?:capítulo|página|contenido|chapter|page|content))?[ .\u2026]*$|^just a moment[ .\u2026]*$|^un momento(?:, por favor)?[.\u2026]+$|^(?:comprobando|verificando|checking) (?:si|if|whether) |^(?:comprobando|verificando) que (?:eres|no eres|es usted)|^(?:comprobando|verificando|checking) (?:tu|su|your|el) (?:navegador|browser|conexión)|^completa (?:la verificación|el captcha)|^(?:verifi(?:ca|que)|demuestr[ae]|confirm[ae]) que (?:eres|es|no (?:eres|es) un)\b"
     r"|verify (?:that )?you are (?:a )?human|^(?:please wait|espere[, ]+por favor|espere un momento)[ .\u2026]*(?:redirig\w*|redirect\w*)?[ .\u2026]*$|ddos protection by|checking if the site connection is secure",
     re.I,
 )
 # Cookie notices ask for nothing: they tell what is used and offer to accept it.
 _CONSENT = re.compile(r"\b(?:acept\w+|rechaz\w+|configurar|entendido|accept|reject|consulta la política|más información)\b", re.I)
+# The name of a program's error, as it is written in code.
+RAISED = re.compile(r"(?<!\w)(?:[A-Z][a-z]+)+(?:Error|Exception)\b\s*:")
 # What a line of narration has and a notice of these kinds hasn't.
 SPOKEN = re.compile(r"^[—\u2013«\u201c\"¿¡]|»|\u201d|—\w|\b(?:dijo|pensó|susurró|respondió|preguntó|murmuró|leyó|suspiró|tecleó|parpadeó|decía|gritó)\b", re.I)
 
 # RE2, on fields and on lines: without a match there is no evidence.
 SUSPECT = (
-    r"(?i)\{\d+\}|%(?:\d+\$)?[sd]\b|\[[a-záéíóúñ]+_|\b(?:todo|fixme)\s*:|construcci|construction|went wrong|algo (?:sali|ha sal|fue)|fallo|attention required|restringido|available|disponible|required|unprocessable|conflict|gone\b|teapot|precondition|payload|payment|uri too|legal|expectation|unsupported|not (?:acceptable|allowed|implemented|satisfiable|extended)|already reported|insufficient|loop detected|variant also|misdirected|upgrade|demuestr|confirm|verifi|\{\{|\}\}|\{%|<%|<\?|%%|[$#]\{|\[\[|%[a-z][\w.-]*%|@[a-z][\w.-]*@|__[a-z][\w.-]*__|\{\$?\s*[a-z][\w.-]*\s*\}|\[\s*[a-z][\w.-]* (?:aquí|here)|\[\s*insert"
+    r"(?i)%\(\w|(?:^|>|\n)\s*(?:(?:lo sentimos|oops|whoops|ups|vaya|sorry|perdón)[,.!: ]|(?:la |el |esta |este |the |this |your )?(?:página|recurso|contenido|sitio|web|servicio|archivo|enlace|servidor|capítulo|page|resource|content|site|website|service|file|url|server) (?:no|is|was|could|está|fuera|temp|que|sol|req|that|you|web)|(?:por favor, |please )?(?:int[eé]nt|vuelv[ae] a|try again)|(?:tu |su |la |your )?(?:sesión|session|conex|connection))|(?:capítulo|entrada|documento|página|texto) sin (?:título|nombre|contenido)|próximamente|en preparación|untitled|locked|\{\d+\}|%(?:\d+\$)?[sd]\b|\[[a-záéíóúñ]+_|\b(?:todo|fixme)\s*:|construcci|construction|went wrong|algo (?:sali|ha sal|fue)|fallo|attention required|restringido|available|disponible|required|unprocessable|conflict|gone\b|teapot|precondition|payload|payment|uri too|legal|expectation|unsupported|not (?:acceptable|allowed|implemented|satisfiable|extended)|already reported|insufficient|loop detected|variant also|misdirected|upgrade|demuestr|confirm|verifi|\{\{|\}\}|\{%|<%|<\?|%%|[$#]\{|\[\[|%[a-z][\w.-]*%|@[a-z][\w.-]*@|__[a-z][\w.-]*__|\{\$?\s*[a-z][\w.-]*\s*\}|\[\s*[a-z][\w.-]* (?:aquí|here)|\[\s*insert"
     r"|lorem|ipsum|amet\b|adipis|consec\b|fugiat|nostru|veniam|\b(?:elit|tempor|aliqua|sedo|nisi|labor|dolor|magna)\b|asdf|qwerty|prueba|\btest|xxx|\bbla\b|muestra|ejemplo|relleno|escrib[ae] aquí|aquí va|pendiente|por añadir|por traducir|borrador|añadir|insert|sample|placeholder|dummy|filler|goes here|coming soon|\btbd\b|\btodo\b[.\x{2026}]*\s*(?:<|$|\n)|hello world|hola mundo|sin contenido"
     r"|undefined|\bnull|\bnil\b|\bnone\b|\bnan\b|\[object|n/a|#ref|#value|(?:^|>|\n|\d\s*[:.|\x{b7}\x{2013}\x{2014}-]+)\s*(?:true|false|\[\]|\{\})|object reference"
     r"|error|no encontrad|not found|acceso|access denied|forbidden|prohibido\b|autorizado|unauthorized|no disponible|unavailable|bad (?:gateway|request)|gateway|puerta de enlace|solicitud|time-?out|espera agotado|demasiadas|too many|server is down|timed out|https? ?\d"
@@ -151,7 +165,7 @@ def evidence(line: str, title: bool = False) -> str | None:
         return "error"
     if SPOKEN.search(text):
         return None
-    if ERROR_TEXT.search(text):
+    if ERROR_TEXT.search(text) or RAISED.search(text):
         return "error"
     return "script" if SCRIPT.search(text) and not _CONSENT.search(text) else None
 
