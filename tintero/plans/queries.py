@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Callable
@@ -774,6 +775,19 @@ def lifted_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.structure(_lifted(spark, sf_dir))
 
 
+_EMPTY = Z.skeleton("")
+
+
+@query(
+    f"SELECT archive, name, hash FROM ({_ODD_SQL}) UNION ALL SELECT DISTINCT book_id, n, h FROM metadata, (VALUES " + ", ".join(f"('{n}', '{hashlib.md5(d).hexdigest()}')" for _, n, d in _EMPTY) + ") e(n, h)"
+    f" UNION ALL SELECT archive || ' 2', name, hash FROM ({_LIFTED_SQL})"
+)
+def folder_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders without a mimetype get an empty book's files, those with one (named with a 2 here) stay."""
+    whole = _lifted(spark, sf_dir).withColumn("archive", F.concat("archive", F.lit(" 2")))
+    return Z.completed(_odd_files(spark, sf_dir).unionByName(whole)).select("archive", "name", F.md5("data").alias("hash"))
+
+
 def _loose(spark: SparkSession, sf_dir: str) -> str:
     """A folder of loose files, a page and two resources for each book of the metadata."""
     folder = f"{shared_folder(spark).removeprefix('file:').replace('//', '/').rstrip('/')}/files-{uuid.uuid4().hex}"

@@ -268,6 +268,17 @@ def skeleton(archive: str) -> list[tuple[str, str, bytes]]:
     return [(archive, "mimetype", MIMETYPE), (archive, "META-INF/container.xml", container.encode()), (archive, "OEBPS/Styles/stylesheet.css", b"body { margin: 1em; text-align: justify; }\nh1 { text-align: center; }\n")]
 
 
+def completed(files: DataFrame) -> DataFrame:
+    """(archive, name, data): folders without a mimetype get the files of an empty book; those that have one stay as they are.
+
+    A file of a folder's own stands in place of the empty book's.
+    """
+    bare = structure(files).where("NOT has_mimetype").select("archive")
+    empty = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(bytearray(d)).alias("data")) for _, n, d in skeleton("")])
+    new = bare.select("archive", F.explode(empty).alias("f")).select("archive", "f.name", "f.data")
+    return files.select("archive", "name", "data").unionByName(new.join(files.select("archive", "name"), ["archive", "name"], "left_anti"))
+
+
 def _xml(text: str | None) -> str:
     return (text or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
