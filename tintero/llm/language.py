@@ -6,6 +6,8 @@ of texts is scored at once in numpy, as the rows its n-grams select summed by li
 
 Lines with at least ``LEAST_LETTERS`` letters are classified; between the lines of one text a change of language costs
 ``SWITCH`` nats, so a doubtful line follows its neighbours.  A segment is a maximal run of such lines in one language.
+Its confidence is the posterior of all its lines' evidence together, so that of a long segment comes near 1; letters
+drawn out (the same three times over) are no evidence.
 
 Defined cases: a null text, or one without letters, has no segment and no language (null, confidence 0); a text whose
 lines are all short is judged as a whole, without segments; lines of any length are read whole.
