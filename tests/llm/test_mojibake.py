@@ -87,7 +87,7 @@ def test_several_rounds(chain):
 def test_two_pairs_in_one_record():
     text = "La niña abrió la montaña y la señora salió después"
     bad = "<p>" + text.encode("cp850").decode("cp1252") + "</p>\n<p>" + text.encode("cp1252").decode("mac_roman") + "</p>\n<p>" + text.encode("cp1252").decode("cp850") + "</p>\n<p>" + _read(text.encode(), "cp1257") + "</p>"
-    assert repair(bad) == "\n".join([f"<p>{text}</p>"] * 4).replace(f"<p>{text}</p>", f"<p>{text}</p>", 1) or repair(bad).split("\n")[1:] == [f"<p>{text}</p>"] * 3
+    assert repair(bad) == "\n".join([f"<p>{text}</p>"] * 4)
 
 
 def test_words_lost_that_no_story_of_the_tables_has():
@@ -108,6 +108,7 @@ def test_other_paragraphs_never_change(words, pair):
 
 
 KEPT = [
+    "IRM&Atilde; &Acirc;me", "¿Quién es, que no lo veo? ¿Y él? Que venga.",
     "IRMÃ", "A MANHÃ TODA, cantaba la irmã", "Ωmega", "灯台", "\u300c潮の地図\u300d", "—Die Straße ist groß —dijo", "Âme, escribió; Ève", "Спасибо, друг", "tecleó faro?piso=12 y esperó", "¿Qué hacer\u2026?", "38 º, 3.ª, \u00bd ración, \u221a2 veces, \u00d7, 50 %",
     "El duelo", "menor—. No", "Adaptaci&oacute;n", "¿De verdad crees que está vivo?", "col\u00b7legi", "", "<a href=\"/x?id=3&amp;y=é\">a</a>",
 ]
@@ -139,6 +140,7 @@ def test_a_garbled_dash_alone():
 
 def test_long_words_take_linear_time():
     text = "日本語" * 50_000 + "Ý" + "あ" * 50_000 + "?" + "い" * 50_000
+    assert not is_garbled("¿que? " * 50_000)
     for run in ("a" * 200_000, "ж" * 200_000, "&ntilde;" * 30_000, "é;" * 60_000):
         assert repair(f"<p>{run} CapÃ\u00adtulo {run}</p>") == f"<p>{run} Capítulo {run}</p>"
     assert not is_garbled(text) and repair("<" * 200_000 + "é") == "<" * 200_000 + "é"

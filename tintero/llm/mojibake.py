@@ -348,8 +348,12 @@ def _fitting(form: str) -> str | None:
 
 def _lost(text: str) -> list[Span]:
     """Words with letters lost to ``?`` and their restored forms (themselves where several or none fit)."""
-    index, todo = lost_index(), []
+    index, todo, at, asked = lost_index(), [], 0, False
     for start, word, end in _words_with(text, _LOST, "?\ufffd"):
+        between = text[at:start]
+        opened, closed = between.rfind("¿"), max(between.rfind(c) for c in ".!\n")
+        question = opened > closed or asked and closed < 0
+        at, asked = end, question and "?" not in word
         core = re.sub("[?\ufffd]+", "?", word)
         if core in ("?", "") or _QUERY.match(text, end):
             continue
@@ -360,7 +364,7 @@ def _lost(text: str) -> list[Span]:
             lead += 1
             meant = index.get(low[lead:].strip("?") if core.count("?") == lead else low[lead:])
         if core.endswith("?") and not inner and not low.startswith("?"):
-            if meant is None or "¿" in text[max(text.rfind(c, 0, start) for c in ".!?\n") + 1 : start]:
+            if meant is None or question:
                 continue
         elif meant is None and not (inner and (core[core.index("?") + 1 :][:1].islower() or core.isupper())):
             continue
@@ -391,7 +395,7 @@ def _dirty(text: str) -> str:
 
 
 def _garbled(text: str) -> bool:
-    if "\ufffd" in text or _matches(text) or _references(text) is not text:
+    if "\ufffd" in text or _matches(text) or _references(text) != text:
         return True
     plain = blanked(text)
     return _one_byte(plain) is not None or "?" in plain and bool(_lost(plain))
