@@ -269,7 +269,7 @@ def toc_rows(files: DataFrame, book: str, name_col: str, h1_col: str) -> DataFra
     """(book, ord, href, label): entries of a generated table of contents, which doesn't list itself."""
     own = files.where(F.lower(name_col) != "toc.xhtml")
     label = R.html_escape(F.coalesce(F.col(h1_col), F.replace(F.col(name_col), F.lit(".xhtml"), F.lit(""))))
-    return by_order(own.select(book, name_col, h1_col), book, [name_col, h1_col]).select(book, (F.col("pos") + 1).alias("ord"), R.url_quote(name_col).alias("href"), label.alias("label"))
+    return by_order(own.select(book, name_col, h1_col), book, [name_col, h1_col], costly=True).select(book, (F.col("pos") + 1).alias("ord"), R.url_quote(name_col).alias("href"), label.alias("label"))
 
 
 def plain_toc_page(files: DataFrame, book: str, name_col: str, h1_col: str) -> DataFrame:

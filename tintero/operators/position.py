@@ -29,12 +29,16 @@ def by_number(df: DataFrame, by: str, number: str, name: str = "pos", width: int
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("_offset") + F.col("_local") - 1).cast("int").alias(name))
 
 
-def by_order(df: DataFrame, by: str, order: list[str], name: str = "pos") -> DataFrame:
+def by_order(df: DataFrame, by: str, order: list[str], name: str = "pos", costly: bool = False) -> DataFrame:
     """Adds ``name``: the place from 0 by any columns within ``by``.
 
+    The ranges are found from a sample of the rows, which runs the plan once more; ``costly`` rows (small results of much
+    work) are therefore written first.
+
     The rows are range-partitioned by group and order and written once; each range is numbered by itself and adds the
     rows of its group in the ranges before it.
     """
+    df = checkpointed(df) if costly else df
     ranges = checkpointed(df.repartitionByRange(F.col(by), *[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()))
     counts = ranges.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

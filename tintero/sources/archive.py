@@ -212,7 +212,7 @@ def pack_plan(files: DataFrame, directories: bool = False) -> DataFrame:
     named = F.element_at(F.split("name", "/"), -1) == "mimetype"
     rest = (F.startswith("name", F.lit("META-INF/")) | F.startswith("name", F.lit("OEBPS/"))) if directories else ~named
     summed = files.where(top | rest).select("archive", F.when(top, 0).otherwise(1).alias("_rest"), "name", F.length("data").cast("long").alias("size"), F.crc32("data").alias("crc"))
-    placed = by_order(summed, "archive", ["_rest", "name"], "seq")
+    placed = by_order(summed, "archive", ["_rest", "name"], "seq", costly=True)
     return placed.select("archive", "seq", "name", F.when(F.col("_rest") == 0, "STORED").otherwise("DEFLATED").alias("method"), "size", "crc")
 
 
