@@ -6,9 +6,9 @@ record in which something else remains; a record whose residual still holds evid
 is a line, or a template's span over several lines, and is recognised by its form: delimiters around a name, a bare
 value, filler words, a status code with its name, a fault report, or a request that scripts or cookies be switched on.
 
-Lines are counted without shuffling the corpus: a line in a share s of a host's records is in a share s of them in at
-least one batch, so a batch reports only lines that reach the share in it.  Those of them that stand in records with
-evidence are then counted exactly in a second pass, which a filter of fixed size keeps small.
+Lines are counted without shuffling the corpus: batches report only lines that reach half the share in them, from which
+follows the most records that a line can stand in.  Where all lines of a piece of evidence may recur by that, the record's lines are counted exactly in a second pass, which a filter of fixed size keeps small; without
+such records it isn't needed.
 
 Defined cases: null and empty fields are never cases; rows of a null host count as one host of their own; a table
 without rows gives none; every row counts, also repeated ones; a record that consists of recurrent lines only (a host
@@ -197,11 +197,11 @@ def column_evidence(column: pa.Array, title: bool = False) -> list[tuple[int, st
 _OPEN = re.compile(r"\{\{|\{%|<%|<\?(?:php|=)|[$#]\{")
 _SCHEMA = pa.schema(
     [
-        ("host", pa.string()), ("field", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("uid", pa.int64()), ("id", pa.int64()),
+        ("host", pa.string()), ("field", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("total", pa.int64()), ("uid", pa.int64()), ("id", pa.int64()),
         ("lines", pa.list_(pa.struct([("unit", pa.int32()), ("kind", pa.string()), ("key", pa.int64())]))),
     ]
 )
-_SQL = "host string, field string, key long, n long, total long, uid long, id long, lines array<struct<unit:int,kind:string,key:long>>"
+_SQL = "host string, field string, key long, n long, size long, total long, uid long, id long, lines array<struct<unit:int,kind:string,key:long>>"
 _COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -232,7 +232,7 @@ def _once(key: np.ndarray, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarra
 
 
 def _first_pass(fields: list[str], share: float):  # noqa: ANN202
-    """A batch function giving each host's rows, its lines that reach the share in the batch, and the records with evidence."""
+    """A batch function giving each host's rows, its lines that reach half the share in the batch, and the records with evidence."""
     serial = [0]
 
     def seek(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -242,10 +242,10 @@ def _first_pass(fields: list[str], share: float):  # noqa: ANN202
         for k, name in enumerate(fields):
             column = batch.column(2 + k)
             line_row, line_no, key, code, host_names, sizes = _column_keys(column, hosts, name)
-            rows += [(host_names[c], name, None, None, int(n), None, None, None) for c, n in enumerate(sizes) if n]
+            rows += [(host_names[c], name, None, None, None, int(n), None, None, None) for c, n in enumerate(sizes) if n]
             value, n, c = _once(key, line_row, code)
-            hit = n >= np.maximum(1, share * sizes[c] - 1e-9)
-            rows += [(host_names[x], name, v, m, None, None, None, None) for x, v, m in zip(c[hit].tolist(), value[hit].view(np.int64).tolist(), n[hit].tolist(), strict=True)]
+            hit = n >= np.maximum(1, share / 2 * sizes[c] - 1e-9)
+            rows += [(host_names[x], name, v, m, int(sizes[x]), None, None, None, None) for x, v, m in zip(c[hit].tolist(), value[hit].view(np.int64).tolist(), n[hit].tolist(), strict=True)]
             records: dict[int, list[tuple[str, list[int]]]] = {}
             for row, kind, numbers in column_evidence(column, name.endswith("title")):
                 records.setdefault(row, []).append((kind, numbers))
@@ -261,7 +261,7 @@ def _first_pass(fields: list[str], share: float):  # noqa: ANN202
                     # a line that shows nothing, or digits alone, is never boilerplate
                     lines += [{"unit": u, "kind": kind, "key": own.get(x)} for x in numbers]
                 lines += [{"unit": -1, "kind": None, "key": v} for x, v in own.items() if x not in taken]
-                rows.append((hosts[row].as_py(), name, None, None, None, (part << 40) | serial[0], ids[row].as_py(), lines))
+                rows.append((hosts[row].as_py(), name, None, None, None, None, (part << 40) | serial[0], ids[row].as_py(), lines))
                 serial[0] += 1
         return batch_of(_SCHEMA, *(zip(*rows, strict=True) if rows else [[]] * len(_SCHEMA)))
 
@@ -294,13 +294,22 @@ def unusable(df: DataFrame, id_col: str, host_col: str, fields: list[str], share
     found = materialize(arrow_map(source, _first_pass(fields, share), _SQL))
     totals = found.where("total IS NOT NULL").groupBy("host", "field").agg(F.sum("total").alias("total"))
     lines = found.where("uid IS NOT NULL").select("uid", "id", "host", "field", F.explode("lines").alias("l")).select("uid", "id", "host", "field", "l.*")
-    # recurrent in some batch, and in a record with evidence
-    sought = found.where("key IS NOT NULL").select("key").distinct().join(lines.where("key IS NOT NULL").select("key", "host", "field").distinct(), "key")
-    sought = materialize(sought.select("key", F.col("host").alias("h"), F.col("field").alias("f")))
-    table = df.sparkSession.sparkContext.broadcast(bit_filter(sought, "key"))
-    counts = arrow_map(source, lambda batch: _count_pass(fields, table.value)(batch), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    exact = counts.join(sought, "key").where(F.col("n") >= least).join(totals, F.col("h").eqNullSafe(F.col("host")) & (F.col("f") == F.col("field")))
-    recurrent = exact.where(F.col("n") >= share * F.col("total") - 1e-9).select("key", F.lit(True).alias("recurs"))
+    # the most records that a line can stand in: those reported, and less than half the share of all others
+    reported = found.where("key IS NOT NULL").groupBy("key", F.col("host").alias("h"), F.col("field").alias("f")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    most = F.col("n") + share / 2 * (F.col("total") - F.col("size")) + 1e-9
+    able = reported.join(totals, F.col("h").eqNullSafe(F.col("host")) & (F.col("f") == F.col("field"))).where((most >= share * F.col("total")) & (most >= least))
+    # a piece of evidence is in doubt if all of its lines may recur; only the lines of records with such need a count
+    some = able.select("key", F.lit(True).alias("seen"))
+    marked = lines.join(some, "key", "left")
+    doubtful = marked.where("unit >= 0").groupBy("uid", "unit").agg(F.bool_and(F.col("seen").isNotNull()).alias("all")).where("all").select("uid").distinct()
+    sought = materialize(marked.where("seen").join(doubtful, "uid", "left_semi").select("key", F.col("host").alias("h"), F.col("field").alias("f")).distinct())
+    if sought.isEmpty():
+        recurrent = sought.select("key", F.lit(True).alias("recurs"))
+    else:
+        table = df.sparkSession.sparkContext.broadcast(bit_filter(sought, "key"))
+        counts = arrow_map(source, lambda batch: _count_pass(fields, table.value)(batch), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        exact = counts.join(sought, "key").where(F.col("n") >= least).join(totals, F.col("h").eqNullSafe(F.col("host")) & (F.col("f") == F.col("field")))
+        recurrent = exact.where(F.col("n") >= share * F.col("total") - 1e-9).select("key", F.lit(True).alias("recurs"))
     fresh = F.col("recurs").isNull()
     judged = lines.join(recurrent, "key", "left").groupBy("uid").agg(
         F.first("id").alias("id"), F.first("field").alias("field"), F.min(F.when(fresh, F.col("kind"))).alias("live"), F.min("kind").alias("any"), F.count_if(fresh & (F.col("unit") < 0)).alias("others")
