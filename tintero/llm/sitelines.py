@@ -5,12 +5,13 @@ two rows, plus a fourth band of all its letters regardless of order, by which li
 Lines of one site with the same value of a band are clustered; a line belongs to a cluster if its masked words are
 similar enough to those of the cluster's most frequent form, and what isn't similar is clustered again.
 
-Pass one finds candidate clusters without shuffling lines: a cluster in a share s of a site's documents is in a share s
-of the site's documents in at least one batch (pigeonhole), so a batch only reports clusters that reach the share in
-it.  Pass two reports the lines that pass a filter of the candidates, whose size is fixed, with their exact keys and
-masked forms; counts are exact from there on.  Counting is pre-aggregated and grouped by (site, key) or (site, form),
-so a site of any size is spread.  A site with fewer than 1 / share documents in a batch reports all its lines of it, as
-one document reaches the share there; a corpus of very many tiny sites per batch comes near to shuffling every line.
+Pass one finds candidate clusters without shuffling lines: a batch reports only clusters that reach half the share of a
+site's documents in it.  From that follows the most documents that a cluster can have (those reported, and less than
+half the share of all others), and only clusters that may reach the bound are candidates.  Pass two reports the lines
+that pass a filter of the candidates, whose size is fixed, with their exact keys and masked forms; counts are exact from
+there on.  Counting is pre-aggregated and grouped by (site, key) or (site, form), so a site of any size is spread.  A
+site with fewer than 2 / share documents in a batch reports all its bands of it, but its lines are candidates only if
+they are in enough of its documents.
 
 ``repeated_lines`` gives the occurrences of lines that are the same but for letter case, digits and white space;
 ``without_repeated_lines`` also removes near-duplicate clusters of high document frequency.
@@ -131,7 +132,7 @@ def _site_codes(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return d.indices.to_numpy().astype(np.int64), names, np.array([hash_text(f"site {s}") for s in names], dtype=np.uint64)
 
 
-_CANDIDATES = pa.schema([("site", pa.string()), ("value", pa.int64()), ("rows", pa.int64())])
+_CANDIDATES = pa.schema([("site", pa.string()), ("value", pa.int64()), ("rows", pa.int64()), ("size", pa.int64())])
 _LINES = pa.schema(
     [
         ("id", pa.int64()), ("line_no", pa.int32()), ("site", pa.string()), ("key", pa.binary()), ("first", pa.int32()), ("uid", pa.int64()),
@@ -151,7 +152,7 @@ def _candidates(source: DataFrame, share: float) -> DataFrame:
         codes, names, hashes = _site_codes(batch.column(0))
         rows = np.bincount(codes, minlength=len(names))
         doc, _, bands = line_bands(batch.column(1).to_pylist())
-        sites, values, counts = list(names), [None] * len(names), rows.tolist()
+        sites, values, counts, sizes = list(names), [None] * len(names), rows.tolist(), [0] * len(names)
         for k in range(BANDS):
             value = bands[:, k]
             some = value != 0
@@ -167,13 +168,14 @@ def _candidates(source: DataFrame, share: float) -> DataFrame:
             begin = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             n = np.diff(np.append(begin, len(v)))
             code = codes[d[begin]]
-            hit = n >= np.maximum(1, share * rows[code] - 1e-9)
+            hit = n >= np.maximum(1, share / 2 * rows[code] - 1e-9)
             sites += [names[c] for c in code[hit]]
             values += _mixed(v[begin[hit]]).view(np.int64).tolist()
-            counts += [0] * int(hit.sum())
-        return batch_of(_CANDIDATES, sites, values, counts)
+            counts += n[hit].tolist()
+            sizes += rows[code[hit]].tolist()
+        return batch_of(_CANDIDATES, sites, values, counts, sizes)
 
-    return arrow_map(source.select("site", "text"), report, "site string, value long, rows long")
+    return arrow_map(source.select("site", "text"), report, "site string, value long, rows long, size long")
 
 
 def _line_report(candidates: np.ndarray, forms: bool):  # noqa: ANN202
@@ -225,12 +227,15 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(32))
 
 
-def _reported(df: DataFrame, id_col: str, site_col: str, text_col: str, share: float, forms: bool) -> tuple[DataFrame, DataFrame]:
+def _reported(df: DataFrame, id_col: str, site_col: str, text_col: str, share: float, least: int, forms: bool) -> tuple[DataFrame, DataFrame]:
     """(lines of candidate clusters, documents per site)."""
     source = _source(df, id_col, site_col, text_col)
-    found = materialize(_candidates(source, share).groupBy("site", "value").agg(F.sum("rows").alias("rows")))
+    found = materialize(_candidates(source, share).groupBy("site", "value").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size")))
     totals = found.where("value IS NULL").select("site", F.col("rows").alias("total"))
-    table = df.sparkSession.sparkContext.broadcast(bit_filter(found.where("value IS NOT NULL"), "value"))
+    # the most documents a cluster can have: those reported, and less than half the share of all others
+    most = F.col("rows") + share / 2 * (F.col("total") - F.col("size")) + 1e-9
+    able = found.where("value IS NOT NULL").join(totals, "site").where(most >= _bound(share, least)).select("value")
+    table = df.sparkSession.sparkContext.broadcast(bit_filter(able, "value"))
     return materialize(arrow_map(source, lambda batch: _line_report(table.value, forms)(batch), _LINES_SQL)), totals
 
 
@@ -250,7 +255,7 @@ def repeated_lines(df: DataFrame, id_col: str, site_col: str, text_col: str, sha
     A line is excessive if it stands in at least ``least`` documents and the share ``share`` of its site's documents.
     Clusters of near-duplicates yield the candidates; which of their lines are the same is then settled by exact keys.
     """
-    lines, totals = _reported(df, id_col, site_col, text_col, share, False)
+    lines, totals = _reported(df, id_col, site_col, text_col, share, least, False)
     return lines.join(_excessive(lines, totals, share, least), ["site", "key"], "left_semi").select("id", "line_no")
 
 
@@ -290,7 +295,7 @@ def without_repeated_lines(df: DataFrame, id_col: str, site_col: str, text_col:
 
     The line numbers travel to the documents by id, one small array each, so no group of documents is gathered.
     """
-    lines, totals = _reported(df, id_col, site_col, text_col, share, True)
+    lines, totals = _reported(df, id_col, site_col, text_col, share, least, True)
     same = lines.join(_excessive(lines, totals, share, least), ["site", "key"], "left_semi").select("id", "line_no")
     near = lines.join(near_clusters(lines, totals, share, least), ["site", "form"], "left_semi").select("id", "line_no")
     numbers = same.unionByName(near).groupBy("id").agg(F.collect_set("line_no").alias("drop"))
